@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import exact_dedup, packing, pieces, pii, quality, simhash, toxicity
+from changelens.llm import exact_dedup, packing, pieces, pii, quality, simhash, topk, toxicity
 from changelens.llm._util import read_table
 
 
@@ -31,6 +31,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.pii(read_table(spark, sf_dir, "documents")))
 
@@ -44,4 +48,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL}
