@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm._util import tune
+from changelens.llm._util import materialise, tune
+from changelens.llm.sampling import first_by_hash
 
 ROLES = ("system", "user", "assistant")
 #: States: begins a turn of role r: 2r; goes on in it: 2r + 1.
@@ -189,7 +190,7 @@ def _count(batches):
 
 def train(known: DataFrame, most: int = FIT_CONVERSATIONS) -> Model:
     """Counts of at most ``most`` transcripts with known states; a vector of fixed size from each task."""
-    sample = known.orderBy(F.xxhash64("conv_id", "part"), "conv_id", "part").limit(most)
+    sample = first_by_hash(known, most, "conv_id", "part")
     size = STATES + STATES**2 + STATES * sum(SIZES)
     rows = sample.mapInArrow(_count, "counts binary").collect()
     total = sum((np.frombuffer(r.counts) for r in rows), np.zeros(size))
@@ -228,7 +229,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     conversation; an empty table gives an empty table; other columns are ignored.
     """
     tune(conversations.sparkSession)
-    known = transcripts(segments(conversations))
+    known = materialise(transcripts(segments(conversations)), "transcripts")
     got = recover(known, train(known))
     return got.select(
         "conv_id",

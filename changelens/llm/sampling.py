@@ -6,6 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Slices of the hash by which rows are picked.
+SLICES = 1 << 20
+
+
+def first_by_hash(rows: DataFrame, most: int, *keys: str, share: float = 1.0) -> DataFrame:
+    """The ``most`` rows that come first by a hash of the keys, ties by the keys' own order.
+
+    ``share``: about what part of the rows passes the filters of ``rows``, at least.  All but so many
+    slices of the hash as hold four times what is wanted are left out before the sort, so that a task
+    does not keep ``most`` rows for the one that merges them, however many tasks there are.
+    """
+    total = rows.count()
+    wanted = 4 * most / max(1.0, share * total)
+    mixed = F.xxhash64(*keys)
+    own = F.pmod(mixed, F.lit(SLICES))
+    if wanted < 1:
+        rows = rows.where(own < max(1, int(wanted * SLICES)))
+    return rows.orderBy(own, mixed, *keys).limit(most)
+
+
 def fold(docs_or_labels: DataFrame, folds: int):
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(docs_or_labels["doc_id"].cast("string")), F.lit(folds))
@@ -19,16 +39,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     broadcast; a document that is repeated comes repeatedly, its text whole.
     """
     at = fold(labels, folds)
-    picked = (
+    known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"), at.alias("at"))
         .where("doc_id IS NOT NULL AND y IN (0, 1)")
         .where(F.col("at") == held if learn_held else F.col("at") != held)
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
-        .withColumnRenamed("doc_id", "__id")
     )
+    picked = first_by_hash(known, most, "doc_id").withColumnRenamed("doc_id", "__id")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.join(F.broadcast(picked), rows.doc_id == F.col("__id")).select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"

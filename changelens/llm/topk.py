@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm._util import materialise, tune
+from changelens.llm.sampling import first_by_hash
 
 #: Pivots, rings of a pivot at most, vectors in the sample that fixes pivots and first bounds, and
 #: vectors in one part of an annulus.
@@ -119,7 +120,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     v = all_v.where(F.size("v") == dim)
     norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)
     largest = float(v.agg(F.max(norm)).first()[0])
-    picked = v.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(SAMPLE).collect()
+    picked = first_by_hash(v, SAMPLE, "vec_id").collect()
     picked = list({r.vec_id: r for r in picked}.values())  # an id counts once towards the first bounds
     space = Space(np.array([r.vec_id for r in picked]), np.array([r.v for r in picked], np.float64), largest)
     held = spark.sparkContext.broadcast(space)
@@ -229,13 +230,13 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) = 64
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(range(1, 65), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(range(1, 65), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
