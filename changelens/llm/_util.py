@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,18 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
         *[docs[c] for c in more],
     )
+
+
+def released(run):
+    """``run`` over Arrow batches, after which its worker gives freed memory back: workers stay alive
+    between stages, and what one stage needed at its peak would else be held through the next."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return inner

@@ -20,7 +20,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm._util import materialise, partitions, texts, tune
+from changelens.llm._util import materialise, partitions, released, texts, tune
 
 CAPACITY = 1024
 END_ID = 2
+#: Fixed value: the vocabulary's own mark, which counts as one id where a text holds it.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 # ------------------------------------------------------------------------------ tokenising
@@ -44,21 +46,24 @@ class Tokens:
     """
 
     def __init__(self, json_path: str, rank_path: str | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(json_path)
-        self.fast = None
+        self.json_path, self.fast = json_path, None
         if rank_path:
             import public_tokenizers
             import tiktoken
 
             with open(rank_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            special = {"<|endoftext|>": self.whole.token_to_id("<|endoftext|>")}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
         self.beyond = re.compile("[^\x00-ɏ]").search
 
+    @cached_property
+    def whole(self):
+        """The JSON file's own library, loaded when a text first needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or self.beyond(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -103,7 +108,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, pa
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols[:keep], kinds)], names=names[:keep])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return texts(docs).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return texts(docs).mapInArrow(released(run), schema + (", ids array<int>" if with_ids else ""))
 
 
 # ------------------------------------------------------------------------------ supersteps

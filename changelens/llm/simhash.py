@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm._util import materialise, partitions, texts, tune
+from changelens.llm._util import materialise, partitions, released, texts, tune
 from changelens.llm.components import components
 
 SEED = 42
@@ -66,7 +66,7 @@ def _prints(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``: the 64 bits as a signed long."""
     tune(docs.sparkSession)
-    return texts(docs).mapInArrow(_prints, "doc_id long, fp long")
+    return texts(docs).mapInArrow(released(_prints), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------------------- Golay decoding
@@ -221,8 +221,10 @@ def links(distinct_fp: DataFrame) -> DataFrame:
     """Distinct ``(fp)`` -> links ``(a, b)`` whose components are those of all pairs within 4 bits."""
     spark = distinct_fp.sparkSession
     targets = 4 * partitions(spark)
-    blocks = distinct_fp.select("fp").mapInArrow(_spread(targets), "target int, key binary, fp binary")
-    return blocks.repartition(partitions(spark), "target").mapInArrow(_links, "a long, b long")
+    # a file of fingerprints is small beside its keys, so tasks are cut by rows, not by bytes read
+    dealt = distinct_fp.select("fp").repartition(partitions(spark), "fp")
+    blocks = dealt.mapInArrow(released(_spread(targets)), "target int, key binary, fp binary")
+    return blocks.repartition(partitions(spark), "target").mapInArrow(released(_links), "a long, b long")
 
 
 # ------------------------------------------------------------------------------- the operator
@@ -237,7 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     d = materialise(fingerprints(docs), "prints")
     one = materialise(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     joined = materialise(links(one), "links")
     tune(spark)
     root = materialise(components(joined), "roots")

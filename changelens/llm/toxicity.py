@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm._util import texts, tune
+from changelens.llm._util import released, texts, tune
 from changelens.llm.sampling import fold, labelled_sample
 
 #: Hashed features, labelled documents that are fitted at most, folds and the held-out one.
@@ -28,7 +28,7 @@ FOLDS, HELD = 5, 0
 BEGINNINGS = (3, 4, 5)
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGE = "\"'()[]{}<>,;:*#$%&|-–_+=/\\…¡¿«»“”‘’"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def word_features(word: str) -> list[int]:
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], spans: bool = False)
             yield pa.record_batch(cols, names=["doc_id", "score", "sentences"][: len(cols)])
 
     schema = "doc_id long, score double"
-    return texts(docs).mapInArrow(run, schema + (", sentences array<struct<start:long,end:long,score:double>>" if spans else ""))
+    return texts(docs).mapInArrow(released(run), schema + (", sentences array<struct<start:long,end:long,score:double>>" if spans else ""))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, spans: bool = False, most: int = FIT_DOCS) -> DataFrame:
@@ -226,4 +226,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Data
             keep = [s.document(t or "") < 0.5 for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
