@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm._util import texts, tune
+from changelens.llm._util import released, texts, tune
+from changelens.llm.sampling import SLICES
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
 ANCHOR = re.compile("[0-9@]")
 #: Documents and windows of each that are sampled for training, generated windows, training rounds.
 FIT_DOCS, FIT_WINDOWS, GENERATED, EPOCHS = 300, 3, 1200, 12
+#: Documents of which windows are looked for, as a multiple of those sampled.
+THIN = 30
 WINDOW, STRIDE, EMBED, HIDDEN, CHUNK = 80, 40, 12, 24, 512
 
 # ------------------------------------------------------------------------------- patterns
@@ -341,7 +344,9 @@ def _training_windows(batches):
 def train(docs: DataFrame, most: int = FIT_DOCS, generated: int = GENERATED, epochs: int = EPOCHS) -> Tagger:
     """Fit on ``FIT_WINDOWS`` windows of each of at most ``most`` documents and on generated spans."""
     tune(docs.sparkSession)
-    sample = texts(docs).where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)
+    every = texts(docs).withColumn("mix", F.xxhash64("text"))
+    thin = F.pmod(F.xxhash64("mix", "doc_id"), F.lit(SLICES)) < SLICES * THIN * most / max(1, docs.count())
+    sample = every.where(thin & F.col("text").rlike("[0-9@]")).orderBy("mix", "doc_id").limit(most)
     rows = sample.mapInArrow(_training_windows, "x binary, y binary").collect()
     xs = [np.frombuffer(r.x, np.int8).reshape(-1, WINDOW) for r in rows]
     ys = [np.frombuffer(r.y, np.int8).reshape(-1, WINDOW) for r in rows]
@@ -508,4 +513,4 @@ def mask(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 cols[n_at] = pa.array(n, b.schema.field(n_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
