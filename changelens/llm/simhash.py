@@ -6,8 +6,11 @@ a segment are the 12-bit indices of the codewords to which it, or it with one bi
 one key where the word lies within two bits of its codeword, else six at most.  Two words that
 differ in two bits have a word between them, one bit from either, so they share a key.
 
-Pigeonhole: of four differing bits over three segments, the two segments that differ least differ
-in two bits at most each.  Fingerprints that link therefore share a key of some pair of segments.
+Pigeonhole: of four differing bits over three segments, either two segments differ in (0, 2 or fewer)
+bits, or in (1, 1) and then the third in two at most.  Fingerprints that link therefore share a key of
+an exact segment and a codeword of another (35 or 30 bits), or of one codeword each of all three (36
+bits).  Keys of so many bits stay selective for as many fingerprints as there are documents.
+
 Keys and distinct fingerprints travel in binary blocks; every shared key is verified by the full
 Hamming distance.  A group is walked breadth first over the members not yet reached, so it costs
 what it has members and components, and only a spanning star of each component leaves a task.
@@ -31,8 +34,10 @@ WORDS = 4
 MOST_BITS = 4
 #: Fixed value: generator polynomial of the [23, 12, 7] Golay code.
 GOLAY = 0b110001110101
+#: Fixed value: an odd multiplier that spreads keys over targets.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 
 
 # ---------------------------------------------------------------------------- fingerprints
@@ -115,19 +120,28 @@ def segment_keys(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position in ``fp``, key): two bits for the pair of segments, then two codeword indices."""
+    """(position in ``fp``, key): what kind of key it is, then an exact segment and a codeword index,
+    or three codeword indices."""
     fp = fp.view(np.uint64)
-    near = [
-        segment_keys(((fp >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64), w)
-        for at, w in SEGMENTS
-    ]
+    own = [((fp >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64) for at, w in SEGMENTS]
+    near = [segment_keys(o, w) for o, (_, w) in zip(own, SEGMENTS)]
     where, what = [], []
+
+    def put(at: np.ndarray, key: np.ndarray) -> None:
+        where.append(at)
+        what.append(key)
+
     for k, (i, j) in enumerate(PAIRS):
-        for a in near[i].T:
-            for b in near[j].T:
-                at = np.flatnonzero((a >= 0) & (b >= 0))
-                where.append(at)
-                what.append((k << 24 | a[at] << 12 | b[at]).astype(np.int32))
+        for b in near[j].T:
+            at = np.flatnonzero(b >= 0)
+            put(at, k << 36 | own[i][at] << 12 | b[at])
+    for a in near[0].T:
+        for b in near[1].T:
+            both = np.flatnonzero((a >= 0) & (b >= 0))
+            for c in near[2][both].T:
+                some = np.flatnonzero(c >= 0)
+                at = both[some]
+                put(at, len(PAIRS) << 36 | a[at] << 24 | b[at] << 12 | c[some])
     return np.concatenate(where), np.concatenate(what)
 
 
@@ -187,7 +201,7 @@ def _spread(targets: int):
         for b in batches:
             fp = b.column("fp").to_numpy()
             at, key = keys(fp)
-            to = (key.astype(np.int64) * 2654435761 >> 7) % targets
+            to = (key.view(np.uint64) * MIX >> np.uint64(24)).astype(np.int64) % targets
             order = np.argsort(to, kind="stable")
             cut = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0]) if len(order) else []
             ends = np.r_[cut[1:], len(order)] if len(order) else []
@@ -207,7 +221,7 @@ def _links(batches):
         f += b.column("fp").to_pylist()
     if not k:
         return
-    key, fp = np.frombuffer(b"".join(k), np.int32), np.frombuffer(b"".join(f), np.int64)
+    key, fp = np.frombuffer(b"".join(k), np.int64), np.frombuffer(b"".join(f), np.int64)
     a, b = key_links(key, fp)
     node, at = np.unique(np.concatenate([a, b]).view(np.int64), return_inverse=True)
     if not len(node):
@@ -239,7 +253,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     d = materialise(fingerprints(docs), "prints")
     one = materialise(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     joined = materialise(links(one), "links")
     tune(spark)
     root = materialise(components(joined), "roots")
