@@ -33,9 +33,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` once to the shared folder and read it back."""
+#: Rows of ids and hashes in one written file, about.
+FILE_ROWS = 50_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` once to the shared folder and read it back.
+
+    ``rows``: how many narrow rows it has at most, if known.  They then come in files, and tasks, of
+    FILE_ROWS at least, so that a small table is not strewn over as many files as shuffles have partitions.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, min(partitions(spark), -(-rows // FILE_ROWS))))
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -22,28 +22,26 @@ def _totals(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Links ``(a long, b long)`` in any order, repeats allowed -> ``(node, root)``.
+    """A written table of links ``(a long, b long)`` in any order, repeats allowed -> ``(node, root)``.
 
     One row for each node that has a link to another; ``root`` is the smallest node reachable.
     Loops are ignored; an empty table gives an empty table.
     """
-    edges = materialise(
-        links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .where("hi <> lo")
-        .distinct(),
-        "edges",
-    )
+    directed = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo")
+    edges = materialise(directed.distinct(), "edges", links.count())
     before = _totals(edges)
     while before[0]:
+        n = 2 * before[0]  # a step makes no more edges than it is given, a node for each end at most
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         )
-        low = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
+        low = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low", n)
         large = materialise(
             edges.join(low, edges.lo == low.u).select("hi", F.col("m").alias("lo")).distinct(),
             "large",
+            n,
         )
-        floor = materialise(large.groupBy("hi").agg(F.min("lo").alias("m")), "floor")
+        floor = materialise(large.groupBy("hi").agg(F.min("lo").alias("m")), "floor", n)
         met = large.join(floor.withColumnRenamed("hi", "u"), F.col("hi") == F.col("u")).select(
             F.explode(
                 F.array(
@@ -52,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
                 )
             ).alias("e")
         )
-        after = materialise(met.select("e.hi", "e.lo").where("hi <> lo").distinct(), "edges")
+        after = materialise(met.select("e.hi", "e.lo").where("hi <> lo").distinct(), "edges", n)
         now = _totals(after)
         for gone in (edges, low, large, floor):
             discard(gone)

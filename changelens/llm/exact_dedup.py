@@ -193,7 +193,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     new = _per_digest(d.where(~old)).withColumn("shard", _shard(shards))
     groups = new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_lookup, GROUPS)
     groups = materialise(
-        groups.withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID))), "groups"
+        groups.withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID))), "groups", n
     ).withColumnRenamed("digest", "held")
     return d.join(groups, d.digest == groups.held).select(
         "doc_id",

@@ -251,23 +251,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other columns do no harm; an empty table gives an empty table.
     """
     d = materialise(fingerprints(docs), "prints")
-    one = materialise(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    n = d.count()
+    one = materialise(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", n)
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    joined = materialise(links(one), "links")
+    joined = materialise(links(one).distinct(), "links", n)
     tune(spark)
-    root = materialise(components(joined), "roots")
-    linked = materialise(root.join(one, root.node == one.fp).select("node", "root", "least"), "linked")
-    small = materialise(linked.groupBy("root").agg(F.min("least").alias("low")), "small")
+    root = materialise(components(joined), "roots", n)
+    linked = materialise(root.join(one, root.node == one.fp).select("node", "root", "least"), "linked", n)
+    small = materialise(linked.groupBy("root").agg(F.min("least").alias("low")), "small", n)
     named = materialise(
         linked.join(small.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("node", "low"),
         "named",
+        n,
     )
     every = materialise(
         one.join(named, one.fp == named.node, "left").select(
             F.col("fp").alias("f"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id")
         ),
         "every",
+        n,
     )
     return d.join(every, d.fp == every.f).select("doc_id", "fp", "component_id")
 
