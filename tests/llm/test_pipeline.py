@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from changelens.llm import packing, pii, queries, simhash, toxicity
 from tests.llm.test_dedup import slow_components, slow_print
+from tests.llm.test_similar import brute, roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,7 +40,9 @@ def test_stages_take_effect(spark, small):
         seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[i] or ""), i)
     rows = {i: rows[i] for i in seen.values()}
     ids = list(rows)
-    kept = set(slow_components(ids, [slow_print(rows[i]) for i in ids]))
+    close = slow_components(ids, [slow_print(rows[i]) for i in ids])
+    low = roots(ids, brute(list(rows.items())) | set(zip(close, ids)))
+    kept = {i for i in ids if low[i] == i}
     rows = {i: t for i, t in rows.items() if i in kept}
     at = docs
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
