@@ -194,6 +194,7 @@ def pack_pieces(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     partition and one for each length.
     """
     spark = parts.sparkSession
+    parts = materialise(parts, "pieces")  # sampling for the ranges reads them once more
     rows = parts.repartitionByRange(partitions(spark), "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
     ranked = materialise(rows.mapInArrow(_ranked, f"{extra}, part int, rank long"), "ranked")
