@@ -56,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL}

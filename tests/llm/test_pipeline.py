@@ -96,3 +96,11 @@ def test_fingerprint_digits(spark):
 
 def test_pii_kinds_are_listed():
     assert pii.KINDS == ("email", "ip", "card", "phone")
+
+
+def test_queries_equal_their_sql(spark):
+    from tests.oracle import compare, connect
+
+    con = connect(SF)
+    for name, sql in queries.oracle_sql().items():
+        assert compare(queries.queries()[name](spark, SF), con, sql) is None, name
