@@ -63,20 +63,26 @@ def merge(candidates: DataFrame) -> DataFrame:
     Where the first hash that arrives for a place is there, candidates with another hash are a place of
     their own.  Groups are combined before each shuffle.
     """
-    arrival = F.struct("provider_idx", "cand_idx")
+    came = F.struct("provider_idx", "cand_idx")
+    named = F.coalesce("verified_state", F.lit("")) != ""
+    # a place with very many candidates is one row for each source and hash before anything else
     c = candidates.withColumn("base_key", place_key(F.col("path"), F.col("symbol"), F.col("line_start")))
-    first = c.groupBy("query_id", "base_key").agg(F.min_by(F.struct("content_hash"), arrival)["content_hash"].alias("first_hash"))
-    c = c.join(first, ["query_id", "base_key"])
-    other = F.col("first_hash").isNotNull() & (F.col("first_hash") != "") & F.col("content_hash").isNotNull() & (F.col("content_hash") != "") & (F.col("first_hash") != F.col("content_hash"))
-    c = c.withColumn("dedup_key", F.when(other, F.concat("base_key", F.lit("::hash:"), "content_hash")).otherwise(F.col("base_key")))
-    by_source = c.groupBy("query_id", "dedup_key", "source").agg(
+    c = c.groupBy("query_id", "base_key", "source", "content_hash").agg(
         F.max("normalized_score").alias("best"),
-        F.min_by(F.struct("path", "symbol"), arrival).alias("place"),
-        F.min(arrival).alias("arrival"),
+        F.min_by(F.struct("path", "symbol"), came).alias("place"),
+        F.min(came).alias("arrival"),
         F.bool_and(F.coalesce("stale", F.lit(False))).alias("stale"),
-        F.min_by("verified_state", F.when(F.coalesce("verified_state", F.lit("")) != "", arrival)).alias("state"),
-        F.min(F.when(F.coalesce("verified_state", F.lit("")) != "", arrival)).alias("state_at"),
+        F.min_by("verified_state", F.when(named, came)).alias("state"),
+        F.min(F.when(named, came)).alias("state_at"),
     )
+    first = F.min_by(F.struct("content_hash"), "arrival").over(Window.partitionBy("query_id", "base_key"))["content_hash"]
+    c = c.withColumn("first_hash", first)
+    other = F.col("first_hash").isNotNull() & (F.col("first_hash") != "") & F.col("content_hash").isNotNull() & (F.col("content_hash") != "") & (F.col("first_hash") != F.col("content_hash"))
+    c = c.withColumn("dedup_key", F.when(other, F.concat("base_key", F.lit("::hash:"), "content_hash")).otherwise(F.col("base_key")))
+    by_source = c.groupBy("query_id", "dedup_key", "source").agg(
+        F.max("best").alias("best"), F.min_by("place", "arrival").alias("place"), F.min("arrival").alias("arrival"), F.bool_and("stale").alias("stale"),
+        F.min_by("state", "state_at").alias("state"), F.min("state_at").alias("state_at"),
+    )
     score = F.sum(F.round(lookup(F.col("source"), WEIGHTS) * F.col("best"), 12))
     bonus = F.when(F.count("*") >= 3, 0.10).when(F.count("*") >= 2, 0.05).otherwise(0.0)
     merged = by_source.groupBy("query_id", "dedup_key").agg(
