@@ -126,7 +126,7 @@ class Codec:
         self.rank[list(vocab.values())] = [ranks[p] for p in vocab]
         self.unsafe = np.zeros(self.base, bool)
         self.unsafe[[vocab[p] for p in unsafe]] = True
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.cache: tuple[dict[str, str], dict[str, int], dict[str, str]] = ({}, {}, {})  # ids, count, text of units
 
     # ------------------------------------------------------------------ merge rounds
     def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,27 +238,30 @@ class Codec:
         A unit's ids stand for whole characters, so units decode one by one; the text's first space
         is the dummy prefix and goes.
         """
-        cache = self.cache
-        if len(cache) > CACHE_UNITS:
-            cache.clear()
+        ids_of, count, text_of = self.cache
+        if len(count) > CACHE_UNITS:
+            for c in self.cache:
+                c.clear()
         split = [self.units(t) for t in batch]
-        fresh: dict[str, tuple[str, int, str]] = {}
-        new = list({u for s in split for u in s if u not in cache})
+        new = list({u for s in split for u in s if u not in count})
         for u, ids in zip(new, self._unit_ids(new) if new else ()):
-            text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
-            (cache if len(u) <= CACHE_CHARS else fresh)[u] = (" ".join(map(str, ids)), len(ids), text)
+            ids_of[u], count[u] = " ".join(map(str, ids)), len(ids)
+            text_of[u] = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
         out = []
         for s in split:
-            held = [cache.get(u) or fresh[u] for u in s]
-            line = " ".join([h[0] for h in held] + [str(END_ID)])
-            text = "".join([h[2] for h in held])
+            line = " ".join([*map(ids_of.__getitem__, s), str(END_ID)])
+            text = "".join(map(text_of.__getitem__, s))
             out.append(
                 (
-                    sum([h[1] for h in held]) + 1,
+                    sum(map(count.__getitem__, s)) + 1,
                     hashlib.sha256(line.encode()).hexdigest(),
-                    hashlib.sha256((text[1:] if held else "").encode()).hexdigest(),
+                    hashlib.sha256((text[1:] if s else "").encode()).hexdigest(),
                 )
             )
+        for u in new:
+            if len(u) > CACHE_CHARS:
+                for c in self.cache:
+                    del c[u]
         return out
 
 
