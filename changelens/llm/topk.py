@@ -24,8 +24,8 @@ from changelens.llm._util import materialise, tune
 from changelens.llm.sampling import first_by_hash
 
 #: Pivots, rings of a pivot at most, vectors in the sample that fixes pivots and first bounds, and
-#: vectors in one part of an annulus.
-PIVOTS, RINGS, SAMPLE, PART = 32, 16, 4096, 4096
+#: vectors in one part of an annulus at most.  Parts are a 256th of all vectors, but LEAST_PART at least.
+PIVOTS, RINGS, SAMPLE, PART, LEAST_PART = 32, 16, 4096, 4096, 256
 #: Rounds of expansion: how many of a query's annuli, nearest first; the last takes all the rest.
 EXPAND = (2, None)
 CHUNK = 256
@@ -140,7 +140,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     # at most PIVOTS * RINGS rows
     counts = {(r.pivot, r.ring): r["count"] for r in index.groupBy("pivot", "ring").count().collect()}
     cells = sorted(counts)
-    parts = np.array([-(-counts[c] // PART) for c in cells])
+    most = min(PART, max(LEAST_PART, sum(counts.values()) // 256))
+    parts = np.array([-(-counts[c] // most) for c in cells])
     first = np.cumsum(parts) - parts
     layout = spark.sparkContext.broadcast((np.array(cells), parts, first))
     where = F.create_map(*[x for c, a, n in zip(cells, first, parts) for x in (F.lit(c[0] * RINGS + c[1]), F.array(F.lit(int(a)), F.lit(int(n))))])
