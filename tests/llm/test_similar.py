@@ -71,15 +71,23 @@ def test_links_are_true_and_nearly_all_found(spark):
     assert sum(a[i] == b[i] for i in ids) >= 0.98 * len(ids)
 
 
-def test_large_groups_emit_a_link_a_member():
+def test_large_groups_emit_a_link_a_member_and_tell_a_pair_once():
     r = np.random.default_rng(2)
-    base = int(r.integers(2**62))
-    other = np.array([base ^ (1 << int(r.integers(60))) for _ in range(5000)], np.int64)
-    got = similar.candidates(np.zeros(5000, np.int32), np.arange(5000), other)
-    assert len(got) == 4999 and len(set(roots(range(5000), [tuple(map(int, x)) for x in got]).values())) == 1
-    far = np.concatenate([other, ~other])
-    got = similar.candidates(np.zeros(10_000, np.int32), np.arange(10_000), far)
-    assert all((a < 5000) == (b < 5000) for a, b in got)
+    base = r.integers(2**62, size=2, dtype=np.uint64)
+    turned = lambda: base ^ np.array([1 << int(r.integers(64)) for _ in range(2)], np.uint64)
+    prints = np.array([turned() for _ in range(600)], np.uint64)
+    ids = np.arange(600)
+    seen = []
+    at, key = (np.concatenate(x) for x in zip(*[similar.keys(prints[:, k].view(np.int64), k) for k in range(2)]))
+    for k in np.unique(key):
+        own = at[key == k]
+        got = similar.candidates(key[key == k], ids[own], prints[own])
+        assert len(got) < max(len(own), 7)
+        seen += [tuple(map(int, x)) for x in got]
+    assert len(seen) == len(set(seen)) and len(set(roots(range(600), seen).values())) == 1
+    d = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(-1)
+    for m in range(1, 600):  # its nearest before it, or one as near, is among its links
+        assert min(d[m, a] for a, b in seen if b == m) == d[m, :m].min()
 
 
 def test_drop_similar(spark):
