@@ -109,10 +109,12 @@ def _spread(targets: int):
     return run
 
 
-def smallest_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The smallest key that each pair of ``(n, 2)`` fingerprints shares; beyond any key if none."""
+def smallest_shared(x: np.ndarray, y: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """The smallest key that each pair of ``(n, 2)`` fingerprints shares and at which the other fingerprint
+    agrees; beyond any key if none."""
     out = np.full(len(x), np.iinfo(np.int32).max, np.int64)
     for block in (1, 0):
+        agree = np.bitwise_count(x[:, 1 - block] ^ y[:, 1 - block]) <= most
         common = []
         for at, w in SEGMENTS:
             cut = lambda f: ((f[:, block] >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64)
@@ -121,7 +123,7 @@ def smallest_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             common.append(np.where(same.any(2), p, 1 << 12).min(1))  # 4096: none
         for k in (2, 1, 0):
             i, j = PAIRS[k]
-            has = (common[i] < 4096) & (common[j] < 4096)
+            has = agree & (common[i] < 4096) & (common[j] < 4096)
             out = np.where(has, (block * 3 + k) << 24 | common[i] << 12 | common[j], out)
     return out
 
@@ -161,7 +163,7 @@ def candidates(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int =
             left.append(at + near[ok])
             right.append(at + rows[ok])
     left, right = np.concatenate(left), np.concatenate(right)
-    own = (smallest_shared(prints[left], prints[right]) == key[left]) & (ids[left] != ids[right])
+    own = (smallest_shared(prints[left], prints[right], most) == key[left]) & (ids[left] != ids[right])
     pairs = np.sort(np.stack([ids[left[own]], ids[right[own]]], axis=1), axis=1)
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 

@@ -90,6 +90,19 @@ def test_large_groups_emit_a_link_a_member_and_tell_a_pair_once():
         assert min(d[m, a] for a, b in seen if b == m) == d[m, :m].min()
 
 
+def told(prints, ids, most=similar.MOST_BITS):
+    """Candidates of all keys."""
+    at, key = (np.concatenate(x) for x in zip(*[similar.keys(prints[:, k].view(np.int64), k) for k in range(2)]))
+    return {tuple(map(int, x)) for x in similar.candidates(key, ids[at], prints[at], most)}
+
+
+def test_a_pair_refused_at_its_smallest_key_leaves_from_a_later_one():
+    r = np.random.default_rng(4)
+    a = r.integers(2**62, size=2, dtype=np.uint64)
+    b = a ^ np.array([0, ((1 << 19) - 1) << 23], np.uint64)  # 19 bits of one segment of the second print
+    assert told(np.array([a, b]), np.array([1, 2])) == {(1, 2)}
+
+
 def test_drop_similar(spark):
     rows = copies(9, 8)
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
