@@ -7,9 +7,9 @@ other fingerprint, which had no part in the key, differs in few bits; candidates
 Jaccard of their whole shingle sets.  Measured on true pairs at 0.8 to 0.85, one fingerprint's keys meet 90 %,
 those of two 99 %; above 0.85 all met.
 
-Within a key's group up to SMALL members are compared pair by pair; in a larger one every member is linked to the
-nearest before it.  A pair leaves from the smallest key that it shares alone, so copies that share very many keys
-aren't told as often; the nearest document before each, over all keys, always is.
+All members of a key's group are compared.  Only those that agree in the other fingerprint count, so members by
+chance don't change what is chosen: all candidate pairs if they are fewer than the members, else every member with
+the nearest before it.  A pair leaves from the smallest key alone at which it is a candidate.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Bits in which the other fingerprint of a candidate may differ: nine are expected at 0.8, and three
 #: standard deviations are eight or nine more.
 MOST_BITS = 18
-SMALL, CHUNK, ROWS = 4, 2048, 1024
+#: Groups up to so many members are compared all keys at once.
+FEW = 32
+CHUNK, ROWS = 2048, 1024
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -128,44 +130,101 @@ def smallest_shared(x: np.ndarray, y: np.ndarray, most: int = MOST_BITS) -> np.n
     return out
 
 
-def candidates(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """Distinct ``(n, 2)`` pairs of ids, smaller first, of which this is the smallest shared key and which
-    agree in the fingerprint that it was not made of."""
+def chosen(
+    key: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int = MOST_BITS, label: np.ndarray | None = None, share: int = 1
+) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``(n, 2)`` pairs of ids, smaller first, to verify; and the ids of candidates that were left out.
+
+    Candidates of a key are its members that agree in the fingerprint that it was not made of and, where there
+    are labels, differ in them.  Fewer candidate pairs than members (or than seven) are all chosen; of more, each
+    member's ``share`` nearest before it.  Without labels a key tells only the pairs of which it is the smallest.
+    """
     order = np.lexsort((ids, key))
     key, ids, prints = key[order], ids[order], prints[order]
+    first_round = label is None
+    label = np.arange(len(key)) if first_round else label[order]
     other = np.where(key >> 24 < 3, prints[:, 1], prints[:, 0])
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(key)])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    live = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
-    for step in range(1, SMALL):
+    mixed = np.zeros(len(first), bool)
+    if len(key):
+        mixed = np.minimum.reduceat(label, first) < np.maximum.reduceat(label, first)
+    left, right, open_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live = np.flatnonzero(np.repeat(mixed & (size <= FEW), size))
+    lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, FEW):
         live = live[live + step < len(key)]
         live = live[key[live] == key[live + step]]
         if not len(live):
             break
-        near = live[np.bitwise_count(other[live] ^ other[live + step]) <= most]
-        left.append(near)
-        right.append(near + step)
-    for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        f, o = prints[at : at + n], other[at : at + n]
-        for s in range(1, n, CHUNK):  # each of a chunk with all before it
-            rows = np.arange(s, min(n, s + CHUNK))
-            best, near = np.full(len(rows), 999), np.zeros(len(rows), np.int64)
-            for t in range(0, rows[-1], CHUNK):
-                cols = np.arange(t, min(rows[-1], t + CHUNK))
-                d = sum(np.bitwise_count(f[rows, k][:, None] ^ f[cols, k]).astype(np.int64) for k in range(2))
-                d[(cols >= rows[:, None]) | (np.bitwise_count(o[rows][:, None] ^ o[cols]) > most)] = 999
-                j = d.argmin(1)
-                low = d[np.arange(len(rows)), j]
-                better = low < best
-                best[better], near[better] = low[better], cols[j][better]
-            ok = best < 999
-            left.append(at + near[ok])
-            right.append(at + rows[ok])
+        near = live[(np.bitwise_count(other[live] ^ other[live + step]) <= most) & (label[live] != label[live + step]) & (ids[live] != ids[live + step])]
+        lows.append(near)
+        highs.append(near + step)
+    low, high = np.concatenate(lows), np.concatenate(highs)
+    if len(low):
+        group = np.searchsorted(first, low, "right") - 1
+        whole = (np.bincount(group, minlength=len(first)) < np.maximum(size, 7))[group]
+        d = np.bitwise_count(prints[low] ^ prints[high]).sum(1, dtype=np.int64)
+        by = np.lexsort((low, d, high))
+        start = np.flatnonzero(np.r_[True, np.diff(high[by]) != 0])
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)]))
+        take = whole | (rank < share)
+        left.append(low[take])
+        right.append(high[take])
+        open_ += [low[~take], high[~take]]
+    for at, n in zip(first[mixed & (size > FEW)].tolist(), size[mixed & (size > FEW)].tolist()):
+        x, y, more = _large(ids[at : at + n], prints[at : at + n], other[at : at + n], label[at : at + n], most, share)
+        left.append(at + x)
+        right.append(at + y)
+        open_.append(at + more)
     left, right = np.concatenate(left), np.concatenate(right)
-    own = (smallest_shared(prints[left], prints[right], most) == key[left]) & (ids[left] != ids[right])
-    pairs = np.sort(np.stack([ids[left[own]], ids[right[own]]], axis=1), axis=1)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+    if first_round:
+        own = smallest_shared(prints[left], prints[right], most) == key[left]
+        left, right = left[own], right[own]
+    pairs = np.sort(np.stack([ids[left], ids[right]], axis=1), axis=1)
+    return np.unique(pairs, axis=0) if len(pairs) else pairs, np.unique(ids[np.concatenate(open_)])
+
+
+def _large(ids: np.ndarray, prints: np.ndarray, other: np.ndarray, label: np.ndarray, most: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the chosen pairs in one key's group, and of candidates left out; no more than a chunk's
+    distances and ``share`` of each of its rows are held at once."""
+    n, none = len(ids), np.iinfo(np.int64).max
+    left, right, total, every, met, over = [], [], 0, [], np.zeros(n, bool), False
+    step = max(1, min(CHUNK, (CHUNK * CHUNK) // share))
+    for s in range(1, n, step):  # each of a chunk with all before it
+        rows = np.arange(s, min(n, s + step))
+        best, found = np.full((len(rows), 1), none), np.zeros(len(rows), np.int64)
+        for t in range(0, rows[-1], CHUNK):
+            cols = np.arange(t, min(rows[-1], t + CHUNK))
+            fit = (np.bitwise_count(other[rows][:, None] ^ other[cols]) <= most) & (cols < rows[:, None])
+            fit &= (label[rows][:, None] != label[cols]) & (ids[rows][:, None] != ids[cols])
+            if not fit.any():
+                continue
+            d = sum(np.bitwise_count(prints[rows, k][:, None] ^ prints[cols, k]).astype(np.int64) for k in range(2))
+            d = np.where(fit, d << 40 | cols, none)
+            found += fit.sum(1)
+            met[rows] |= fit.any(1)
+            met[cols] |= fit.any(0)
+            total += int(fit.sum())
+            if total < n:
+                i, j = np.nonzero(fit)
+                every.append((cols[j], rows[i]))
+            both = np.concatenate([best, d], axis=1)
+            best = both.min(1, keepdims=True) if share == 1 else np.partition(both, share - 1, axis=1)[:, :share] if both.shape[1] > share else both
+        i, j = np.nonzero(best < none)
+        left.append(best[i, j] & ((1 << 40) - 1))
+        right.append(rows[i])
+        over |= bool((found > share).any())
+    if total < n:
+        left, right, over = [x for x, _ in every], [y for _, y in every], False
+    left, right = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+    return left, right, np.flatnonzero(met) if over else np.zeros(0, np.int64)
+
+
+def candidates(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """The pairs of the first round."""
+    return chosen(key, ids, prints, most)[0]
 
 
 def _meet(batches):

@@ -103,6 +103,18 @@ def test_a_pair_refused_at_its_smallest_key_leaves_from_a_later_one():
     assert told(np.array([a, b]), np.array([1, 2])) == {(1, 2)}
 
 
+def test_members_by_chance_dont_change_what_is_chosen():
+    r = np.random.default_rng(5)
+    base = r.integers(2**62, size=2, dtype=np.uint64)
+    family = [base ^ np.array([0, 1 << k], np.uint64) for k in range(6)]
+    chance = [np.array([base[0], r.integers(2**62)], np.uint64) for _ in range(60)]  # the key's print, another's other
+    prints = np.array([*family, *chance], np.uint64)
+    at, key = similar.keys(prints[:, 0].view(np.int64), 0)
+    one = key.min()
+    got = {tuple(map(int, x)) for x in similar.candidates(key[key == one], at[key == one], prints[at[key == one]])}
+    assert {(a, b) for a in range(6) for b in range(a + 1, 6)} <= got
+
+
 def test_drop_similar(spark):
     rows = copies(9, 8)
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
