@@ -9,7 +9,8 @@ those of two 99 %; above 0.85 all met.
 
 All members of a key's group are compared.  Only those that agree in the other fingerprint count, so members by
 chance don't change what is chosen: all candidate pairs if they are fewer than the members, else every member with
-the nearest before it.  A pair leaves from the smallest key alone at which it is a candidate.
+the nearest before it.  A pair leaves from the smallest key alone at which it is a candidate.  Candidates that are left
+out meet in further rounds, until all that are not in one component by verified links have been tried.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MOST_BITS = 18
 #: Groups up to so many members are compared all keys at once.
 FEW = 32
 CHUNK, ROWS = 2048, 1024
+#: Each round tries so many times as many partners of a document as the round before.
+GROWTH = 32
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -96,6 +99,7 @@ def keys(fp: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
 def _spread(targets: int):
     def run(batches):
         for b in batches:
+            label = b.column("label").to_numpy() if "label" in b.schema.names else None
             ids, f = b.column("doc_id").to_numpy(), (b.column("f0").to_numpy(), b.column("f1").to_numpy())
             at, key = (np.concatenate(x) for x in zip(*[keys(f[k], k) for k in range(2)]))
             to = (key.astype(np.uint64) * MIX >> np.uint64(24)).astype(np.int64) % targets
@@ -104,9 +108,9 @@ def _spread(targets: int):
             both = np.stack(f, axis=1)
             cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
             ends = np.r_[cut[1:], len(to)]
-            rows = [(int(to[s]), key[s:e].tobytes(), ids[at[s:e]].tobytes(), both[at[s:e]].tobytes()) for s, e in zip(cut, ends)]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.record_batch([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["target", "key", "id", "prints"])
+            held = [key, ids[at], both[at]] + ([] if label is None else [label[at]])
+            cols = [pa.array([int(to[c]) for c in cut], pa.int32()), *[pa.array([h[c:e].tobytes() for c, e in zip(cut, ends)], pa.binary()) for h in held]]
+            yield pa.record_batch(cols, names=["target", "key", "id", "prints", "label"][: len(cols)])
 
     return run
 
@@ -227,16 +231,23 @@ def candidates(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int =
     return chosen(key, ids, prints, most)[0]
 
 
-def _meet(batches):
-    k, i, o = [], [], []
-    for b in batches:
-        k += b.column("key").to_pylist()
-        i += b.column("id").to_pylist()
-        o += b.column("prints").to_pylist()
-    if k:
-        prints = np.frombuffer(b"".join(o), np.uint64).reshape(-1, 2)
-        p = candidates(np.frombuffer(b"".join(k), np.int32), np.frombuffer(b"".join(i), np.int64), prints)
-        yield pa.record_batch([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
+def _meet(share: int):
+    """Pairs; and each candidate that was left out, with no partner."""
+
+    def run(batches):
+        held = {}
+        for b in batches:
+            for name in b.schema.names[1:]:
+                held.setdefault(name, []).extend(b.column(name).to_pylist())
+        if held.get("key"):
+            key, ids, *label = (np.frombuffer(b"".join(held[c]), t) for c, t in (("key", np.int32), ("id", np.int64), ("label", np.int64)) if c in held)
+            prints = np.frombuffer(b"".join(held["prints"]), np.uint64).reshape(-1, 2)
+            p, left_out = chosen(key, ids, prints, MOST_BITS, label[0] if label else None, share)
+            alone = pa.nulls(len(left_out), pa.int64())
+            a, b = pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))
+            yield pa.record_batch([pa.concat_arrays([a, pa.array(left_out)]), pa.concat_arrays([b, alone])], names=["a", "b"])
+
+    return run
 
 
 def _sets(batches):
@@ -258,20 +269,20 @@ def _verify(least: float):
     return run
 
 
-def similar_links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Written links ``(a, b)`` of document ids, smaller first, whose Jaccard is ``least`` or more.
-
-    Texts without words and rows without an id have no links; ids are taken to be unique.
-    """
-    spark = docs.sparkSession
-    tune(spark)
-    sketches = materialise(texts(docs).mapInArrow(released(_sketches), "doc_id long, f0 long, f1 long"), "sketches")
-    n, p = sketches.count(), partitions(spark)
+def _met(sketches: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """Written candidate pairs ``(a, b)``, and the ids ``(doc_id)`` of candidates that were left out."""
+    spark = sketches.sparkSession
+    p = partitions(spark)
+    label = ", label binary" if "label" in sketches.columns else ""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    blocks = sketches.repartition(p, "doc_id").mapInArrow(released(_spread(4 * p)), "target int, key binary, id binary, prints binary")
-    met = blocks.repartition(p, "target").mapInArrow(released(_meet), "a long, b long").distinct()
-    pairs = materialise(met, "candidates")
+    blocks = sketches.repartition(p, "doc_id").mapInArrow(released(_spread(4 * p)), "target int, key binary, id binary, prints binary" + label)
+    met = materialise(blocks.repartition(p, "target").mapInArrow(released(_meet(share)), "a long, b long").distinct(), "candidates")
     tune(spark)
+    return met.where("b IS NOT NULL"), met.where("b IS NULL").select(F.col("a").alias("doc_id"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFrame:
+    """The written pairs whose Jaccard is ``least`` or more."""
     ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "ends", n)
     own = texts(docs)
     held = materialise(own.join(ends, own.doc_id == ends.end, "left_semi").mapInArrow(released(_sets), "doc_id long, held binary"), "sets")
@@ -280,6 +291,32 @@ def similar_links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return materialise(half.join(y, half.b == y.j).select("a", "b", "x", "y").mapInArrow(released(_verify(least)), "a long, b long"), "similar")  # its tasks read sets, so they aren't cut by rows
 
 
+def similar_links(docs: DataFrame, least: float = SIMILARITY, known: DataFrame | None = None) -> DataFrame:
+    """Written links ``(a, b)`` of document ids, smaller first, whose Jaccard is ``least`` or more.
+
+    Their components, with the links of ``known``, are those of all candidate pairs that are so similar: candidates
+    that a round leaves out meet again, as far as they are in different components by then, with GROWTH times as many
+    partners each, until none is left out.
+
+    Texts without words and rows without an id have no links; ids are taken to be unique.
+    """
+    tune(docs.sparkSession)
+    sketches = materialise(texts(docs).mapInArrow(released(_sketches), "doc_id long, f0 long, f1 long"), "sketches")
+    n, share = sketches.count(), 1
+    pairs, left_out = _met(sketches, share)
+    links = _verified(docs, pairs, n, least)
+    while m := left_out.count():
+        share *= GROWTH
+        joined = links if known is None else links.unionByName(known)
+        root = components(materialise(joined, "joined", joined.count()))
+        open_ = materialise(sketches.join(left_out, "doc_id", "left_semi"), "open", m)
+        labelled = open_.join(root, open_.doc_id == root.node, "left").select("doc_id", "f0", "f1", F.coalesce("root", "doc_id").alias("label"))
+        pairs, left_out = _met(materialise(labelled, "labelled", m), share)
+        more = _verified(docs, pairs, n, least)
+        links = materialise(links.unionByName(more).distinct(), "links", links.count() + more.count())
+    return links
+
+
 def drop_similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each group stays, with its own columns: the one with the smallest id.
 
@@ -287,6 +324,6 @@ def drop_similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     verified Jaccard of at least ``least`` over five-word shingles.
     """
     close = materialise(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "close")
-    both = materialise(similar_links(docs, least).unionByName(close), "both")
+    both = materialise(similar_links(docs, least, close).unionByName(close), "both")
     gone = components(both).where("node <> root").select(F.col("node").alias("__gone"))
     return docs.join(materialise(gone, "gone", both.count()), docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -1,6 +1,7 @@
 """Similar documents against all pairs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -115,6 +116,31 @@ def test_members_by_chance_dont_change_what_is_chosen():
     assert {(a, b) for a in range(6) for b in range(a + 1, 6)} <= got
 
 
+def test_no_candidate_of_a_star_is_left_untried(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for star in range(2):  # variants are 0.8 like the text of a late id, but not like each other
+        hub = [word() for _ in range(400)]
+        for v in range(40):
+            w = list(hub)
+            for k in r.sample(range(0, 390, 6), 8):
+                w[k] = word()
+            rows.append((100 * star + v, " ".join(w)))
+        rows.append((100 * star + 90, " ".join(hub)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    links = {tuple(x) for x in similar.similar_links(docs).collect()}
+    prints = np.array([similar.sketch(similar.shingles(t)) for _, t in rows], np.int64).view(np.uint64)
+    x, y = (z.ravel() for z in np.triu_indices(len(rows), 1))
+    met = similar.smallest_shared(prints[x], prints[y]) < np.iinfo(np.int32).max
+    ids = [i for i, _ in rows]
+    true = brute(rows)
+    tried = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(x[met], y[met])}
+    assert links <= true and roots(ids, links) == roots(ids, true & tried)
+    sizes = sorted(Counter(roots(ids, links).values()).values())
+    assert sum(sizes[-2:]) >= 0.9 * len(ids)  # the two stars; five pairs share no key
+
+
 def test_drop_similar(spark):
     rows = copies(9, 8)
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
