@@ -154,7 +154,7 @@ def _moments(batches):
 def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model:
     """Fit on at most ``most`` labelled documents outside the held-out fold.
 
-    Three of four of them (by a hash of the id) enter the normal equations, the rest calibrate.  One
+    Three of four of them (by a hash of the id) enter the normal equations, the rest calibrate, however few they are.  One
     matrix of ``(FEATURES + 1) ** 2`` doubles comes from each of ``FIT_TASKS`` tasks.
     """
     tune(docs.sparkSession)
@@ -176,8 +176,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model:
         yield pa.record_batch([pa.array([a.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=["a", "c"])
 
     aside = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0
-    if n < 400:  # too few to keep some out
-        aside = F.lit(False)
     sums = rows.where(~aside).mapInArrow(equations, "a binary, c binary").collect()
     a = sum((np.frombuffer(r.a).reshape(d, d) for r in sums), np.zeros((d, d)))
     c = sum((np.frombuffer(r.c) for r in sums), np.zeros(d))
@@ -189,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model:
         for b in batches:
             yield pa.record_batch([pa.array(basis(_matrix(b)) @ weights), b.column("y")], names=["raw", "y"])
 
-    kept = rows.where(aside if n >= 400 else F.lit(True)).mapInArrow(raw, "raw double, y int").collect()
+    kept = rows.where(aside).mapInArrow(raw, "raw double, y int").collect()
     if not kept:
         return Model(basis, weights, np.array([0.0]), np.array([0.5]))
     knots, values = isotonic(np.array([r.raw for r in kept]), np.array([r.y for r in kept], np.float64))

@@ -108,3 +108,12 @@ def test_quality_held_out(spark):
     held = [i for i in got if got[i].held_out]
     assert {i for i in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2}
     assert sum(got[i].predicted == truth[i] for i in held) >= 0.95 * len(held)
+
+
+def test_few_labels_are_calibrated_on_rows_kept_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word {i} and {i * i} more") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    seen, fit = [], quality.isotonic
+    monkeypatch.setattr(quality, "isotonic", lambda x, y: (seen.append(len(x)), fit(x, y))[1])
+    quality.train(docs, labels)
+    assert 0 < seen[0] < 80  # a fourth of the 150 or so outside the held-out fold
