@@ -23,6 +23,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp())
+        .config("spark.checkpoint.dir", tempfile.mkdtemp())
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
