@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -20,12 +19,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir or setCheckpointDir names it."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="changelens-")
-        sc.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root
 
 
@@ -79,6 +77,42 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def MARK(docs: DataFrame):
+    """A hash of a row's whole text (null: empty), which with its id tells it apart."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``(doc_id, mark)`` isn't in ``gone``; of each in ``again`` one row.
+
+    Both are written tables of distinct rows; ids may be null.  Of rows that agree in id and text the first by
+    their JSON form stays.  Columns keep names, order and types.
+    """
+    i, m = unused(docs, "row_id"), unused(docs, "row_mark")
+    own = docs.withColumns({i: docs["doc_id"].cast("long"), m: MARK(docs)})
+
+    def meets(other: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        x, y = unused(docs, "other_id"), unused(docs, "other_mark")
+        o = other.select(F.col("doc_id").alias(x), F.col("mark").alias(y)).hint("shuffle_hash")
+        return rows.join(o, F.col(i).eqNullSafe(F.col(x)) & (F.col(m) == F.col(y)), how)
+
+    kept = meets(gone, "left_anti", own)
+    if again.isEmpty():
+        return kept.drop(i, m)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    r = unused(docs, "row")
+    one = meets(again, "left_semi", kept).groupBy(i, m).agg(F.min_by(row, F.to_json(row)).alias(r)).select(f"{r}.*")
+    return meets(again, "left_anti", kept).drop(i, m).unionByName(one)
+
+
 def released(run):
     """``run`` over Arrow batches, after which its worker gives freed memory back: workers stay alive
     between stages, and what one stage needed at its peak would else be held through the next."""

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm._util import materialise, texts, tune
+from changelens.llm._util import materialise, texts, tune, without
 
 #: The white space that separates words in the contract of equality.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -98,7 +98,7 @@ def _unpack(blob: bytes, sizes: list[int]) -> list[np.ndarray]:
     return out
 
 
-INDEX = "shard long, bits binary, sizes array<int>, digests binary, winners binary, counts binary"
+INDEX = "shard long, bits binary, sizes array<int>, digests binary, winners binary, real binary, counts binary"
 
 
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -113,12 +113,13 @@ def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             "sizes": [sizes],
             "digests": [d[place].tobytes()],
             "winners": [pdf.winner.to_numpy(np.int64)[place].tobytes()],
+            "real": [pdf.real.to_numpy(bool)[place].tobytes()],
             "counts": [pdf.n.to_numpy(np.int64)[place].tobytes()],
         }
     )
 
 
-GROUPS = "digest binary, keep_id long, group_size long"
+GROUPS = "digest binary, keep_id long, real boolean, group_size long"
 
 
 def _lookup(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
@@ -127,12 +128,13 @@ def _lookup(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         row = index.iloc[0]
         held = np.frombuffer(row.digests, np.uint8).reshape(-1, 32)
         keep = np.frombuffer(row.winners, np.int64).copy()
+        real = np.frombuffer(row.real, bool).copy()
         size = np.frombuffer(row.counts, np.int64).copy()
     else:
-        held, keep, size = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out = [pd.DataFrame({"digest": [x.tobytes() for x in held], "keep_id": keep, "group_size": size})]
+        held, keep, real, size = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+    out = [pd.DataFrame({"digest": [x.tobytes() for x in held], "keep_id": keep, "real": real, "group_size": size})]
     if len(new):
-        d, n, won = _matrix(new.digest), new.n.to_numpy(np.int64), new.winner.to_numpy(np.int64)
+        d, n, won, has = _matrix(new.digest), new.n.to_numpy(np.int64), new.winner.to_numpy(np.int64), new.real.to_numpy(bool)
         member = np.zeros(len(d), bool)
         if len(held):
             slot = find_slots(_unpack(row.bits, list(row.sizes)), d)
@@ -141,22 +143,24 @@ def _lookup(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
             member[at] = True
             size[slot[at]] += n[at]
             keep[slot[at]] = np.minimum(keep[slot[at]], won[at])
-        out[0]["group_size"], out[0]["keep_id"] = size, keep
+            real[slot[at]] |= has[at]
+        out[0]["group_size"], out[0]["keep_id"], out[0]["real"] = size, keep, real
         rest = ~member
-        out.append(pd.DataFrame({"digest": new.digest[rest], "keep_id": won[rest], "group_size": n[rest]}))
+        out.append(pd.DataFrame({"digest": new.digest[rest], "keep_id": won[rest], "real": has[rest], "group_size": n[rest]}))
     return pd.concat(out, ignore_index=True)
 
 
-#: Stands for a missing id while ids are compared: it sorts after every real one.
+#: Stands for a missing id while ids are compared: no real one sorts after it, and ``real`` tells them apart.
 NO_ID = 2**63 - 1
 
 
 # ------------------------------------------------------------------------------- the operator
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, digest)`` of the normalised whole text; null counts as empty."""
+    """``(doc_id, digest, mark)``: the digest is of the normalised whole text, the mark a hash of the text as it is;
+    null counts as empty."""
     d = texts(docs, id_col=id_col, text_col=text_col)
     normal = F.regexp_replace("text", SPACE, " ")
-    return d.select("doc_id", F.unhex(F.sha2(normal, 256)).alias("digest"))
+    return d.select("doc_id", F.unhex(F.sha2(normal, 256)).alias("digest"), F.xxhash64("text").alias("mark"))
 
 
 def history_index(per_digest: DataFrame, shards: int) -> DataFrame:
@@ -170,19 +174,12 @@ def _shard(shards: int):
 
 def _per_digest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(
-        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("winner"), F.count("*").alias("n")
+        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("winner"), (F.count("doc_id") > 0).alias("real"), F.count("*").alias("n")
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
-
-    The lower half of the id range is the history, the upper half arrives afterwards; the result
-    does not depend on where the line is drawn.  Null and empty texts are one group, as are texts
-    that differ in white space only.  Rows that repeat an id together with its text share its
-    decision.  A null id never wins over a real one; a group of null ids only has a null keep_id
-    and its rows stay.  An empty table gives an empty table; other columns are ignored.
-    """
+def _grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Written ``doc_id, digest, mark`` of every row, and ``held, keep_id, group_size`` of every digest."""
     tune(docs.sparkSession)
     d = materialise(digests(docs, id_col, text_col), "digests")
     lo, hi, n = d.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -192,9 +189,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     index = materialise(history_index(_per_digest(d.where(old)), shards), "mph")
     new = _per_digest(d.where(~old)).withColumn("shard", _shard(shards))
     groups = new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_lookup, GROUPS)
-    groups = materialise(
-        groups.withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID))), "groups", n
-    ).withColumnRenamed("digest", "held")
+    groups = groups.select(F.col("digest").alias("held"), F.when(F.col("real"), F.col("keep_id")).alias("keep_id"), "group_size")
+    return d, materialise(groups, "groups", n)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+
+    The lower half of the id range is the history, the upper half arrives afterwards; the result
+    does not depend on where the line is drawn.  Null and empty texts are one group, as are texts
+    that differ in white space only.  Rows that repeat an id together with its text share its
+    decision.  A null id never wins over a real one; a group of null ids only has a null keep_id
+    and its rows stay.  Very long texts are hashed whole.  An empty table gives an empty table;
+    other columns are ignored.
+    """
+    d, groups = _grouped(docs, id_col, text_col)
     return d.join(groups, d.digest == groups.held).select(
         "doc_id",
         "keep_id",
@@ -205,9 +214,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with the columns they came with."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    """One row of each group of equal texts stays, with its own columns: that with the smallest id.
+
+    Rows are told apart by id and text, so an id that comes with several texts is several documents.  Of rows
+    of the smallest id whose texts differ in white space, the one with the least hash of its text stays; of rows
+    that agree in id and text, the first by their JSON form.  A null id never wins over a real one; of a group of
+    null ids one row stays.  Extra columns may have any names; an empty table gives an empty table.
+    """
+    d, groups = _grouped(docs)
+    first = groups.where("group_size > 1").select("held", F.col("keep_id").alias("k"))
+    of_more = d.join(first, F.col("digest") == F.col("held")).select("doc_id", "mark", "digest", F.col("doc_id").eqNullSafe(F.col("k")).alias("won"))
+    counted = materialise(of_more.groupBy("digest", "doc_id", "mark", "won").count(), "counted")
+    best = materialise(counted.where("won").groupBy("digest").agg(F.min("mark").alias("best")).withColumnRenamed("digest", "h"), "best")
+    stays = F.col("won") & (F.col("mark") == F.col("best"))
+    told = materialise(counted.join(best, F.col("digest") == F.col("h")).select("doc_id", "mark", "count", stays.alias("stays")), "told")
+    return without(docs, told.where(~F.col("stays")).select("doc_id", "mark"), told.where("stays AND count > 1").select("doc_id", "mark"))
 
 
 ORACLE_SQL = r"""

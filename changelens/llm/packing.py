@@ -1,16 +1,15 @@
 """Best-fit packing in bulk-synchronous supersteps.
 
-Documents become token pieces, which the cluster sorts by range of (length, id), so a hot length is
-spread over partitions; each piece learns its rank among those of its length.  Pieces of one length,
-and gaps of one size, are interchangeable, so the state of a superstep is run-length coded: how many
-pieces of each length are left, and which runs of sequences have which gap.  It has at most a run for
-each length and gap size met, whatever the corpus holds.
-
-A superstep sweeps the sorted lengths, longest first, along the sorted gaps that stood at its start:
-a piece goes to its successor, the smallest gap it fits; where more pieces than gaps meet, ranks
-decide, and losers go on to the next larger gap.  Then gaps are updated and the next superstep begins.
-When no piece finds a gap, new sequences open for the longest.  The outcome is a table of rank ranges,
-which every partition applies to its own pieces: tokens never move, and no piece reaches the driver.
+Documents become token pieces.  A piece longer than half the capacity shares with no other such, so it opens a
+sequence, which leaves a gap.  Then supersteps repeat.  Pieces that are left and gaps are sorted together by range of
+size, largest first, a gap before a piece of its size; a hot size is split by row.  Along that order a successor sweep
+is a matching of brackets: each piece takes the smallest gap that it fits and that no longer piece has taken.  Every
+partition sweeps its own range and is left with pieces that found no gap in it, and gaps that no piece took; how many
+of either is all that the driver learns of a partition.  Between partitions conflicts are resolved by these ranks: the
+first pieces left in a range get the last gaps left in the ranges before.  Then gaps are updated, and the next superstep
+begins.  A superstep that places few opens sequences for the longest pieces, as many as the rest needs at least.
+
+A last rest of at most TAIL pieces is packed by itself, into the largest gaps and new sequences.
 """
 
 from __future__ import annotations
@@ -112,128 +111,192 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, pa
 
 
 # ------------------------------------------------------------------------------ supersteps
-def supersteps(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """``counts[n]`` pieces of length n -> runs ``(length, from rank, how many, first sequence, offset)``.
-
-    Ranks ``r0 .. r0+m-1`` of a length go, in this order, to sequences ``s0 .. s0+m-1`` at the offset.
-    """
-    left = {n: int(c) for n, c in enumerate(counts) if c and n}
-    rank = dict.fromkeys(left, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs (first sequence, how many)
-    sizes: list[int] = []  # sorted sizes that have runs
-    runs, opened = [], 0
-
-    def add(size: int, run: tuple[int, int]) -> None:
-        if size:
-            if size not in gaps:
-                gaps[size] = []
-                insort(sizes, size)
-            gaps[size].append(run)
-
-    def place(n: int, seq: int, m: int, offset: int) -> None:
-        runs.append((n, rank[n], m, seq, offset))
-        rank[n] += m
-        left[n] -= m
-        if not left[n]:
-            del left[n]
-
-    def open_for(n: int, m: int) -> None:
-        nonlocal opened
-        place(n, opened, m, 0)
-        add(capacity - n, (opened, m))
-        opened += m
-
-    for n in [n for n in sorted(left, reverse=True) if 2 * n > capacity]:  # no two of these share
-        open_for(n, left[n])
-    while left:
-        made = []
-        for n in sorted(left, reverse=True):
-            at = bisect_left(sizes, n)
-            while n in left and at < len(sizes):
-                size = sizes[at]
-                seq, m = gaps[size].pop()
-                take = min(m, left[n])
-                if take < m:
-                    gaps[size].append((seq + take, m - take))
-                made.append((size - n, (seq, take)))
-                place(n, seq, take, capacity - size)
-                if not gaps[size]:
-                    del gaps[size], sizes[at]
-        for size, run in made:
-            add(size, run)
-        if not made:
-            n = max(left)
-            open_for(n, -(-left[n] // (capacity // n)))
+#: Pieces that are packed in one go when no more are left; a superstep that places less than one in FEW opens sequences.
+TAIL, FEW = 4096, 4
+PIECE, GAP = 1, 0
+
+
+def sweep(kind: np.ndarray) -> np.ndarray:
+    """Brackets in sorted order (gaps open, pieces close) -> each one's partner, -1 without."""
+    partner, open_ = np.full(len(kind), -1, np.int64), []
+    for k, piece in enumerate(kind.tolist()):
+        if not piece:
+            open_.append(k)
+        elif open_:
+            g = open_.pop()
+            partner[k], partner[g] = g, k
+    return partner
+
+
+def between(left: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(pieces, gaps) that each partition is left with, in order -> runs ``(piece partition, first rank, how many, gap
+    partition, last rank)``: pieces of rising rank get gaps of falling rank."""
+    runs, open_ = [], []
+    for part, (pieces, gaps) in enumerate(left):
+        at = 0
+        while at < pieces and open_:
+            q, n = open_.pop()
+            m = min(n, pieces - at)
+            runs.append((part, at, m, q, n - 1))
+            at += m
+            if n > m:
+                open_.append((q, n - m))
+        if gaps:
+            open_.append((part, gaps))
     return runs
 
 
+def _swept(batches):
+    """A sorted partition with each row's partner there, or its rank among those of its kind without one."""
+    part, held = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
+    if not held:
+        return
+    size, kind, id_ = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("size", "kind", "id"))
+    partner = sweep(kind)
+    alone = partner < 0
+    rank = np.full(len(kind), -1, np.int64)
+    for k in (PIECE, GAP):
+        own = alone & (kind == k)
+        rank[own] = np.arange(own.sum())
+    cols = [size, kind, id_, np.where(alone, -1, id_[partner]), np.where(alone, 0, size[partner]), rank, np.full(len(kind), part, np.int32)]
+    yield pa.record_batch([pa.array(c) for c in cols], names=["size", "kind", "id", "other", "other_size", "rank", "part"])
+
+
+def _superstep(left: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``left`` (id, size), ``gaps`` (id, size) -> written (placed: id, sequence_id, offset), left, gaps."""
+    spark = left.sparkSession
+    p = partitions(spark)
+    rows = left.select("size", F.lit(PIECE).alias("kind"), "id").unionByName(gaps.select("size", F.lit(GAP).alias("kind"), "id"))
+    rows = rows.repartitionByRange(p, F.desc("size"), "kind", "id").sortWithinPartitions(F.desc("size"), "kind", "id")
+    met = materialise(rows.mapInArrow(released(_swept), "size long, kind int, id long, other long, other_size long, rank long, part int"), "swept")
+    over = {(r.part, r.kind): r["count"] for r in met.where("rank >= 0").groupBy("part", "kind").count().collect()}  # two rows a partition at most
+    last = max((k[0] for k in over), default=-1) + 1
+    runs = between([(over.get((k, PIECE), 0), over.get((k, GAP), 0)) for k in range(last)])
+    by_part = {kind: {} for kind in (PIECE, GAP)}
+    for n, (part, r0, m, q, g0) in enumerate(runs):
+        by_part[PIECE].setdefault(part, []).append((r0, m, n))
+        by_part[GAP].setdefault(q, []).append((g0 - m + 1, m, n))
+    table = spark.sparkContext.broadcast({kind: {k: np.array(sorted(v), np.int64).T for k, v in d.items()} for kind, d in by_part.items()})
+
+    def numbered(batches):
+        """The run and the place in it by which a row without a partner meets one of another partition; run -1: none."""
+        for b in batches:
+            part, kind, rank = (b.column(c).to_numpy() for c in ("part", "kind", "rank"))
+            run, place = np.full(len(part), -1, np.int64), np.zeros(len(part), np.int64)
+            for k in (PIECE, GAP):
+                for q in np.unique(part[kind == k]):
+                    own = np.flatnonzero((part == q) & (kind == k))
+                    if int(q) not in table.value[k]:
+                        continue
+                    first, many, number = table.value[k][int(q)]
+                    at = np.searchsorted(first, rank[own], side="right") - 1
+                    into = rank[own] - first[np.maximum(at, 0)]
+                    hit = (at >= 0) & (into < many[at])
+                    run[own[hit]] = number[at[hit]]
+                    place[own[hit]] = into[hit] if k == PIECE else many[at[hit]] - 1 - into[hit]
+            yield pa.record_batch([*[b.column(c) for c in ("size", "kind", "id")], pa.array(run), pa.array(place)], names=["size", "kind", "id", "run", "place"])
+
+    schema = "size long, kind int, id long, run long, place long"
+    alone = met.where("rank >= 0").mapInArrow(numbered, schema)
+    if runs:
+        alone = materialise(alone, "alone")
+        far_gap = alone.where((F.col("kind") == GAP) & (F.col("run") >= 0)).select("run", "place", F.col("id").alias("other"), F.col("size").alias("other_size"))
+        far = alone.where((F.col("kind") == PIECE) & (F.col("run") >= 0)).join(far_gap, ["run", "place"]).select("id", "size", "other", "other_size")
+        alone = alone.where("run < 0")
+    near = met.where((F.col("kind") == PIECE) & (F.col("rank") < 0)).select("id", "size", "other", "other_size")
+    fits = materialise(near.unionByName(far) if runs else near, "fits")
+    placed = fits.select("id", F.col("other").alias("sequence_id"), (F.lit(capacity) - F.col("other_size")).alias("offset"))
+    rest = fits.select(F.col("other").alias("id"), (F.col("other_size") - F.col("size")).alias("size")).where("size > 0")
+    kept = alone.where(F.col("kind") == GAP).select("id", "size")
+    return placed, alone.where(F.col("kind") == PIECE).select("id", "size"), rest.unionByName(kept)
+
+
+def best_fit(lengths: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """Sequential best fit, longest first: ``(id, length)`` and gaps ``(id, size)`` -> ``(id, sequence, offset)``."""
+    free: dict[int, list[int]] = {}
+    for i, size in gaps:
+        free.setdefault(size, []).append(i)
+    sizes, out = sorted(free), []
+    for i, n in sorted(lengths, key=lambda x: (-x[1], x[0])):
+        k = bisect_left(sizes, n)
+        size = sizes[k] if k < len(sizes) else capacity
+        if k < len(sizes):
+            seq = free[size].pop()
+            if not free[size]:
+                del free[size], sizes[k]
+        else:
+            seq = i
+        out.append((i, seq, capacity - size))
+        if size > n:
+            if size - n not in free:
+                free[size - n] = []
+                insort(sizes, size - n)
+            free[size - n].append(seq)
+    return out
+
+
 # ------------------------------------------------------------------------------ the operator
-def _ranked(batches):
-    """Rank of each piece among those of its length in this partition, which is sorted."""
-    part, last, seen = TaskContext.get().partitionId(), -1, 0
-    for b in batches:
-        n = b.column("length").to_numpy()
-        if not len(n):
-            continue
-        first = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
-        rank = np.arange(len(n)) - np.repeat(first, np.diff(np.r_[first, len(n)]))
-        if n[0] == last:
-            rank[: first[1] if len(first) > 1 else len(n)] += seen
-        last, seen = n[-1], int(rank[-1]) + 1
-        part_col = pa.array(np.full(len(n), part, np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns, part_col, pa.array(rank, pa.int64())], names=[*b.schema.names, "part", "rank"]
-        )
-
-
-def pack_pieces(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def _opened(left: DataFrame, by_length: dict[int, int], many: int):
+    """Condition that holds for about the ``many`` longest pieces; of one length they are told apart by a hash."""
+    for n in sorted(by_length, reverse=True):
+        if by_length[n] > many:
+            share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, (many << 20) // by_length[n])
+            return (F.col("size") > n) | ((F.col("size") == n) & share)
+        many -= by_length[n]
+    return F.lit(True)
+
+
+def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, tail: int = TAIL) -> DataFrame:
     """Pieces ``(doc_id, piece, length 1..capacity, ...)`` -> the same and ``sequence_id, offset``.
 
-    Ties of length go by doc_id, then piece; equal rows are told apart by place.  The driver takes a
-    count for each pair of partition and length that meet in the sorted order: at most one for each
-    partition and one for each length.
+    A sequence has the number of the piece that opened it.  The driver takes counts for each length and each
+    partition, and at most ``tail`` pieces and gaps at the end.
     """
     spark = parts.sparkSession
-    parts = materialise(parts, "pieces")  # sampling for the ranges reads them once more
-    rows = parts.repartitionByRange(partitions(spark), "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
-    extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    ranked = materialise(rows.mapInArrow(_ranked, f"{extra}, part int, rank long"), "ranked")
-    met = ranked.groupBy("length", "part").count().orderBy("length", "part").collect()
-    totals, before = np.zeros(capacity + 1, np.int64), {}
-    for r in met:
-        before[r["length"], r["part"]] = int(totals[r["length"]])
-        totals[r["length"]] += r["count"]
-    by_length: dict[int, list] = {}
-    for n, r0, _, seq, off in supersteps(totals, capacity):
-        by_length.setdefault(n, []).append((r0, seq, off))
-    table = {n: np.array(v, np.int64).T for n, v in by_length.items()}
-    starts = spark.sparkContext.broadcast((before, table))
-
-    def place(batches):
-        first, ranges = starts.value
-        for b in batches:
-            n, part, rank = (b.column(c).to_numpy() for c in ("length", "part", "rank"))
-            seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            pair = n * (1 << 32) + part
-            for p in np.unique(pair):
-                own = np.flatnonzero(pair == p)
-                size = int(p >> 32)
-                r0, s0, o = ranges[size]
-                g = rank[own] + first[size, int(p & 0xFFFFFFFF)]
-                k = np.searchsorted(r0, g, side="right") - 1
-                seq[own], off[own] = s0[k] + g - r0[k], o[k]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(off)], names=[*b.schema.names, "sequence_id", "offset"])
-
-    out = ranked.mapInArrow(place, f"{extra}, part int, rank long, sequence_id long, offset long")
-    return out.drop("part", "rank")
+    names = parts.columns
+    pieces_ = materialise(parts.withColumn("id", F.monotonically_increasing_id()), "pieces")
+    every = pieces_.select("id", F.col("length").alias("size"))
+    first = F.col("size") * 2 > capacity
+    placed = [every.where(first).select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    left = every.where(~first)
+    gaps = every.where(first).select("id", (F.lit(capacity) - F.col("size")).alias("size")).where("size > 0")
+    before = None
+    while True:
+        by_length = {r["size"]: r["count"] for r in left.groupBy("size").count().collect()}  # a row a length
+        n = sum(by_length.values())
+        if n <= tail:
+            break
+        if before is not None and before - n < n // FEW:  # few found a gap: the longest open sequences
+            least = min(by_length)
+            room = gaps.where(F.col("size") >= least).agg(F.sum("size")).first()[0] or 0
+            many = -(-max(0, sum(k * c for k, c in by_length.items()) - room) // capacity)
+            opens = materialise(left.withColumn("opens", _opened(left, by_length, max(many, n // 64, 1))), "opens")
+            placed.append(opens.where("opens").select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+            gaps = gaps.unionByName(opens.where("opens").select("id", (F.lit(capacity) - F.col("size")).alias("size")).where("size > 0"))
+            left = opens.where(~F.col("opens")).select("id", "size")
+            before = None
+            continue
+        before = n
+        got, left, gaps = _superstep(left, gaps.where(F.col("size") >= min(by_length)), capacity)
+        placed.append(got)
+    if n:
+        rest = [(r.id, r["size"]) for r in left.collect()]
+        large = gaps.where(F.col("size") >= min(by_length)).orderBy(F.desc("size"), "id").limit(max(tail, 1)).collect()
+        ends = best_fit(rest, [(r.id, r["size"]) for r in large], capacity)
+        placed.append(spark.createDataFrame(ends, "id long, sequence_id long, offset long"))
+    at = placed[0]
+    for more in placed[1:]:
+        at = at.unionByName(more)
+    at = at.withColumnRenamed("id", "at")
+    return pieces_.join(at, F.col("id") == F.col("at")).select(*names, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     One row per piece: ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``.
-    Null and empty texts are one piece of the end mark.  Repeated rows and null ids are packed like
-    others; other columns are ignored; an empty table gives an empty table.
+    Null and empty texts are one piece of the end mark; very long texts are cut into pieces.  Repeated
+    rows and null ids are packed like others; other columns are ignored; an empty table gives an empty table.
     """
     return pack_pieces(pieces(docs, capacity, with_ids), capacity)
 

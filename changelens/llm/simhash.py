@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm._util import materialise, partitions, released, texts, tune
+from changelens.llm._util import MARK, materialise, partitions, released, texts, tune, without
 from changelens.llm.components import components
 
 SEED = 42
@@ -146,7 +146,7 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ---------------------------------------------------------------------------- links in a task
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest reachable position for each of n, by hooking and pointer jumping."""
     root = np.arange(n)
     while True:
@@ -226,7 +226,7 @@ def _links(batches):
     node, at = np.unique(np.concatenate([a, b]).view(np.int64), return_inverse=True)
     if not len(node):
         return
-    root = _roots(len(node), at[: len(a)], at[len(a) :])
+    root = roots(len(node), at[: len(a)], at[len(a) :])
     own = np.flatnonzero(root != np.arange(len(node)))
     yield pa.record_batch([pa.array(node[own]), pa.array(node[root[own]])], names=["a", "b"])
 
@@ -275,12 +275,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return d.join(every, d.fp == every.f).select("doc_id", "fp", "component_id")
 
 
+def same_prints(printed: DataFrame) -> DataFrame:
+    """Written links ``(a, b)`` of nodes, enough to join what fingerprints within four bits join.
+
+    ``printed``: a written table with ``node`` (distinct) and ``fp``.
+    """
+    n = printed.count()
+    spark = printed.sparkSession
+    one = materialise(printed.groupBy("fp").agg(F.min("node").alias("least")), "distinct", n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    joined = materialise(links(one).distinct(), "links", n)
+    tune(spark)
+    root = components(joined).where("node <> root")
+    lead = root.join(one, root.node == one.fp).select(F.col("least").alias("a"), "root")
+    lead = lead.join(one.select(F.col("fp").alias("f"), F.col("least").alias("b")), F.col("root") == F.col("f")).select("a", "b")
+    same = printed.select("node", F.col("fp").alias("f")).join(one, F.col("f") == F.col("fp")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return materialise(lead.unionByName(same), "close", n)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest id."""
-    stay = (
-        near_duplicates(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__stay"))
-        .distinct()
-    )
-    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    """One row of each component stays: the one with the smallest id, ties by a hash of the text.
+
+    Rows are told apart by id and text; rows that agree in both are one.  A null id never wins over a real one;
+    of a component of null ids one row stays.
+    """
+    d = docs.select(F.monotonically_increasing_id().alias("node"), docs["doc_id"].cast("long").alias("doc_id"), MARK(docs).alias("mark"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
+            yield pa.record_batch([b.column("node"), b.column("doc_id"), b.column("mark"), pa.array(fp.view(np.int64))], names=["node", "doc_id", "mark", "fp"])
+
+    tune(docs.sparkSession)
+    printed = materialise(d.mapInArrow(released(run), "node long, doc_id long, mark long, fp long"), "printed")
+    return without(docs, *left_out(same_prints(printed), printed))
+
+
+def left_out(linked: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written ``(doc_id, mark)`` of rows that don't stay, and of rows that stay but are repeated.
+
+    ``linked``: written links of nodes; ``rows``: a written table of ``node, doc_id, mark``.  Of what links join
+    the row with the smallest id stays, ties by mark; null ids come last.
+    """
+    n = 2 * linked.count()
+    root = components(linked)
+    every = materialise(root.join(rows.select(F.col("node").alias("x"), "doc_id", "mark"), F.col("node") == F.col("x")).select("root", "doc_id", "mark"), "grouped", n)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    first = every.groupBy("root").agg(least.alias("w")).select(F.col("root").alias("r"), F.col("w.doc_id").alias("i"), F.col("w.mark").alias("m"))
+    first = materialise(first, "first", n)
+    stays = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))
+    told = materialise(every.join(first, F.col("root") == F.col("r")).select("doc_id", "mark", stays.alias("stays")), "told", n)
+    gone = materialise(told.where(~F.col("stays")).select("doc_id", "mark").distinct(), "gone", n)
+    again = told.where("stays").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark")
+    return gone, materialise(again, "again", n)

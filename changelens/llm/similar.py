@@ -1,42 +1,48 @@
 """Documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, by Golay keys.
 
-Fingerprints of two documents at that similarity differ in some nine bits of 64, too many for four to
-bound.  Segments still decode to nearby codewords: each document has two independent fingerprints, and the
-keys of each are pairs of codeword indices of two of its three segments.  What shares a key is a candidate if the
-other fingerprint, which had no part in the key, differs in few bits; candidates are verified by the exact
-Jaccard of their whole shingle sets.  Measured on true pairs at 0.8 to 0.85, one fingerprint's keys meet 90 %,
-those of two 99 %; above 0.85 all met.
-
-All members of a key's group are compared.  Only those that agree in the other fingerprint count, so members by
-chance don't change what is chosen: all candidate pairs if they are fewer than the members, else every member with
-the nearest before it.  A pair leaves from the smallest key alone at which it is a candidate.  Candidates that are left
-out meet in further rounds, until all that are not in one component by verified links have been tried.
+Fingerprints of two documents at that similarity differ in some nine bits of 64, too many for the pigeonhole over
+segments to bound.  Segments still decode to nearby codewords: each document has two independent fingerprints of
+three segments, and a key is one codeword index (12 bits) of a segment joined with one of the HASHES smallest
+shingle hashes (64 bits).  Keys of so many bits don't meet by chance, however many documents there are: what
+shares one has a shingle in common and a segment alike.  Measured on pairs at exactly 0.8, 98.8 % share a key; at
+0.85, 99.6 %.  What shares a key and differs in at most MOST_BITS of the 128 bits is a candidate (99.9 % at 0.8).
+
+Every candidate is verified by the exact Jaccard of whole shingle sets, in two steps.  First each key tells about as
+many pairs as it has members: all candidate pairs if they are that few, else for each member the nearest before it
+and the one through which a walk from the group's middle reaches it.  Members of keys that left pairs out are open.
+Then the open members of one family (what candidates join) are dealt into blocks of bounded size, and each pair of
+blocks is compared whole, leaving out pairs that verified links have joined already.  So no candidate is left
+untried, a group in which all are linked costs what it has members, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm._util import materialise, partitions, released, texts, tune
+from changelens.llm._util import MARK, materialise, partitions, released, tune, without
 from changelens.llm.components import components
-from changelens.llm.simhash import MIX, SEED, SEGMENTS, near_duplicates, segment_keys
+from changelens.llm.simhash import MIX, SEED, SEGMENTS, fingerprint, left_out, roots, same_prints, segment_keys
 
 WORDS, SIMILARITY = 5, 0.8
-PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Bits in which the other fingerprint of a candidate may differ: nine are expected at 0.8, and three
-#: standard deviations are eight or nine more.
-MOST_BITS = 18
-#: Groups up to so many members are compared all keys at once.
-FEW = 32
-CHUNK, ROWS = 2048, 1024
-#: Each round tries so many times as many partners of a document as the round before.
-GROWTH = 32
-
-
+#: Smallest shingle hashes that make keys, each under another mixing of the hashes.
+HASHES = 3
+#: Bits of both fingerprints in which candidates may differ: at a similarity of 0.8, 99.9 % of pairs have 33 or fewer.
+MOST_BITS = 34
+#: Groups up to so many members are compared all keys at once; up to so many, each with all before it.
+FEW, MANY = 32, 2048
+CHUNK, ROWS = 2048, 4096
+#: Members of a key in one batch of rows that are sent on; more are joined to the first of them where they are.
+SENT = 64
+#: Shingles in a block of the second step, about.
+BLOCK = 1 << 17
+
+
+# ------------------------------------------------------------------------------------ sketches
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; fewer words make one shingle; none, none."""
     tokens = text.encode().lower().split()
@@ -58,202 +64,235 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(hashes: np.ndarray) -> tuple[int, int]:
-    """Two fingerprints of a shingle set, as signed longs."""
-    out = []
-    for k in range(2):
-        total = np.zeros(64, np.int64)
-        for s in range(0, len(hashes), 1 << 16):
-            part = _mixed(hashes[s : s + 65536], k)
-            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0]))
-    return out[0], out[1]
+def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """(two fingerprints, HASHES smallest hashes) of a shingle set that isn't empty, as signed longs."""
+    prints, least = [], []
+    for k in range(max(2, HASHES)):
+        mixed = _mixed(hashes, k)
+        if k < HASHES:
+            least.append(int(mixed.min().view(np.int64)))
+        if k < 2:
+            total = np.zeros(64, np.int64)
+            for s in range(0, len(mixed), 1 << 16):
+                total += np.unpackbits(mixed[s : s + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            prints.append(int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0]))
+    return prints, least
 
 
 def _sketches(batches):
     for b in batches:
-        ids, f = [], []
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        fp, prints, least, size = [], [], [], []
+        for t in b.column("text").to_pylist():
             h = shingles(t)
-            if len(h) and i is not None:
-                ids.append(i)
-                f.append(sketch(h))
-        a = np.array(f, np.int64).reshape(-1, 2)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(a[:, 0]), pa.array(a[:, 1])], names=["doc_id", "f0", "f1"])
+            fp.append(fingerprint(t))
+            p, m = sketch(h) if len(h) else ([0, 0], [0] * HASHES)
+            prints.append(p)
+            least.append(np.array(m, np.int64).tobytes())
+            size.append(len(h))
+        f = np.array(prints, np.int64).reshape(-1, 2)
+        cols = [b.column("node"), b.column("doc_id"), b.column("mark"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(least, pa.binary()), pa.array(size, pa.int64())]
+        yield pa.record_batch(cols, names=["node", "doc_id", "mark", "fp", "f0", "f1", "least", "size"])
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """Written, one row for each row of ``docs``: ``node`` (a number of its own), ``doc_id``, ``mark`` (a hash of the
+    text), ``fp`` (the SimHash operator's fingerprint), ``f0, f1, least`` and ``size`` of its shingle set."""
+    tune(docs.sparkSession)
+    own = docs.select(F.monotonically_increasing_id().alias("node"), docs["doc_id"].cast("long").alias("doc_id"), MARK(docs).alias("mark"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    return materialise(own.mapInArrow(released(_sketches), "node long, doc_id long, mark long, fp long, f0 long, f1 long, least binary, size long"), "sketches")
 
 
-def keys(fp: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, key): block and pair of segments, then two codeword indices."""
-    fp = fp.view(np.uint64)
-    near = [segment_keys(((fp >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64), w) for at, w in SEGMENTS]
+# ---------------------------------------------------------------------------- keys and candidates
+def keys(prints: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(n, 2)`` fingerprints and ``(n, HASHES)`` smallest hashes -> (row, key): a codeword index of one segment
+    and one smallest hash."""
     where, what = [], []
-    for k, (i, j) in enumerate(PAIRS):
-        for a in near[i].T:
-            for b in near[j].T:
-                at = np.flatnonzero((a >= 0) & (b >= 0))
-                where.append(at)
-                what.append(((block * 3 + k) << 24 | a[at] << 12 | b[at]).astype(np.int32))
+    for k in range(2):
+        for s, (at, w) in enumerate(SEGMENTS):
+            near = segment_keys(((prints[:, k] >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64), w)
+            for c in near.T:
+                rows = np.flatnonzero(c >= 0)
+                word = (c[rows] | (k * 3 + s) << 12).astype(np.uint64)
+                for j in range(least.shape[1]):
+                    where.append(rows)
+                    what.append(least[rows, j] ^ _mixed(word | np.uint64(j << 16), 64))
     return np.concatenate(where), np.concatenate(what)
 
 
-def _spread(targets: int):
-    def run(batches):
-        for b in batches:
-            label = b.column("label").to_numpy() if "label" in b.schema.names else None
-            ids, f = b.column("doc_id").to_numpy(), (b.column("f0").to_numpy(), b.column("f1").to_numpy())
-            at, key = (np.concatenate(x) for x in zip(*[keys(f[k], k) for k in range(2)]))
-            to = (key.astype(np.uint64) * MIX >> np.uint64(24)).astype(np.int64) % targets
-            order = np.argsort(to, kind="stable")
-            at, key, to = at[order], key[order], to[order]
-            both = np.stack(f, axis=1)
-            cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-            ends = np.r_[cut[1:], len(to)]
-            held = [key, ids[at], both[at]] + ([] if label is None else [label[at]])
-            cols = [pa.array([int(to[c]) for c in cut], pa.int32()), *[pa.array([h[c:e].tobytes() for c, e in zip(cut, ends)], pa.binary()) for h in held]]
-            yield pa.record_batch(cols, names=["target", "key", "id", "prints", "label"][: len(cols)])
-
-    return run
-
-
-def smallest_shared(x: np.ndarray, y: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """The smallest key that each pair of ``(n, 2)`` fingerprints shares and at which the other fingerprint
-    agrees; beyond any key if none."""
-    out = np.full(len(x), np.iinfo(np.int32).max, np.int64)
-    for block in (1, 0):
-        agree = np.bitwise_count(x[:, 1 - block] ^ y[:, 1 - block]) <= most
-        common = []
-        for at, w in SEGMENTS:
-            cut = lambda f: ((f[:, block] >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64)
-            p, q = segment_keys(cut(x), w), segment_keys(cut(y), w)
-            same = (p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)
-            common.append(np.where(same.any(2), p, 1 << 12).min(1))  # 4096: none
-        for k in (2, 1, 0):
-            i, j = PAIRS[k]
-            has = agree & (common[i] < 4096) & (common[j] < 4096)
-            out = np.where(has, (block * 3 + k) << 24 | common[i] << 12 | common[j], out)
-    return out
-
+def _distance(prints: np.ndarray, x, y) -> np.ndarray:
+    return np.bitwise_count(prints[x] ^ prints[y]).sum(-1, dtype=np.int64)
 
-def chosen(
-    key: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int = MOST_BITS, label: np.ndarray | None = None, share: int = 1
-) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``(n, 2)`` pairs of ids, smaller first, to verify; and the ids of candidates that were left out.
 
-    Candidates of a key are its members that agree in the fingerprint that it was not made of and, where there
-    are labels, differ in them.  Fewer candidate pairs than members (or than seven) are all chosen; of more, each
-    member's ``share`` nearest before it.  Without labels a key tells only the pairs of which it is the smallest.
-    """
-    order = np.lexsort((ids, key))
-    key, ids, prints = key[order], ids[order], prints[order]
-    first_round = label is None
-    label = np.arange(len(key)) if first_round else label[order]
-    other = np.where(key >> 24 < 3, prints[:, 1], prints[:, 0])
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(key)])
-    mixed = np.zeros(len(first), bool)
-    if len(key):
-        mixed = np.minimum.reduceat(label, first) < np.maximum.reduceat(label, first)
-    left, right, open_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    live = np.flatnonzero(np.repeat(mixed & (size <= FEW), size))
-    lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    return first, np.diff(np.r_[first, len(key)])
+
+
+def _walk(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tree links (parent, member) that join what candidates join; each walk starts from the middle of what is left,
+    and members reached are looked for no more."""
+    left, right = [], []
+    rest = np.arange(len(prints))
+    while len(rest) > 1:
+        bits = np.unpackbits(prints[rest].view(np.uint8).reshape(len(rest), -1), axis=1)
+        middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(rest)).view(np.uint64)
+        head = int(np.bitwise_count(prints[rest] ^ middle).sum(1, dtype=np.int64).argmin())
+        front, rest = [rest[head]], np.delete(rest, head)
+        while front and len(rest):
+            at = front.pop(0)
+            near = _distance(prints, rest, at) <= most
+            found, rest = rest[near], rest[~near]
+            left.append(np.full(len(found), at))
+            right.append(found)
+            front += found.tolist()
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _nearest_before(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each member with the nearest candidate before it; and how many candidate pairs there are."""
+    left, right, total = [], [], 0
+    for s in range(0, len(prints), 512):
+        rows = np.arange(s, min(len(prints), s + 512))
+        d = sum(np.bitwise_count(prints[rows, k][:, None] ^ prints[None, : rows[-1], k]).astype(np.int64) for k in range(2))
+        fit = (d <= most) & (np.arange(d.shape[1]) < rows[:, None])
+        total += int(fit.sum())
+        own = np.flatnonzero(fit.any(1))
+        left.append(np.where(fit[own], d[own], 999).argmin(1) if len(own) else own)
+        right.append(rows[own])
+    return np.concatenate(left), np.concatenate(right), total
+
+
+def chosen(key: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(n, 2)`` distinct pairs to verify, ``(n, 2)`` links that join what candidates join beside them, and the
+    members of keys that left pairs out."""
+    order = np.lexsort((node, key))
+    key, node, prints = key[order], node[order], prints[order]
+    first, size = _groups(key)
+    none = np.zeros(0, np.int64)
+    left, right, loose, open_ = [none], [none], [np.zeros((0, 2), np.int64)], [none]
+    live = np.flatnonzero(np.repeat((size > 1) & (size <= FEW), size))
+    lows, highs = [none], [none]
     for step in range(1, FEW):
         live = live[live + step < len(key)]
         live = live[key[live] == key[live + step]]
         if not len(live):
             break
-        near = live[(np.bitwise_count(other[live] ^ other[live + step]) <= most) & (label[live] != label[live + step]) & (ids[live] != ids[live + step])]
+        near = live[(_distance(prints, live, live + step) <= most) & (node[live] != node[live + step])]
         lows.append(near)
         highs.append(near + step)
     low, high = np.concatenate(lows), np.concatenate(highs)
     if len(low):
         group = np.searchsorted(first, low, "right") - 1
-        whole = (np.bincount(group, minlength=len(first)) < np.maximum(size, 7))[group]
-        d = np.bitwise_count(prints[low] ^ prints[high]).sum(1, dtype=np.int64)
-        by = np.lexsort((low, d, high))
-        start = np.flatnonzero(np.r_[True, np.diff(high[by]) != 0])
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)]))
-        take = whole | (rank < share)
+        whole = (np.bincount(group, minlength=len(first)) <= np.maximum(size, 6))[group]
+        by = np.lexsort((low, _distance(prints, low, high), high))
+        best = np.zeros(len(by), bool)
+        best[by] = np.r_[True, np.diff(high[by]) != 0]
+        take = whole | best
         left.append(low[take])
         right.append(high[take])
-        open_ += [low[~take], high[~take]]
-    for at, n in zip(first[mixed & (size > FEW)].tolist(), size[mixed & (size > FEW)].tolist()):
-        x, y, more = _large(ids[at : at + n], prints[at : at + n], other[at : at + n], label[at : at + n], most, share)
+        if not whole.all():
+            some, at = np.unique(np.concatenate([low[~whole], high[~whole]]), return_inverse=True)
+            low_at, high_at = np.split(at, 2)
+            root = roots(len(some), low_at, high_at)
+            loose.append(np.stack([node[some], node[some[root]]], axis=1))
+            open_.append(node[some])
+    for at, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+        own = prints[at : at + n]
+        x, y = _walk(own, most)
+        total = None
+        if n <= MANY:
+            p, q, total = _nearest_before(own, most)
+            x, y = np.concatenate([x, p]), np.concatenate([y, q])
         left.append(at + x)
         right.append(at + y)
-        open_.append(at + more)
-    left, right = np.concatenate(left), np.concatenate(right)
-    if first_round:
-        own = smallest_shared(prints[left], prints[right], most) == key[left]
-        left, right = left[own], right[own]
-    pairs = np.sort(np.stack([ids[left], ids[right]], axis=1), axis=1)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs, np.unique(ids[np.concatenate(open_)])
-
-
-def _large(ids: np.ndarray, prints: np.ndarray, other: np.ndarray, label: np.ndarray, most: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the chosen pairs in one key's group, and of candidates left out; no more than a chunk's
-    distances and ``share`` of each of its rows are held at once."""
-    n, none = len(ids), np.iinfo(np.int64).max
-    left, right, total, every, met, over = [], [], 0, [], np.zeros(n, bool), False
-    step = max(1, min(CHUNK, (CHUNK * CHUNK) // share))
-    for s in range(1, n, step):  # each of a chunk with all before it
-        rows = np.arange(s, min(n, s + step))
-        best, found = np.full((len(rows), 1), none), np.zeros(len(rows), np.int64)
-        for t in range(0, rows[-1], CHUNK):
-            cols = np.arange(t, min(rows[-1], t + CHUNK))
-            fit = (np.bitwise_count(other[rows][:, None] ^ other[cols]) <= most) & (cols < rows[:, None])
-            fit &= (label[rows][:, None] != label[cols]) & (ids[rows][:, None] != ids[cols])
-            if not fit.any():
+        if total is None or total > len(x):
+            open_.append(node[at + np.unique(np.concatenate([x, y]))])
+    a, b = node[np.concatenate(left)], node[np.concatenate(right)]
+    pairs = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    loose = np.concatenate(loose)
+    return pairs[pairs[:, 0] != pairs[:, 1]], loose[loose[:, 0] != loose[:, 1]], np.unique(np.concatenate(open_))
+
+
+def _spread(targets: int, most: int):
+    """Blocks of keys for their targets.  A key with more than SENT members in a batch sends on only that many; the
+    others are joined to the first candidate among them here, and all are open."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            d = sum(np.bitwise_count(prints[rows, k][:, None] ^ prints[cols, k]).astype(np.int64) for k in range(2))
-            d = np.where(fit, d << 40 | cols, none)
-            found += fit.sum(1)
-            met[rows] |= fit.any(1)
-            met[cols] |= fit.any(0)
-            total += int(fit.sum())
-            if total < n:
-                i, j = np.nonzero(fit)
-                every.append((cols[j], rows[i]))
-            both = np.concatenate([best, d], axis=1)
-            best = both.min(1, keepdims=True) if share == 1 else np.partition(both, share - 1, axis=1)[:, :share] if both.shape[1] > share else both
-        i, j = np.nonzero(best < none)
-        left.append(best[i, j] & ((1 << 40) - 1))
-        right.append(rows[i])
-        over |= bool((found > share).any())
-    if total < n:
-        left, right, over = [x for x, _ in every], [y for _, y in every], False
-    left, right = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
-    return left, right, np.flatnonzero(met) if over else np.zeros(0, np.int64)
-
-
-def candidates(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """The pairs of the first round."""
-    return chosen(key, ids, prints, most)[0]
-
-
-def _meet(share: int):
-    """Pairs; and each candidate that was left out, with no partner."""
+            node = b.column("node").to_numpy()
+            prints = np.stack([b.column(c).to_numpy() for c in ("f0", "f1")], axis=1).view(np.uint64)
+            least = np.frombuffer(b"".join(b.column("least").to_pylist()), np.uint64).reshape(len(node), -1)
+            at, key = keys(prints, least)
+            order = np.argsort(key, kind="stable")
+            at, key = at[order], key[order]
+            first, size = _groups(key)
+            keep, held = np.ones(len(key), bool), [np.zeros((0, 2), np.int64)]
+            for s, n in zip(first[size > SENT].tolist(), size[size > SENT].tolist()):
+                own = at[s : s + n]
+                x, y = _walk(prints[own], most)
+                held.append(node[own[np.stack([x, y], axis=1)]])
+                root = roots(n, x, y)
+                rank = np.zeros(n, np.int64)  # place of each member within what candidates join
+                by = np.argsort(root, kind="stable")
+                start, many = _groups(root[by])
+                rank[by] = np.arange(n) - np.repeat(start, many)
+                keep[s : s + n] = rank < SENT
+            at, key = at[keep], key[keep]
+            to = (key * MIX >> np.uint64(24)).astype(np.int64) % targets
+            order = np.argsort(to, kind="stable")
+            at, key, to = at[order], key[order], to[order]
+            cut, many = _groups(to)
+            ends = cut + many
+            cols = [pa.array(to[cut], pa.int32()), *[pa.array([h[c:e].tobytes() for c, e in zip(cut, ends)], pa.binary()) for h in (key, node[at], prints[at])]]
+            held = np.unique(np.concatenate(held), axis=0)
+            lone = [held.tobytes() if k == 0 else b"" for k in range(len(cut))]
+            yield pa.record_batch([*cols, pa.array(lone, pa.binary())], names=["target", "key", "node", "prints", "held"])
 
+    return run
+
+
+#: What a row of the first step is: a pair to verify, a link that only joins a family, an open member.
+PAIR, LOOSE, OPEN = 0, 1, 2
+
+
+def _meet(most: int):
     def run(batches):
-        held = {}
+        key, node, prints, held = [], [], [], [np.zeros((0, 2), np.int64)]
         for b in batches:
-            for name in b.schema.names[1:]:
-                held.setdefault(name, []).extend(b.column(name).to_pylist())
-        if held.get("key"):
-            key, ids, *label = (np.frombuffer(b"".join(held[c]), t) for c, t in (("key", np.int32), ("id", np.int64), ("label", np.int64)) if c in held)
-            prints = np.frombuffer(b"".join(held["prints"]), np.uint64).reshape(-1, 2)
-            p, left_out = chosen(key, ids, prints, MOST_BITS, label[0] if label else None, share)
-            alone = pa.nulls(len(left_out), pa.int64())
-            a, b = pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))
-            yield pa.record_batch([pa.concat_arrays([a, pa.array(left_out)]), pa.concat_arrays([b, alone])], names=["a", "b"])
+            for into, name in ((key, "key"), (node, "node"), (prints, "prints")):
+                into += b.column(name).to_pylist()
+            held += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in b.column("held").to_pylist() if x]
+        if not key:
+            return
+        pairs, loose, open_ = chosen(np.frombuffer(b"".join(key), np.uint64), np.frombuffer(b"".join(node), np.int64), np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2), most)
+        held = np.concatenate(held)  # candidates, so they are verified, and open
+        open_ = np.unique(np.concatenate([open_, held.ravel()]))
+        for kind, rows in ((PAIR, pairs), (PAIR, np.sort(held, axis=1)), (LOOSE, loose), (OPEN, np.stack([open_, open_], axis=1))):
+            yield pa.record_batch([pa.array(np.full(len(rows), kind, np.int32)), pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], names=["kind", "a", "b"])
 
     return run
 
 
+def met(sketched: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Written ``kind, a, b``: pairs to verify, links that join families, open members."""
+    spark = sketched.sparkSession
+    p = partitions(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    dealt = sketched.where("size > 0").select("node", "f0", "f1", "least").repartition(p, "node")
+    blocks = dealt.mapInArrow(released(_spread(8 * p, most)), "target int, key binary, node binary, prints binary, held binary")
+    out = materialise(blocks.repartition(p, "target").mapInArrow(released(_meet(most)), "kind int, a long, b long").distinct(), "candidates")
+    tune(spark)
+    return out
+
+
+# ------------------------------------------------------------------------------------ verification
 def _sets(batches):
     for b in batches:
         held = [shingles(t).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.record_batch([b.column("doc_id"), pa.array(held, pa.binary())], names=["doc_id", "held"])
+        yield pa.record_batch([b.column("node"), pa.array(held, pa.binary())], names=["node", "held"])
 
 
 def _verify(least: float):
@@ -269,61 +308,109 @@ def _verify(least: float):
     return run
 
 
-def _met(sketches: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """Written candidate pairs ``(a, b)``, and the ids ``(doc_id)`` of candidates that were left out."""
-    spark = sketches.sparkSession
-    p = partitions(spark)
-    label = ", label binary" if "label" in sketches.columns else ""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    blocks = sketches.repartition(p, "doc_id").mapInArrow(released(_spread(4 * p)), "target int, key binary, id binary, prints binary" + label)
-    met = materialise(blocks.repartition(p, "target").mapInArrow(released(_meet(share)), "a long, b long").distinct(), "candidates")
-    tune(spark)
-    return met.where("b IS NOT NULL"), met.where("b IS NULL").select(F.col("a").alias("doc_id"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFrame:
+def _pairs_verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The written pairs whose Jaccard is ``least`` or more."""
-    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "ends", n)
-    own = texts(docs)
-    held = materialise(own.join(ends, own.doc_id == ends.end, "left_semi").mapInArrow(released(_sets), "doc_id long, held binary"), "sets")
-    x, y = held.select(F.col("doc_id").alias("i"), F.col("held").alias("x")), held.select(F.col("doc_id").alias("j"), F.col("held").alias("y"))
+    x, y = sets.select(F.col("node").alias("i"), F.col("held").alias("x")), sets.select(F.col("node").alias("j"), F.col("held").alias("y"))
     half = materialise(pairs.join(x, pairs.a == x.i).select("a", "b", "x"), "half")
     return materialise(half.join(y, half.b == y.j).select("a", "b", "x", "y").mapInArrow(released(_verify(least)), "a long, b long"), "similar")  # its tasks read sets, so they aren't cut by rows
 
 
-def similar_links(docs: DataFrame, least: float = SIMILARITY, known: DataFrame | None = None) -> DataFrame:
-    """Written links ``(a, b)`` of document ids, smaller first, whose Jaccard is ``least`` or more.
+def block_links(side: np.ndarray, node: np.ndarray, label: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], least: float, most: int) -> list[tuple[int, int]]:
+    """Verified links between two blocks (side 0 and 1; or within one, side 2), enough to join whatever all verified
+    candidate pairs join: pairs whose labels are joined by then are left out."""
+    label = np.unique(label, return_inverse=True)[1]
+    x_at, y_at = (np.flatnonzero(side == 2),) * 2 if (side == 2).any() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    size = np.array([len(s) for s in sets])
+    out = []
+    for k, i in enumerate(x_at):
+        others = y_at[k + 1 :] if y_at is x_at else y_at
+        others = others[(label[others] != label[i]) & (np.minimum(size[others], size[i]) >= least * np.maximum(size[others], size[i]) - 1e-9)]
+        others = others[_distance(prints, others, i) <= most]
+        if not len(others):
+            continue
+        flat = np.concatenate([sets[j] for j in others])
+        place = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+        both = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.r_[0, np.cumsum(size[others])[:-1]])
+        for j in others[both >= least * (size[others] + size[i] - both) - 1e-9]:
+            if label[j] != label[i]:
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                label[label == label[j]] = label[i]
+    return out
+
 
-    Their components, with the links of ``known``, are those of all candidate pairs that are so similar: candidates
-    that a round leaves out meet again, as far as they are in different components by then, with GROWTH times as many
-    partners each, until none is left out.
+def _family_links(open_: DataFrame, sets: DataFrame, least: float, most: int) -> DataFrame:
+    """``node, family, label, size, f0, f1`` -> verified links between members of one family that differ in label.
 
-    Texts without words and rows without an id have no links; ids are taken to be unique.
+    A label that fills blocks of its own isn't compared with itself; small labels share blocks.
+    """
+    per = materialise(open_.groupBy("family", "label").agg(F.sum("size").alias("w")), "labels")
+    many = per.groupBy("family").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("w") < BLOCK, F.col("w")).otherwise(0)).alias("rest"))
+    named = per.join(many, "family").where("labels > 1")
+    own = F.col("w") >= BLOCK
+    named = materialise(named.select("family", "label", F.when(own, F.col("label")).otherwise(-1).alias("lab"), F.when(own, F.ceil(F.col("w") / BLOCK)).otherwise(F.ceil(F.greatest(F.col("rest"), F.lit(1)) / BLOCK)).alias("subs")), "named")
+    spread = F.when(F.col("lab") >= 0, F.xxhash64("node")).otherwise(F.xxhash64("label"))
+    dealt = materialise(open_.join(named, ["family", "label"]).withColumn("sub", F.pmod(spread, F.col("subs"))), "dealt")
+    block = dealt.select("family", "lab", "sub").distinct()
+    one, two = F.struct("lab", "sub"), F.struct("lab2", "sub2")
+    pairs = block.join(block.select("family", F.col("lab").alias("lab2"), F.col("sub").alias("sub2")), "family")
+    pairs = materialise(pairs.where((one <= two) & ((F.col("lab") != F.col("lab2")) | (F.col("lab") < 0))), "blocks")
+    numbered = pairs.withColumn("meeting", F.struct("family", "lab", "sub", "lab2", "sub2"))
+    ends = numbered.select("family", "meeting", F.explode(F.when(one == two, F.array(F.struct(F.lit(2).alias("side"), "lab", "sub"))).otherwise(
+        F.array(F.struct(F.lit(0).alias("side"), "lab", "sub"), F.struct(F.lit(1).alias("side"), F.col("lab2").alias("lab"), F.col("sub2").alias("sub"))))).alias("e")).select("family", "meeting", "e.*")
+    rows = dealt.join(ends, ["family", "lab", "sub"]).join(sets.withColumnRenamed("node", "i"), F.col("node") == F.col("i"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [np.frombuffer(h, np.uint64) for h in pdf.held]
+        prints = pdf[["f0", "f1"]].to_numpy(np.int64).view(np.uint64)
+        return pd.DataFrame(block_links(pdf.side.to_numpy(), pdf.node.to_numpy(), pdf.label.to_numpy(), prints, got, least, most), columns=["a", "b"]).astype("int64")
+
+    return materialise(rows.select("meeting", "side", "node", "label", "f0", "f1", "held").groupBy("meeting").applyInPandas(meet, "a long, b long"), "within")
+
+
+def similar_links(docs: DataFrame, sketched: DataFrame, least: float = SIMILARITY, known: DataFrame | None = None, most: int = MOST_BITS) -> DataFrame:
+    """Written links ``(a, b)`` of nodes, smaller first, whose Jaccard is ``least`` or more.
+
+    ``sketched``: ``sketches(docs)``.  Components of the links, with those of ``known`` (written links that hold
+    anyway), are those of all candidate pairs that are so similar.  Texts without words have no links.
     """
     tune(docs.sparkSession)
-    sketches = materialise(texts(docs).mapInArrow(released(_sketches), "doc_id long, f0 long, f1 long"), "sketches")
-    n, share = sketches.count(), 1
-    pairs, left_out = _met(sketches, share)
-    links = _verified(docs, pairs, n, least)
-    while m := left_out.count():
-        share *= GROWTH
-        joined = links if known is None else links.unionByName(known)
-        root = components(materialise(joined, "joined", joined.count()))
-        open_ = materialise(sketches.join(left_out, "doc_id", "left_semi"), "open", m)
-        labelled = open_.join(root, open_.doc_id == root.node, "left").select("doc_id", "f0", "f1", F.coalesce("root", "doc_id").alias("label"))
-        pairs, left_out = _met(materialise(labelled, "labelled", m), share)
-        more = _verified(docs, pairs, n, least)
-        links = materialise(links.unionByName(more).distinct(), "links", links.count() + more.count())
-    return links
-
-
+    n = sketched.count()
+    rows = met(sketched, most)
+    pairs = rows.where(F.col("kind") == PAIR).select("a", "b")
+    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "ends", n)
+    which = sketched.join(ends, sketched.node == ends.end, "left_semi").select(F.col("node").alias("at"), F.col("doc_id").alias("i"), F.col("mark").alias("m"))
+    # by id and hash of the text: rows that agree in both have one set
+    text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), MARK(docs).alias("mark"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    wanted = materialise(which.groupBy("i", "m").agg(F.min("at").alias("node")), "wanted", n)
+    found = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
+    found = materialise(found.select("node", "text").mapInArrow(released(_sets), "node long, held binary").dropDuplicates(["node"]), "found")
+    lead = which.join(wanted.withColumnRenamed("i", "i2").withColumnRenamed("m", "m2"), F.col("i").eqNullSafe(F.col("i2")) & (F.col("m") == F.col("m2"))).select("at", F.col("node").alias("first"))
+    sets = materialise(lead.join(found, lead["first"] == found.node).select(F.col("at").alias("node"), "held"), "sets")
+    links = _pairs_verified(pairs, sets, least)
+    marked = rows.where(F.col("kind") == OPEN).select(F.col("a").alias("node"))
+    if marked.isEmpty():
+        return links
+    joined = links if known is None else links.unionByName(known)
+    label = components(materialise(joined.select("a", "b"), "joined", joined.count())).select(F.col("node").alias("x"), F.col("root").alias("label"))
+    loose = materialise(rows.where(F.col("kind") != OPEN).select("a", "b"), "loose")
+    family = components(loose).select(F.col("node").alias("y"), F.col("root").alias("family"))
+    open_ = sketched.join(marked, "node", "left_semi").select("node", "size", "f0", "f1")
+    open_ = open_.join(family, F.col("node") == F.col("y")).join(label, F.col("node") == F.col("x"), "left").select("node", "family", F.coalesce("label", "node").alias("label"), "size", "f0", "f1")
+    more = _family_links(materialise(open_, "open"), sets, least, most)
+    return materialise(links.unionByName(more).distinct(), "links", links.count() + more.count())
+
+
+# ------------------------------------------------------------------------------------ the operator
 def drop_similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each group stays, with its own columns: the one with the smallest id.
+    """One row of each group stays, with its own columns: the one with the smallest id, ties by a hash of the text.
 
-    Documents are linked by fingerprints within four bits, as the SimHash operator links them, or by a
-    verified Jaccard of at least ``least`` over five-word shingles.
+    Documents are linked by fingerprints within four bits, as the SimHash operator links them, or by a verified
+    Jaccard of at least ``least`` over five-word shingles.  Rows are told apart by id and text, so an id that comes
+    with several texts is several documents; rows that agree in both are one (the first by their JSON form stays).
+    A null id never wins over a real one; of a group of null ids one row stays.  Null and empty texts are one group.
+    Very long texts are sketched whole.  Extra columns may have any names; an empty table gives an empty table.
     """
-    close = materialise(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "close")
-    both = materialise(similar_links(docs, least, close).unionByName(close), "both")
-    gone = components(both).where("node <> root").select(F.col("node").alias("__gone"))
-    return docs.join(materialise(gone, "gone", both.count()), docs["doc_id"] == F.col("__gone"), "left_anti")
+    sketched = sketches(docs)
+    close = same_prints(sketched)
+    both = materialise(similar_links(docs, sketched, least, close).unionByName(close), "both")
+    return without(docs, *left_out(both, sketched))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from changelens.llm import exact_dedup, simhash
+from changelens.llm import exact_dedup, similar, simhash
 from changelens.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,6 +69,36 @@ def test_exact_dedup_edge_cases(spark):
     assert exact_dedup.drop_exact_duplicates(odd).columns == odd.columns
 
 
+ODD = [  # a repeated id with several texts, repeated rows, null ids, clashing names
+    (1, "a b c d e f g", 1, 1), (5, "unique words stand here alone today", 2, 2), (5, "a b c d e f g", 3, 3), (2, "other", 4, 4), (3, "z", 5, 5), (3, "z", 5, 5), (3, "z", 4, 9),
+    (None, "a b c d e f g", 6, 6), (None, "only null ids have this", 7, 7), (None, "only null ids have this", 8, 8), (7, None, 1, 1), (8, "", 1, 1), (2**63 - 1, "largest", 1, 1), (-(2**63), "least", 1, 1),
+]
+ODD_SCHEMA = "doc_id long, text string, __gone long, __stay long"
+
+
+def test_exact_duplicates_go_row_by_row(spark):
+    docs = spark.createDataFrame(ODD, ODD_SCHEMA)
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((x.doc_id, x.text) for x in kept.collect()), key=str)
+    want = [(1, "a b c d e f g"), (5, "unique words stand here alone today"), (2, "other"), (3, "z"), (None, "only null ids have this"), (7, None), (2**63 - 1, "largest"), (-(2**63), "least")]
+    assert got == sorted(want, key=str)
+    again = exact_dedup.drop_exact_duplicates(spark.createDataFrame([(1, "a  b", 1), (1, "a b", 1), (2, "a b", 1)], "doc_id long, text string, ROW_ID long"))
+    assert [x.doc_id for x in again.collect()] == [1]
+    ids = {x.doc_id: x.keep_id for x in exact_dedup.exact_dedup(docs).collect()}
+    assert ids[2**63 - 1] == 2**63 - 1
+
+
+def test_near_duplicates_go_row_by_row(spark):
+    docs = spark.createDataFrame(ODD, ODD_SCHEMA)
+    want = [(1, "a b c d e f g"), (5, "unique words stand here alone today"), (2, "other"), (3, "z"), (None, "only null ids have this"), (7, None), (2**63 - 1, "largest"), (-(2**63), "least")]
+    for drop in (simhash.drop_near_duplicates, similar.drop_similar):
+        kept = drop(docs)
+        assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString()
+        assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(want, key=str)
+        assert drop(docs.limit(0)).count() == 0
+
+
 def slow_print(text, n=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
@@ -126,7 +156,7 @@ def test_key_links_join_what_all_pairs_join():
     fp = np.unique(np.array(fp, np.uint64))
     at, key = simhash.keys(fp)
     a, b = simhash.key_links(key, fp[at])
-    root = simhash._roots(len(fp), np.searchsorted(fp, a), np.searchsorted(fp, b))
+    root = simhash.roots(len(fp), np.searchsorted(fp, a), np.searchsorted(fp, b))
     want = slow_components(list(range(len(fp))), [int(x) for x in fp])
     assert root.tolist() == want
 

@@ -34,15 +34,66 @@ def test_cuts(n, want):
     assert packing.cuts(n) == want
 
 
-def fill(runs, counts, capacity):
-    """Checks the runs and returns how many sequences they use."""
-    held, seen = {}, {n: set() for n in range(len(counts))}
-    for n, r0, m, s0, off in runs:
-        for k in range(m):
-            assert r0 + k not in seen[n]
-            seen[n].add(r0 + k)
-            held.setdefault(s0 + k, []).append((off, n))
-    assert all(seen[n] == set(range(c)) for n, c in enumerate(counts) if n)
+def sequential(lengths, gaps=(), capacity=60):
+    """Best fit, one piece after the other, longest first: how many sequences open."""
+    gaps, opened = list(gaps), 0
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+        else:
+            opened += 1
+        gaps.append((min(fit) if fit else capacity) - n)
+    return opened
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=80), st.lists(st.integers(1, 59), max_size=20))
+def test_the_last_rest_is_best_fit(lengths, gaps):
+    got = packing.best_fit(list(enumerate(lengths)), [(1000 + k, g) for k, g in enumerate(gaps)], 60)
+    assert sorted(i for i, _, _ in got) == list(range(len(lengths)))
+    assert len({q for i, q, off in got if i == q and off == 0}) == sequential(lengths, gaps)
+    held = {1000 + k: [(0, 60 - g)] for k, g in enumerate(gaps)}
+    for i, q, off in got:
+        held.setdefault(q, []).append((off, lengths[i]))
+    for own in held.values():
+        at = 0
+        for off, n in sorted(own):
+            assert off == at
+            at += n
+        assert at <= 60
+
+
+def one_sweep(pieces, gaps):
+    """Each piece, longest first, with the smallest gap that fits and isn't taken: sizes that meet."""
+    free, out = sorted(gaps), []
+    for n in sorted(pieces, reverse=True):
+        at = next((k for k, g in enumerate(free) if g >= n), None)
+        if at is not None:
+            out.append((n, free.pop(at)))
+    return sorted(out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60), st.lists(st.integers(1, 30), max_size=60), st.lists(st.integers(0, 120), max_size=4))
+def test_ranges_swept_apart_equal_one_sweep(pieces, gaps, cuts):
+    rows = sorted([(-n, 1) for n in pieces] + [(-g, 0) for g in gaps])
+    bounds = [0, *sorted(min(c, len(rows)) for c in cuts), len(rows)]
+    met, alone = [], []
+    for a, b in zip(bounds, bounds[1:]):
+        own = rows[a:b]
+        partner = packing.sweep(np.array([k for _, k in own], np.int32))
+        met += [(-own[k][0], -own[p][0]) for k, p in enumerate(partner) if p >= 0 and own[k][1]]
+        alone.append(([-x[0] for x, p in zip(own, partner) if p < 0 and x[1]], [-x[0] for x, p in zip(own, partner) if p < 0 and not x[1]]))
+    for part, r0, m, q, last in packing.between([(len(x), len(y)) for x, y in alone]):
+        met += [(alone[part][0][r0 + k], alone[q][1][last - k]) for k in range(m)]
+    assert sorted(met) == one_sweep(pieces, gaps)
+
+
+def checked(rows, capacity):
+    held = {}
+    for x in rows:
+        held.setdefault(x.sequence_id, []).append((x.offset, x.length))
     for own in held.values():
         at = 0
         for off, n in sorted(own):
@@ -52,29 +103,21 @@ def fill(runs, counts, capacity):
     return len(held)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 60), max_size=120))
-def test_supersteps_are_valid_and_near_best_fit(lengths):
-    counts = np.bincount(lengths, minlength=61) if lengths else np.zeros(61, int)
-    used = fill(packing.supersteps(counts, 60), counts.tolist(), 60)
-    gaps = []
-    for n in sorted(lengths, reverse=True):
-        fit = [g for g in gaps if g >= n]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - n)
-        else:
-            gaps.append(60 - n)
-    assert used <= len(gaps) * 1.1 + 1
+def test_supersteps_are_valid_and_near_best_fit(spark):
+    r = np.random.default_rng(3)
+    lengths = [int(x) for x in np.r_[r.integers(1, 61, 700), np.full(300, 7), np.full(5, 60)]]
+    parts = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    got = packing.pack_pieces(parts, 60, tail=20).collect()
+    assert sorted((x.doc_id, x.length) for x in got) == list(enumerate(lengths))
+    assert checked(got, 60) <= 1.02 * sequential(lengths) + 1
 
 
-def test_many_pieces_leave_little_room():
+def test_many_pieces_leave_little_room(spark):
     r = np.random.default_rng(2)
-    counts = np.bincount(r.integers(1, 1025, 40_000), minlength=1025)
-    runs = packing.supersteps(counts)
-    used = fill(runs, counts.tolist(), 1024)
-    assert used <= 1.01 * (counts * np.arange(1025)).sum() / 1024
-    assert len(packing.supersteps(counts * 1000)) < 3 * len(runs)  # the state doesn't grow with the corpus
+    lengths = r.integers(1, 1025, 20_000)
+    parts = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, length long")
+    got = packing.pack_pieces(parts, tail=200).collect()
+    assert len(got) == len(lengths) and checked(got, 1024) <= 1.01 * lengths.sum() / 1024
 
 
 def test_pack(spark):

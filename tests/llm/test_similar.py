@@ -61,62 +61,78 @@ def test_shingles():
     assert len(similar.shingles("a b c d e f g")) == 3 and len(similar.shingles("x " * 50)) == 1
 
 
+def links_of(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    sketched = similar.sketches(docs)
+    name = {x.node: x.doc_id for x in sketched.collect()}
+    return {tuple(sorted((name[x.a], name[x.b]))) for x in similar.similar_links(docs, sketched).collect()}
+
+
 def test_links_are_true_and_nearly_all_found(spark):
     rows = copies()
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
-    got = {tuple(x) for x in similar.similar_links(docs).collect()}
-    want = brute(rows)
+    got, want = links_of(spark, rows), brute(rows)
     assert got <= want and len(want) > 100
     ids = [i for i, _ in rows]
     a, b = roots(ids, got), roots(ids, want)
     assert sum(a[i] == b[i] for i in ids) >= 0.98 * len(ids)
 
 
-def test_large_groups_emit_a_link_a_member_and_tell_a_pair_once():
-    r = np.random.default_rng(2)
+def test_pairs_at_the_threshold_share_a_key():
+    r = np.random.default_rng(0)
+    prints, least = [[], []], [[], []]
+    for _ in range(400):
+        pool = r.integers(2**63, size=333, dtype=np.uint64)
+        for side, own in enumerate((pool[:300], pool[33:])):  # 267 of 333: a similarity of 0.8
+            p, m = similar.sketch(own)
+            prints[side].append(p)
+            least[side].append(m)
+    held = [[set() for _ in range(400)] for _ in range(2)]
+    for side in range(2):
+        at, key = similar.keys(np.array(prints[side]).view(np.uint64), np.array(least[side]).view(np.uint64))
+        for k, x in zip(at.tolist(), key.tolist()):
+            held[side][k].add(x)
+    shared = sum(bool(x & y) for x, y in zip(*held))
+    d = np.bitwise_count(np.array(prints[0]).view(np.uint64) ^ np.array(prints[1]).view(np.uint64)).sum(1)
+    assert shared >= 0.97 * 400 and (d <= similar.MOST_BITS).mean() >= 0.99
+
+
+def family(n, seed, bits=6):
+    r = np.random.default_rng(seed)
     base = r.integers(2**62, size=2, dtype=np.uint64)
-    turned = lambda: base ^ np.array([1 << int(r.integers(64)) for _ in range(2)], np.uint64)
-    prints = np.array([turned() for _ in range(600)], np.uint64)
-    ids = np.arange(600)
-    seen = []
-    at, key = (np.concatenate(x) for x in zip(*[similar.keys(prints[:, k].view(np.int64), k) for k in range(2)]))
-    for k in np.unique(key):
-        own = at[key == k]
-        got = similar.candidates(key[key == k], ids[own], prints[own])
-        assert len(got) < max(len(own), 7)
-        seen += [tuple(map(int, x)) for x in got]
-    assert len(seen) == len(set(seen)) and len(set(roots(range(600), seen).values())) == 1
-    d = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(-1)
-    for m in range(1, 600):  # its nearest before it, or one as near, is among its links
-        assert min(d[m, a] for a, b in seen if b == m) == d[m, :m].min()
-
-
-def told(prints, ids, most=similar.MOST_BITS):
-    """Candidates of all keys."""
-    at, key = (np.concatenate(x) for x in zip(*[similar.keys(prints[:, k].view(np.int64), k) for k in range(2)]))
-    return {tuple(map(int, x)) for x in similar.candidates(key, ids[at], prints[at], most)}
-
-
-def test_a_pair_refused_at_its_smallest_key_leaves_from_a_later_one():
-    r = np.random.default_rng(4)
-    a = r.integers(2**62, size=2, dtype=np.uint64)
-    b = a ^ np.array([0, ((1 << 19) - 1) << 23], np.uint64)  # 19 bits of one segment of the second print
-    assert told(np.array([a, b]), np.array([1, 2])) == {(1, 2)}
-
-
-def test_members_by_chance_dont_change_what_is_chosen():
-    r = np.random.default_rng(5)
-    base = r.integers(2**62, size=2, dtype=np.uint64)
-    family = [base ^ np.array([0, 1 << k], np.uint64) for k in range(6)]
-    chance = [np.array([base[0], r.integers(2**62)], np.uint64) for _ in range(60)]  # the key's print, another's other
-    prints = np.array([*family, *chance], np.uint64)
-    at, key = similar.keys(prints[:, 0].view(np.int64), 0)
-    one = key.min()
-    got = {tuple(map(int, x)) for x in similar.candidates(key[key == one], at[key == one], prints[at[key == one]])}
-    assert {(a, b) for a in range(6) for b in range(a + 1, 6)} <= got
-
-
-def test_no_candidate_of_a_star_is_left_untried(spark):
+    out = []
+    for _ in range(n):
+        x = base.copy()
+        for b in r.integers(0, 64, bits):
+            x[r.integers(2)] ^= np.uint64(1 << int(b))
+        out.append(x)
+    return np.array(out, np.uint64)
+
+
+def test_one_key_tells_as_many_pairs_as_members_and_joins_all_candidates():
+    for n in (3, 20, 200, 3000):
+        prints = np.concatenate([family(n, 1), family(n, 2), family(1, 3)])
+        ids = np.random.default_rng(4).permutation(len(prints))
+        pairs, loose, open_ = similar.chosen(np.zeros(len(prints), np.uint64), ids, prints)
+        assert len(pairs) <= 2 * len(prints) + 6
+        where = np.argsort(ids)
+        d = np.bitwise_count(prints[where[pairs[:, 0]]] ^ prints[where[pairs[:, 1]]]).sum(1)
+        assert (d <= similar.MOST_BITS).all()
+        every = [(int(a), int(b)) for a, b in np.concatenate([pairs, loose])]
+        low = roots(range(len(prints)), every)
+        assert sorted(Counter(low.values()).values()) == [1, n, n]
+        if n > 20:
+            assert set(open_.tolist()) >= set(ids[: 2 * n].tolist())
+
+
+def test_walk_joins_what_candidates_join():
+    prints = np.concatenate([family(40, 5), family(25, 6), family(1, 7)])
+    x, y = similar._walk(prints, similar.MOST_BITS)
+    d = np.bitwise_count(prints[:, None] ^ prints[None]).sum(-1) <= similar.MOST_BITS
+    every = list(zip(*np.nonzero(np.triu(d, 1))))
+    assert roots(range(66), list(zip(x.tolist(), y.tolist()))) == roots(range(66), every)
+
+
+def stars():
     r = random.Random(12)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     rows = []
@@ -128,17 +144,44 @@ def test_no_candidate_of_a_star_is_left_untried(spark):
                 w[k] = word()
             rows.append((100 * star + v, " ".join(w)))
         rows.append((100 * star + 90, " ".join(hub)))
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
-    links = {tuple(x) for x in similar.similar_links(docs).collect()}
-    prints = np.array([similar.sketch(similar.shingles(t)) for _, t in rows], np.int64).view(np.uint64)
-    x, y = (z.ravel() for z in np.triu_indices(len(rows), 1))
-    met = similar.smallest_shared(prints[x], prints[y]) < np.iinfo(np.int32).max
+    return rows
+
+
+def test_stars_join(spark):
+    rows = stars()
+    got, true = links_of(spark, rows), brute(rows)
+    assert got <= true
     ids = [i for i, _ in rows]
-    true = brute(rows)
-    tried = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(x[met], y[met])}
-    assert links <= true and roots(ids, links) == roots(ids, true & tried)
-    sizes = sorted(Counter(roots(ids, links).values()).values())
-    assert sum(sizes[-2:]) >= 0.9 * len(ids)  # the two stars; five pairs share no key
+    a, b = roots(ids, got), roots(ids, true)
+    assert sum(a[i] == b[i] for i in ids) >= 0.95 * len(ids)
+
+
+def test_blocks_are_compared_whole(spark, monkeypatch):
+    """Blocks of a few documents join what larger ones join."""
+    rows = stars() + copies(3, 6)[:40]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    want = links_of(spark, rows)
+    monkeypatch.setattr(similar, "BLOCK", 2000)
+    assert roots([i for i, _ in rows], links_of(spark, rows)) == roots([i for i, _ in rows], want)
+    prints = family(30, 9)
+    sets = [np.unique(np.random.default_rng(k % 5).integers(1 << 60, size=50, dtype=np.uint64)) for k in range(30)]
+    pairs = similar.block_links(np.full(30, 2), np.arange(30), np.arange(30), prints, sets, 0.8, 64)
+    assert roots(range(30), pairs) == {k: k % 5 for k in range(30)}
+    side = np.r_[np.zeros(15, int), np.ones(15, int)]
+    pairs = similar.block_links(side, np.arange(30), np.arange(30), prints, sets, 0.8, 64)
+    assert all(a < 15 <= b for a, b in pairs) and len(set(roots(range(30), pairs).values())) == 5
+
+
+def test_a_crowded_batch_sends_on_a_few(spark, monkeypatch):
+    r = random.Random(5)
+    hub = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+    rows = []
+    for k in range(300):
+        w = list(hub)
+        w[r.randrange(150)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(similar, "SENT", 4)
+    assert set(roots(range(300), links_of(spark, rows)).values()) == {0}
 
 
 def test_drop_similar(spark):
@@ -151,6 +194,5 @@ def test_drop_similar(spark):
     want = roots(ids, brute(rows) | {(a, b) for a, b in zip(close, ids)})
     got = {r.doc_id for r in kept.collect()}
     assert {i for i in ids if want[i] == i} <= got and len(got) <= len({*want.values()}) + 1
-    assert similar.drop_similar(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (3, "a b", 3)], "doc_id long, text string, node long")
-    assert similar.drop_similar(odd).columns == odd.columns
+    assert similar.drop_similar(odd).columns == odd.columns and [x.doc_id for x in similar.drop_similar(odd).collect()] == [3]
