@@ -342,12 +342,15 @@ def _training_windows(batches):
 
 
 def train(docs: DataFrame, most: int = FIT_DOCS, generated: int = GENERATED, epochs: int = EPOCHS) -> Tagger:
-    """Fit on ``FIT_WINDOWS`` windows of each of at most ``most`` documents and on generated spans."""
+    """Fit on ``FIT_WINDOWS`` windows of each of at most ``most`` documents and on generated spans.
+
+    Documents are sampled by the hash of their text, and texts that are equal count once.
+    """
     tune(docs.sparkSession)
     every = texts(docs).withColumn("mix", F.xxhash64("text"))
     thin = F.pmod(F.xxhash64("mix", "doc_id"), F.lit(SLICES)) < SLICES * THIN * most / max(1, docs.count())
-    sample = every.where(thin & F.col("text").rlike("[0-9@]")).orderBy("mix", "doc_id").limit(most)
-    rows = sample.mapInArrow(_training_windows, "x binary, y binary").collect()
+    one = every.where(thin & F.col("text").rlike("[0-9@]")).groupBy("mix").agg(F.min("text").alias("text"))
+    rows = one.orderBy("mix").limit(most).select("text").mapInArrow(_training_windows, "x binary, y binary").collect()
     xs = [np.frombuffer(r.x, np.int8).reshape(-1, WINDOW) for r in rows]
     ys = [np.frombuffer(r.y, np.int8).reshape(-1, WINDOW) for r in rows]
     for text, spans in generate(generated):

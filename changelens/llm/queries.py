@@ -10,7 +10,7 @@ from changelens.llm._util import read_table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), spans=True)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 SLICES = 1 << 20
 
 
-def first_by_hash(rows: DataFrame, most: int, *keys: str, share: float = 1.0) -> DataFrame:
+def first_by_hash(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     """The ``most`` rows that come first by a hash of the keys, ties by the keys' own order.
 
-    ``share``: about what part of the rows passes the filters of ``rows``, at least.  All but so many
-    slices of the hash as hold four times what is wanted are left out before the sort, so that a task
-    does not keep ``most`` rows for the one that merges them, however many tasks there are.
+    All but so many slices of the hash as hold four times what is wanted are left out before the sort,
+    so that a task does not keep ``most`` rows for the one that merges them, however many tasks there are.
     """
     total = rows.count()
-    wanted = 4 * most / max(1.0, share * total)
+    wanted = 4 * most / max(1, total)
     mixed = F.xxhash64(*keys)
     own = F.pmod(mixed, F.lit(SLICES))
     if wanted < 1:
@@ -36,7 +35,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
     Rows are labelled if their label is 0 or 1; of repeated labels the largest counts.
     ``learn_held``: learn from the fold ``held`` only, else from all others.  At most ``most`` ids are
-    broadcast; a document that is repeated comes repeatedly, its text whole.
+    broadcast; of an id that comes with several texts, or repeatedly, one text counts (that with the
+    least hash), so no more than ``most`` rows come back.
     """
     at = fold(labels, folds)
     known = (
@@ -46,8 +46,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
-    picked = first_by_hash(known, most, "doc_id").withColumnRenamed("doc_id", "__id")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.join(F.broadcast(picked), rows.doc_id == F.col("__id")).select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"
-    )
+    picked = first_by_hash(known, most, "doc_id").withColumnRenamed("doc_id", "wanted")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    met = rows.join(F.broadcast(picked), rows.doc_id == F.col("wanted"))
+    return met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))

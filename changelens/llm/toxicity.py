@@ -4,6 +4,10 @@ A document is a bag of sentences.  Each sentence gets a probability from a logis
 words' hashed features; the document's score is their noisy-or, one minus the product of the
 sentences' complements.  Only document labels are known, so the sentence model is trained through the
 noisy-or, and the sentences that carry a document's label are located afterwards.
+
+Learning and scoring count the same things: a sentence counts once however often it is repeated, and one
+without any feature that the model weighs has probability 0, so that length alone makes nothing toxic.
+Weights are never negative: a word can speak for toxicity, none against it.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ BEGINNINGS = (3, 4, 5)
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGE = "\"'()[]{}<>,;:*#$%&|-–_+=/\\…¡¿«»“”‘’"
 CACHE_WORDS = 200_000
+#: A feature is kept if it stands in LEAST labelled documents, and this many times as often in toxic ones as in others.
+LEAST, RATIO = 2, 3.0
 
 
 def word_features(word: str) -> list[int]:
@@ -49,73 +55,83 @@ class Features(dict):
         return out
 
 
+def sentence_keys(text: str) -> dict[str, None]:
+    """A text's distinct sentences in order, in lower case with single spaces; those of edge marks alone left out."""
+    keys = dict.fromkeys(" ".join(s.split()) for s in SENTENCE.findall(text.lower()))
+    return {k: None for k in keys if k.strip(EDGE + " ")}
+
+
 def _bags(batches):
-    """Each document's distinct sentences as sorted distinct features; order and repeats don't count
-    for learning, since a repeated sentence is evidence for the same words."""
+    """Each document's distinct sentences as sorted distinct features."""
     known = Features()
     for b in batches:
         flat, ends = [], []
         for text in b.column("text").to_pylist():
-            bags = {tuple(sorted({f for w in s.split() for f in known[w]})) for s in SENTENCE.findall(text)}
-            bags.discard(())
-            ordered = sorted(bags)
-            flat.append(np.array([f for s in ordered for f in s], "<i4").tobytes())
-            ends.append(np.cumsum([len(s) for s in ordered]).astype("<i4").tobytes())
+            bags = [sorted({f for w in s.split() for f in known[w]}) for s in sentence_keys(text)]
+            flat.append(np.array([f for s in bags for f in s], "<i4").tobytes())
+            ends.append(np.cumsum([len(s) for s in bags]).astype("<i4").tobytes())
         yield pa.record_batch(
             [b.column("y"), pa.array(flat, pa.binary()), pa.array(ends, pa.binary())], names=["y", "flat", "ends"]
         )
 
 
 # ---------------------------------------------------------------------------------- the model
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 100, rate: float = 0.15, l2: float = 5e-5) -> tuple[np.ndarray, float]:
+class Problem:
+    """The negative log-likelihood of document labels under noisy-or over the kept features' sentences."""
+
+    def __init__(self, bags: list[tuple[int, np.ndarray, np.ndarray]], kept: np.ndarray, l2: float = 5e-5):
+        self.y = np.array([b[0] for b in bags], np.float64)
+        self.kept, self.l2 = kept, l2
+        column = np.full(BUCKETS, -1)
+        column[kept] = np.arange(len(kept))
+        doc, rows, cols, n = [], [], [], 0
+        for d, (_, flat, ends) in enumerate(bags):
+            c = column[flat]
+            s = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+            has = c >= 0
+            used, at = np.unique(s[has], return_inverse=True)
+            doc.append(np.full(len(used), d))
+            rows.append(at + n)
+            cols.append(c[has])
+            n += len(used)
+        none = [np.zeros(0, np.int64)]
+        self.doc, self.rows, self.cols, self.n = np.concatenate(none + doc), np.concatenate(none + rows), np.concatenate(none + cols), n
+        # toxic documents are few: each counts as the root of how many others there are for it
+        self.cost = np.where(self.y == 1, ((1 - self.y).sum() / max(1.0, self.y.sum())) ** 0.5, 1.0)
+
+    def loss(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        """(value, gradient by weights, gradient by the bias).  Of a document, the sum over its sentences of
+        log(1 + exp(z)) is minus the log of the probability that none is toxic."""
+        z = bias + np.bincount(self.rows, w[self.cols], minlength=self.n)
+        total = np.maximum(np.bincount(self.doc, np.logaddexp(0.0, z), minlength=len(self.y)), 1e-12)
+        each = np.where(self.y == 1, -np.log(-np.expm1(-total)), total) * self.cost
+        slope = np.where(self.y == 1, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0) * self.cost
+        dz = slope[self.doc] / (1 + np.exp(-z))
+        dw = np.bincount(self.cols, dz[self.rows], minlength=len(self.kept)) / len(self.y) + self.l2 * w
+        return each.mean() + 0.5 * self.l2 * float(w @ w), dw, dz.sum() / len(self.y)
+
+
+def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 100, rate: float = 0.15) -> tuple[np.ndarray, float]:
     """``(label, features, sentence ends)`` of documents -> (weights, bias).
 
-    Features kept are those of three documents at least that are commoner in toxic documents; all
-    others weigh nothing, so a sentence without any has the bias alone.
+    Features kept are those of LEAST documents at least that are RATIO times as common in toxic documents as in
+    others; all others weigh nothing.  Without labels of both kinds no feature weighs anything.
     """
     bags = [b for b in bags if len(b[2])]
     y = np.array([b[0] for b in bags], np.float64)
     weights = np.zeros(BUCKETS)
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.0
-        return weights, -12.0 if share < 0.5 else 3.0
+        return weights, -12.0
     in_pos, in_neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for label, flat, _ in bags:
         (in_pos if label else in_neg)[np.unique(flat)] += 1
-    n_pos, n_neg = y.sum(), (1 - y).sum()
-    ratio = ((in_pos + 0.5) / (n_pos + 1)) / ((in_neg + 0.5) / (n_neg + 1))
-    least = 3 if len(y) > 60 else 2
-    kept = np.flatnonzero((in_pos + in_neg >= least) & (ratio > 1.6))
-    column = np.full(BUCKETS, -1)
-    column[kept] = np.arange(len(kept))
-    sent_doc, rows, cols, plain = [], [], [], np.zeros(len(bags))
-    n_sent = 0
-    for d, (_, flat, ends) in enumerate(bags):
-        c = column[flat]
-        s = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
-        has = c >= 0
-        used, at = np.unique(s[has], return_inverse=True)
-        plain[d] = len(ends) - len(used)  # sentences with the bias alone
-        sent_doc.append(np.full(len(used), d))
-        rows.append(at + n_sent)
-        cols.append(c[has])
-        n_sent += len(used)
-    sent_doc, rows, cols = np.concatenate(sent_doc), np.concatenate(rows), np.concatenate(cols)
+    ratio = ((in_pos + 0.5) / (y.sum() + 1)) / ((in_neg + 0.5) / ((1 - y).sum() + 1))
+    kept = np.flatnonzero((in_pos + in_neg >= LEAST) & (ratio > RATIO))
+    problem = Problem(bags, kept)
     w, bias = np.log(ratio[kept]), -7.0  # starts from the log odds of the documents
-    g2_w, g2_b = np.full(len(kept), 1e-8), 1e-8
-    m_w = np.zeros(len(kept))
-    up = n_neg / n_pos
-    cost = np.where(y == 1, up ** 0.5, 1.0)
-    softplus = lambda z: np.logaddexp(0.0, z)
+    g2_w, g2_b, m_w = np.full(len(kept), 1e-8), 1e-8, np.zeros(len(kept))
     for _ in range(rounds):
-        z = bias + np.bincount(rows, w[cols], minlength=n_sent)
-        total = np.bincount(sent_doc, softplus(z), minlength=len(y)) + plain * softplus(bias)
-        total = np.maximum(total, 1e-12)
-        # loss: total for label 0, -log(1 - exp(-total)) for label 1
-        d_total = np.where(y == 1, -1.0 / np.expm1(np.minimum(total, 50.0)), 1.0) * cost
-        dz = d_total[sent_doc] / (1 + np.exp(-z))
-        dw = np.bincount(cols, dz[rows], minlength=len(kept)) / len(y) + l2 * w
-        db = (dz.sum() + (d_total * plain).sum() / (1 + math.exp(-bias))) / len(y)
+        _, dw, db = problem.loss(w, bias)
         g2_w = 0.9 * g2_w + 0.1 * dw * dw
         g2_b = 0.9 * g2_b + 0.1 * db * db
         m_w = 0.8 * m_w + 0.2 * dw
@@ -130,44 +146,44 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.empty = math.log1p(math.exp(bias))
-        self.cache: dict[str, tuple[float, frozenset]] = {}
+        self.cache: dict[str, tuple] = {}
 
     def _word(self, word: str) -> tuple:
         """The word's features that weigh something, with their weights; () for most words."""
         w = self.weights
         return tuple((f, w[f]) for f in set(word_features(word)) if w[f])
 
-    def sentence_logits(self, sentences: list[str]) -> list[float | None]:
-        """None for a sentence with the bias alone."""
-        cache, out = self.cache, []
-        for s in sentences:
-            hit = None
-            for word in s.split():
-                own = cache.get(word)
-                if own is None:
-                    if len(cache) > CACHE_WORDS:
-                        cache.clear()
-                    own = cache[word] = self._word(word)
-                if own:
-                    hit = hit or {}
-                    hit.update(own)
-            out.append(self.bias + sum(hit.values()) if hit else None)
-        return out
+    def logit(self, sentence: str) -> float | None:
+        """Of a sentence in lower case; None without a feature that weighs something."""
+        cache, hit = self.cache, None
+        for word in sentence.split():
+            own = cache.get(word)
+            if own is None:
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                own = cache[word] = self._word(word)
+            if own:
+                hit = hit or {}
+                hit.update(own)
+        return self.bias + sum(hit.values()) if hit else None
 
     def document(self, text: str) -> float:
-        sentences = SENTENCE.findall(text)
         total = 0.0
-        for z in self.sentence_logits(sentences):
-            total += self.empty if z is None else max(z, 0.0) + math.log1p(math.exp(-abs(z)))
+        for s in {" ".join(x.split()) for x in SENTENCE.findall(text.lower())}:
+            z = self.logit(s)
+            if z is not None:
+                total += max(z, 0.0) + math.log1p(math.exp(-abs(z)))
         return -math.expm1(-total)
 
     def offending(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of the sentences at ``least`` or above, in code points."""
-        spans = [(m.start(), m.end()) for m in SENTENCE.finditer(text)]
-        logits = self.sentence_logits([text[a:b] for a, b in spans])
-        found = [(a, b, 1 / (1 + math.exp(-(self.bias if z is None else z)))) for (a, b), z in zip(spans, logits)]
-        return [x for x in found if x[2] >= least]
+        """(start, end, probability) of the sentences at ``least`` or above, repeats too, in code points."""
+        found = []
+        for m in SENTENCE.finditer(text):
+            z = self.logit(m[0].lower())
+            p = 0.0 if z is None else 1 / (1 + math.exp(-z))
+            if p >= least:
+                found.append((m.start(), m.end(), p))
+        return found
 
 
 # ------------------------------------------------------------------------------- the operator
@@ -180,9 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[np.
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], spans: bool = False) -> DataFrame:
-    """``doc_id, score`` and, if asked for, ``sentences array<struct<start,end,score>>``.
+    """``doc_id, score`` and, if asked for, ``sentences array<struct<start,end,score>>``: those of 0.5 or more, or of
+    a document that scores 0.5 or more without one, the likeliest.
 
-    Null and empty texts have no sentence and score 0.  One row per input row.
+    Null and empty texts have no sentence and score 0.  Very long texts are scored whole.  One row per input row.
     """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -191,11 +208,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], spans: bool = False)
         s = Scorer(*shared.value)
         for b in batches:
             all_texts = b.column("text").to_pylist()
-            cols = [b.column("doc_id"), pa.array([s.document(t) for t in all_texts], pa.float64())]
+            points = [s.document(t) for t in all_texts]
+            cols = [b.column("doc_id"), pa.array(points, pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-                found = [[dict(zip(("start", "end", "score"), x)) for x in s.offending(t)] for t in all_texts]
-                cols.append(pa.array(found, kind))
+                # no sentence reaches one half in a document that doesn't
+                found = [(s.offending(t) or [max(s.offending(t, 0.0), key=lambda x: x[2])]) if p >= 0.5 else [] for t, p in zip(all_texts, points)]
+                cols.append(pa.array([[dict(zip(("start", "end", "score"), x)) for x in f] for f in found], kind))
             yield pa.record_batch(cols, names=["doc_id", "score", "sentences"][: len(cols)])
 
     schema = "doc_id long, score double"
@@ -205,8 +224,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], spans: bool = False)
 def toxicity(docs: DataFrame, labels: DataFrame, spans: bool = False, most: int = FIT_DOCS) -> DataFrame:
     """Fit and score: ``doc_id, held_out, score, predicted[, sentences]``, one row per input row.
 
-    A null doc_id is not held out.  Without labels of both kinds every score is near 0 (or, where
-    all labels are 1, near 1).  Repeated rows score alike; other columns are ignored.
+    A null doc_id is not held out.  Without labels of both kinds every score is 0.  Repeated rows score
+    alike; other columns are ignored; an empty table gives an empty table.
     """
     s = score(docs, train(docs, labels, most), spans)
     held = F.coalesce(fold(s, FOLDS) == HELD, F.lit(False))

@@ -128,3 +128,16 @@ def test_training_on_documents(spark):
     t = pii.train(spark.createDataFrame(data, "doc_id long, text string"), most=20, generated=50, epochs=1)
     assert all(np.isfinite(v).all() for v in t.p.values())
     pii.train(spark.createDataFrame([], "doc_id long, text string"), generated=20, epochs=1)
+
+
+def test_added_spans_are_right(tagger):
+    """On generated texts that weren't trained on: spans that the tagger adds to those of the patterns."""
+    held = pii.generate(400, seed=99)
+    right = wrong = missed = base_only = 0
+    for (_, truth), (base, more) in zip(held, pii.find(tagger, [t for t, _ in held])):
+        want = set(truth)
+        right += len(want & set(more))
+        wrong += len(set(more) - want)
+        base_only += len(want & set(base))
+        missed += len(want - set(base) - set(more))
+    assert right > 0.5 * (right + missed) and wrong <= 0.1 * (right + wrong) and base_only > right

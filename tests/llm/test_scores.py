@@ -36,14 +36,40 @@ def test_noisy_or_is_the_product_over_sentences():
     s = toxicity.Scorer(w, -3.0)
     p = lambda z: 1 / (1 + math.exp(-z))
     k = len(toxicity.word_features("zwack"))
-    want = 1 - (1 - p(-3)) ** 2 * (1 - p(-3 + 2 * k))
-    assert abs(s.document("Aaa bbb. Ccc! zwack, ZWACK?") - want) < 1e-12
-    assert s.document("") == 0
+    one = p(-3 + 2 * k)
+    assert abs(s.document("Aaa bbb. Ccc! zwack, ZWACK?") - one) < 1e-12  # a sentence without a weighed word counts for nothing
+    assert abs(s.document("A zwack. B zwack! a  ZWACK.") - (1 - (1 - one) ** 2)) < 1e-12  # repeats count once
+    assert s.document("") == 0 and s.document("Good day to all here. " * 10_000) == 0
     text = "Fine here. A zwack there."
     (a, b, q), = s.offending(text)
     assert text[a:b] == " A zwack there" and abs(q - p(-3 + 2 * k)) < 1e-12
 
 
+def test_the_gradient_is_that_of_the_loss():
+    r = np.random.default_rng(2)
+    bags = []
+    for _ in range(12):
+        sentences = [np.unique(r.integers(0, 9, r.integers(1, 5))) for _ in range(r.integers(1, 4))]
+        bags.append((int(r.integers(2)), np.concatenate(sentences).astype("<i4"), np.cumsum([len(s) for s in sentences]).astype("<i4")))
+    problem = toxicity.Problem(bags, np.arange(1, 8))
+    w, bias, step = r.normal(0, 1, 7), -0.5, 1e-6
+    _, dw, db = problem.loss(w, bias)
+    value = lambda w, b: problem.loss(w, b)[0]
+    for k in range(7):
+        e = np.eye(7)[k] * step
+        assert abs((value(w + e, bias) - value(w - e, bias)) / (2 * step) - dw[k]) < 1e-6
+    assert abs((value(w, bias + step) - value(w, bias - step)) / (2 * step) - db) < 1e-6
+    # the loss itself, document by document
+    slow = 0.0
+    for k, (y, flat, ends) in enumerate(bags):
+        clean = 1.0
+        for s in np.split(flat, ends[:-1]):
+            own = [f for f in s if 1 <= f < 8]
+            clean *= 1 - 1 / (1 + math.exp(-(bias + sum(w[f - 1] for f in own)))) if own else 1
+        slow += -math.log(max(1 - clean, 1e-12) if y else clean) * problem.cost[k]
+    assert abs(slow / len(bags) + 0.5 * problem.l2 * w @ w - value(w, bias)) < 1e-9
+
+
 def test_toxicity_held_out(spark):
     docs, labels = corpus()
     d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -59,13 +85,14 @@ def test_toxicity_held_out(spark):
     for i in held:
         for s in got[i].sentences:
             assert any(w in text[i][s.start : s.end].lower() for w in ("zwack", "grunk", "plod", "snerk"))
+    assert all(bool(r.sentences) == bool(r.predicted) for r in got.values())
     kept = toxicity.drop_toxic(d, lab)
     assert kept.columns == d.columns
     assert {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].predicted}
 
 
 def test_toxicity_edge_cases(spark):
-    d = spark.createDataFrame([(1, None, 1), (None, "", 2), (2, "x " * 100_000, 3), (2, "x", 4)], "doc_id long, text string, score int")
+    d = spark.createDataFrame([(1, None, 1), (None, "", 2), (2, "x " * 100_000, 3), (2, "x", 4)], "doc_id long, text string, score int").selectExpr("*", "1 AS y", "2 AS at", "3 AS wanted", "4 AS held_out")
     for labels in ([], [(1, 1, 1)], [(2, 0, 0), (None, 1, 1), (3, None, None)]):
         lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
         got = toxicity.toxicity(d, lab).collect()
