@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Names under which a secret may stand.
 SECRET_NAMES = r"api[_-]?key|token|password|passwd|secret|authorization|cookie"
-SECRET_KEYS = ("api_key", "token", "authorization", "password", "passwd", "secret", "cookie", "oc_key", "law_api_oc", "anthropic_api_key")
+SECRET_KEYS = ("api_key", "token", "password", "passwd", "secret", "authorization", "cookie")
 CODE = r"\b[a-z][0-9]{4}\b"
 
 
@@ -18,14 +18,14 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?i)\b({SECRET_NAMES})\s*[:=]\s*[^\s,;]+", "$1=[REDACTED]")
 
 
-def redact_value(value):
+def redact_value(value, keys: tuple[str, ...] = SECRET_KEYS):
     """The same for nested data: fields with a secret name go whole, texts are redacted."""
     if isinstance(value, dict):
-        return {str(k): "[REDACTED]" if str(k).lower() in SECRET_KEYS else redact_value(v) for k, v in value.items()}
+        return {str(k): "[REDACTED]" if str(k).lower() in keys else redact_value(v, keys) for k, v in value.items()}
     if isinstance(value, str):
         return re.sub(rf"(?i)\b({SECRET_NAMES})\s*[:=]\s*[^\s,;]+", r"\1=[REDACTED]", value)
     if isinstance(value, (list, tuple)):
-        return [redact_value(v) for v in value]
+        return [redact_value(v, keys) for v in value]
     return value
 
 

@@ -10,6 +10,8 @@ from changelens.operators.evaluate import first_wins
 
 #: Fixed values.
 TIERS = ("", " 시행령", " 시행규칙")
+#: Queries of a registry at most.
+MOST_QUERIES = 1000
 
 
 def whitelist(laws: DataFrame, decrees: bool = True) -> DataFrame:
@@ -38,6 +40,8 @@ def admin_rules(rules: DataFrame, queries: DataFrame, since: str) -> DataFrame:
 
     Queries are a short list of a registry; they become one array, so no rule row is multiplied.
     """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
     asked = [r.query for r in queries.orderBy("query_ord").select("query").collect()]
     found = rules.where((F.coalesce("rule_id", F.lit("")) != "") & (F.col("issued") >= since))
     pos = F.array_position(F.transform(F.array(*[F.lit(q) for q in asked]), lambda q: F.contains(F.trim("rule_name"), q)), F.lit(True)) if asked else F.lit(0)

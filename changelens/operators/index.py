@@ -66,10 +66,8 @@ PART_LETTERS = 8_000_000
 
 def _finder(terms: list[str]):
     """All terms found in a text."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {t for t in terms if t in text}
+    import ahocorasick
+
     a = ahocorasick.Automaton()
     for t in terms:
         a.add_word(t, t)

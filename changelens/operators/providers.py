@@ -63,17 +63,20 @@ def usages(files: DataFrame, classes: DataFrame, most: int = 5) -> DataFrame:
 
 def snippets(mappings: DataFrame, files: DataFrame, places: DataFrame) -> DataFrame:
     """``path, snippet, ord``: mapped files, then three usages of each class, then declarations of codes; the
-    first mention of a path wins.  ``mappings``: path, symbol, ord."""
+    first mention of a path wins.  ``mappings``: path, symbol, ord, and change_id, if there are several changes."""
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    own = mappings.select("path", F.struct(F.lit(0).alias("k"), "ord", F.lit(0).alias("n")).alias("at"), F.lit("").alias("why"))
-    named = mappings.select(stem.alias("name"), F.col("ord").alias("o"))
-    used = usages(files, named, 3).join(named, "name").select("path", F.struct(F.lit(1).alias("k"), F.col("o").alias("ord"), F.col("ord").alias("n")).alias("at"), F.concat(F.lit(" [usage: "), "name", F.lit("]")).alias("why"))
-    codes = mappings.where(F.col("symbol").rlike("^[a-z][0-9]{4}$")).select(F.col("symbol").alias("code"), F.col("ord").alias("o"))
-    vo = places.where(F.endswith("path", F.lit(".java"))).join(codes, "code").select("path", F.struct(F.lit(2).alias("k"), F.col("o").alias("ord"), F.col("ord").alias("n")).alias("at"), F.concat(F.lit(" [declares: "), "code", F.lit("]")).alias("why"))
+    if "change_id" not in mappings.columns:
+        return snippets(mappings.withColumn("change_id", F.lit(0)), files, places).drop("change_id")
+    own = mappings.select("change_id", "path", F.struct(F.lit(0).alias("k"), "ord", F.lit(0).alias("n")).alias("at"), F.lit("").alias("why"))
+    named = mappings.select("change_id", stem.alias("name"), F.col("ord").alias("o"))
+    used = usages(files, named, 3).join(named, "name").select("change_id", "path", F.struct(F.lit(1).alias("k"), F.col("o").alias("ord"), F.col("ord").alias("n")).alias("at"), F.concat(F.lit(" [usage: "), "name", F.lit("]")).alias("why"))
+    codes = mappings.where(F.col("symbol").rlike("^[a-z][0-9]{4}$")).select("change_id", F.col("symbol").alias("code"), F.col("ord").alias("o"))
+    vo = places.where(F.endswith("path", F.lit(".java"))).join(codes, "code").select("change_id", "path", F.struct(F.lit(2).alias("k"), F.col("o").alias("ord"), F.col("ord").alias("n")).alias("at"), F.concat(F.lit(" [declares: "), "code", F.lit("]")).alias("why"))
     every = own.unionByName(used).unionByName(vo)
-    first = every.groupBy("path").agg(F.min(F.struct("at", "why")).alias("f"))
+    first = every.groupBy("change_id", "path").agg(F.min(F.struct("at", "why")).alias("f"))
     got = first.join(files.select("path", "text"), "path")
-    return got.select("path", F.concat(F.lit("// "), "path", F.col("f.why"), F.lit("\n"), "text").alias("snippet"), F.row_number().over(Window.orderBy("f.at")).alias("ord"))  # a draft's files are few
+    order = F.row_number().over(Window.partitionBy("change_id").orderBy("f.at"))
+    return got.select("change_id", "path", F.concat(F.lit("// "), "path", F.col("f.why"), F.lit("\n"), "text").alias("snippet"), order.alias("ord"))
 
 
 def answer_rank(ranked: DataFrame, answers: DataFrame) -> DataFrame:

@@ -55,20 +55,23 @@ def provider_status(queries: DataFrame, enabled: dict[str, Provider | None]) ->
     return (union_providers(queries, good) if good else None), status
 
 
-def merge(candidates: DataFrame) -> DataFrame:
-    """One row per query and place.
+#: What a source has to show for a candidate.
+EVIDENCE = {"raw_score": "double", "matched_terms": "array<string>", "matched_values": "array<string>"}
 
-    A source counts once, with its best evidence; sources add up by weight; two sources add 0.05, three
-    0.10; a place whose candidates are all stale loses 0.50.  Rows arrive by (provider_idx, cand_idx).
-    Where the first hash that arrives for a place is there, candidates with another hash are a place of
-    their own.  Groups are combined before each shuffle.
+
+def _placed(candidates: DataFrame) -> DataFrame:
+    """Candidates combined by query, place, source and hash, each with its place's key.
+
+    Later steps group by what this step has dealt out by query and place, so they need no shuffle of their own.
     """
     came = F.struct("provider_idx", "cand_idx")
     named = F.coalesce("verified_state", F.lit("")) != ""
-    # a place with very many candidates is one row for each source and hash before anything else
+    shown = [F.col(c) if c in candidates.columns else F.lit(None).cast(t).alias(c) for c, t in EVIDENCE.items()]
     c = candidates.withColumn("base_key", place_key(F.col("path"), F.col("symbol"), F.col("line_start")))
+    # a place with very many candidates is one row for each source and hash before anything else
     c = c.groupBy("query_id", "base_key", "source", "content_hash").agg(
         F.max("normalized_score").alias("best"),
+        F.max_by(F.struct(*shown), F.struct("normalized_score", (-F.col("provider_idx")).alias("p"), (-F.col("cand_idx")).alias("c"))).alias("shown"),
         F.min_by(F.struct("path", "symbol"), came).alias("place"),
         F.min(came).alias("arrival"),
         F.bool_and(F.coalesce("stale", F.lit(False))).alias("stale"),
@@ -78,24 +81,48 @@ def merge(candidates: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("content_hash"), "arrival").over(Window.partitionBy("query_id", "base_key"))["content_hash"]
     c = c.withColumn("first_hash", first)
     other = F.col("first_hash").isNotNull() & (F.col("first_hash") != "") & F.col("content_hash").isNotNull() & (F.col("content_hash") != "") & (F.col("first_hash") != F.col("content_hash"))
-    c = c.withColumn("dedup_key", F.when(other, F.concat("base_key", F.lit("::hash:"), "content_hash")).otherwise(F.col("base_key")))
-    by_source = c.groupBy("query_id", "dedup_key", "source").agg(
-        F.max("best").alias("best"), F.min_by("place", "arrival").alias("place"), F.min("arrival").alias("arrival"), F.bool_and("stale").alias("stale"),
+    return c.withColumn("other", other).withColumn("dedup_key", F.when(other, F.concat("base_key", F.lit("::hash:"), "content_hash")).otherwise(F.col("base_key")))
+
+
+def hash_conflicts(candidates: DataFrame) -> DataFrame:
+    """``query_id, base_key, hashes``: places whose candidates disagree about their content."""
+    c = _placed(candidates).where("other")
+    return c.groupBy("query_id", "base_key").agg(F.count_distinct("content_hash").alias("hashes"))
+
+
+def shown_by(merged: DataFrame, source: str) -> DataFrame:
+    """What one source has to show for merged candidates (with their evidence): a row for each that it supports."""
+    e = merged.select("query_id", "path", "symbol", F.explode("evidence").alias("e")).where(F.col("e.source") == source)
+    return e.select("query_id", "path", "symbol", F.col("e.raw_score").alias("score"), "e.normalized_score", "e.matched_terms", "e.matched_values")
+
+
+def merge(candidates: DataFrame, evidence: bool = False) -> DataFrame:
+    """One row per query and place.
+
+    A source counts once, with its best evidence; sources add up by weight; two sources add 0.05, three
+    0.10; a place whose candidates are all stale loses 0.50.  Rows arrive by (provider_idx, cand_idx).
+    Where the first hash that arrives for a place is there, candidates with another hash are a place of
+    their own.  ``evidence``: also what each source has to show, its best candidate's, by score.
+    """
+    by_source = _placed(candidates).groupBy("query_id", "base_key", "dedup_key", "source").agg(
+        F.max("best").alias("best"), F.max_by("shown", F.struct("best", (-F.col("arrival.provider_idx")).alias("p"), (-F.col("arrival.cand_idx")).alias("c"))).alias("shown"),
+        F.min_by("place", "arrival").alias("place"), F.min("arrival").alias("arrival"), F.bool_and("stale").alias("stale"),
         F.min_by("state", "state_at").alias("state"), F.min("state_at").alias("state_at"),
     )
     score = F.sum(F.round(lookup(F.col("source"), WEIGHTS) * F.col("best"), 12))
     bonus = F.when(F.count("*") >= 3, 0.10).when(F.count("*") >= 2, 0.05).otherwise(0.0)
-    merged = by_source.groupBy("query_id", "dedup_key").agg(
+    merged = by_source.groupBy("query_id", "base_key", "dedup_key").agg(
         F.min_by("place", "arrival").alias("place"),
         F.round(clamp(score + bonus - F.when(F.bool_and("stale"), 0.5).otherwise(0.0)), 6).alias("final_score"),
         F.count("*").alias("n_sources"),
         F.bool_and("stale").alias("stale"),
         F.min_by("state", "state_at").alias("verified_state"),
-        F.array_sort(F.collect_list(F.struct((-F.col("best")).alias("neg"), "source"))).alias("ev"),
+        F.array_sort(F.collect_list(F.struct((-F.col("best")).alias("neg"), "source", "shown"))).alias("ev"),
     )
     return merged.select(
         "query_id", "dedup_key", F.col("place.path").alias("path"), F.col("place.symbol").alias("symbol"), "final_score", "n_sources", "stale", "verified_state",
         F.array_join(F.transform("ev", lambda e: e["source"]), ",").alias("sources"), (-F.col("ev")[0]["neg"]).alias("strongest"),
+        *([F.transform("ev", lambda e: F.struct(e["source"].alias("source"), (-e["neg"]).alias("normalized_score"), *[e["shown"][c].alias(c) for c in EVIDENCE])).alias("evidence")] if evidence else []),
     )
 
 
@@ -146,6 +173,41 @@ def rerank(merged: DataFrame, deltas: DataFrame) -> DataFrame:
     return moved.withColumn("final_score", F.round(clamp(F.col("final_score") + F.coalesce("delta", F.lit(0.0))), 6)).drop("delta")
 
 
+def _stage(name: str, before: DataFrame, run: Callable[[], DataFrame], warnings: list[str]) -> DataFrame:
+    """A stage's result, or what came before it and a warning, if it can't be planned."""
+    try:
+        out = run()
+        out.schema  # noqa: B018  plans the stage
+        return out
+    except Exception as e:  # an optional stage must not end the search
+        warnings.append(f"{name}: {type(e).__name__}")
+        return before
+
+
+def search(
+    queries: DataFrame, enabled: dict[str, Provider | None], k: int = 10, graph: tuple[DataFrame, DataFrame] | None = None, deltas: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """(ranked candidates with their evidence, each source's status, warnings).
+
+    Sources are asked and merged; the best places seed the graph ``(nodes, edges)``, and what it reaches is merged
+    with them; ``deltas`` says what each place's history moves; only then are places ranked and cut at ``k``.
+    """
+    found, status = provider_status(queries, enabled)
+    warnings: list[str] = []
+    merged = merge(found, evidence=True)
+
+    def expanded() -> DataFrame:
+        nodes, edges = graph
+        hits = neighbours(seeds(rank(merged, SEEDS), nodes), nodes, edges)
+        return merge(found.unionByName(graph_candidates(hits, nodes), allowMissingColumns=True), evidence=True)
+
+    if graph is not None:
+        merged = _stage("graph", merged, expanded, warnings)
+    if deltas is not None:
+        merged = _stage("rerank", merged, lambda m=merged: rerank(m, deltas(m)), warnings)
+    return rank(merged, k), status, warnings
+
+
 def excluded(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in EXCLUDED_DIRS]))
 

@@ -7,54 +7,55 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from changelens.functions import tokens
 from changelens.functions.lazy import vectorised
 
-# Words that are no type and no method.
-_WORDS = frozenset("if else for while do switch case catch try finally return new throw assert synchronized class interface enum package import instanceof".split())
-_LEX = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?", re.S)
-_TYPE = re.compile(r"\b(?:class|interface|enum)\s+(\w+)\b")
-_METHOD = re.compile(r"([\w.$]+)(?:\s*<[^;{}]*>)?(?:\s*\[\s*\])*\s+(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w\s.,<>]+)?$")
-_CONST = re.compile(r"\b(?:static\s+final|final\s+static)\s+[\w.$]+(?:\s*<[^;{}]*>)?(?:\s*\[\s*\])*\s+([A-Z][A-Z0-9_]*)\s*(?:=|$)")
 NODE = "array<struct<id:string,kind:string,name:string,container:string>>"
 
 
-def without(text: str, strings: bool = True) -> str:
-    """Comments, and strings if asked for, as blanks of the same length."""
-    return _LEX.sub(lambda m: " " * len(m[0]) if strings or m[0][0] == "/" else m[0], text)
-
-
 def java_nodes(path: str, text: str) -> list[dict]:
-    """Types, methods and constants by one walk over braces and semicolons, with a stack of what is open.
+    """Types, methods and constants by one walk over the tokens, with a stack of what is open.
 
     What stands before a brace or semicolon tells what it opens or ends.  Methods within methods are no
     symbols of their own.  Braces that don't match raise.
     """
-    code = without(text)
-    pkg = re.search(r"(?m)^\s*package\s+([\w.]+)\s*;", code)
+    read = tokens.read(text)
+    package = ""
+    for k, t in enumerate(read):
+        if t == "package" and ";" in read[k:]:
+            package = "".join(read[k + 1 : read.index(";", k)])
+            break
+        if t in ("{", "}"):
+            break
     scope: list[tuple[str, str]] = []
-    out, at = [], 0
-    tests = "test" in path.lower()
-    for m in re.finditer(r"[{};]", code):
-        head, at = code[at : m.start()], m.end()
+    out, head = [], []
+    for t in read:
+        if t not in ("{", "}", ";"):
+            head.append(t)
+            continue
         owner = next((n for k, n in reversed(scope) if k == "type"), None)
-        if owner:
-            out += [{"id": f"const:{owner}.{c[1]}", "kind": "constant", "name": c[1], "container": owner} for c in _CONST.finditer(head)]
-        if m[0] == "}":
+        constant = tokens.declared_constant(head) if owner else None
+        if constant:
+            out.append({"id": f"const:{owner}.{constant}", "kind": "constant", "name": str(constant), "container": owner})
+        if t == "}":
             if not scope:
                 raise ValueError("unbalanced braces")
             scope.pop()
-        elif m[0] == "{":
+        elif t == "{":
             kind, name = "block", ""
-            t, f = _TYPE.search(head), _METHOD.search(head.rstrip())
-            if t:
-                parent = owner or (pkg[1] if pkg else None)
-                kind, name = "type", f"{parent}.{t[1]}" if parent else t[1]
-                out.append({"id": f"java:{name}", "kind": "java_class", "name": t[1], "container": parent})
-            elif f and owner and f[1] not in _WORDS and f[2] not in _WORDS and not any(k == "method" for k, _ in scope):
+            a_type = tokens.declared_type(head)
+            method = tokens.declared_method(head) if owner and not a_type else None
+            if a_type:
+                parent = owner or package or None
+                kind, name = "type", f"{parent}.{a_type}" if parent else str(a_type)
+                out.append({"id": f"java:{name}", "kind": "java_class", "name": str(a_type), "container": parent})
+            elif method and not any(k == "method" for k, _ in scope):
                 kind = "method"
-                test = tests or re.search(r"@Test\b", head) is not None
-                out.append({"id": f"{'test' if test else 'java'}:{owner}#{f[2]}", "kind": "test_method" if test else "java_method", "name": f[2], "container": owner})
+                test = "test" in path.lower() or any(x == "@" and y == "Test" for x, y in zip(head, head[1:]))
+                out.append({"id": f"{'test' if test else 'java'}:{owner}#{method}", "kind": "test_method" if test else "java_method", "name": str(method), "container": owner})
             scope.append((kind, name))
+        head = []
     if scope:
         raise ValueError("unbalanced braces")
     return out
@@ -78,24 +79,47 @@ def _first(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.min_by(F.struct("kind", "name", "path", "container"), F.struct("path", "pos")).alias("n")).select("id", "n.*")
 
 
+def _attribute(tag, name: str):
+    """An attribute's value in a tag, whichever its quotes; empty if it isn't there."""
+    given = F.regexp_extract(tag, rf"(?i)(?<![\w-]){name}\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
+    return F.substring(given, F.lit(2), F.length(given) - 2)
+
+
+def _tags(body, *names: str):
+    """The opening tags of the given elements, in order."""
+    every = F.regexp_extract_all(body, F.lit(r"<\s*[A-Za-z][^>]*>"), F.lit(0))
+    return F.filter(every, lambda t: F.lower(F.regexp_extract(t, r"[A-Za-z][\w.-]*", 0)).isin(*names))
+
+
+def _mapped(xml: DataFrame) -> DataFrame:
+    body = F.regexp_replace("text", r"(?s)<!--.*?-->", " ")
+    x = xml.select("path", body.alias("body")).select("path", "body", F.try_element_at(F.filter(F.transform(_tags(F.col("body"), "mapper"), lambda t: _attribute(t, "namespace")), lambda v: v != ""), F.lit(1)).alias("ns")).where("ns IS NOT NULL")
+    named = x.select("path", "ns", F.posexplode(_tags(F.col("body"), "select", "insert", "update", "delete")).alias("pos", "tag")).withColumn("name", _attribute(F.col("tag"), "id")).where("name <> ''")
+    return named.select(F.concat(F.lit("mybatis:"), "ns", F.lit("."), "name").alias("id"), F.lit("mybatis_statement").alias("kind"), "name", "path", F.col("ns").alias("container"), "pos")
+
+
+def _statements(sql: DataFrame) -> DataFrame:
+    """A statement by its verb, the first that begins a line, and the first table named after a word that leads one."""
+    plain = F.regexp_replace("text", r"(?s)--[^\n]*|/\*.*?\*/", " ")
+    s = sql.select("path", F.posexplode(F.split(plain, ";")).alias("pos", "s"))
+    words = lambda c: F.filter(F.split(c, r"[\s\"'`(]+"), lambda w: w != "")
+    begun = F.transform(F.split("s", "\n"), lambda l: F.transform(F.slice(words(l), 1, 2), F.lower))
+    verb = F.transform(begun, lambda w: F.when(F.try_element_at(w, F.lit(1)).isin("select", "insert", "update", "delete"), w[0]).when(F.try_element_at(w, F.lit(1)).isin("create", "alter") & (F.try_element_at(w, F.lit(2)) == "table"), F.concat(w[0], F.lit("_table"))))
+    every = words(F.col("s"))
+    after = F.arrays_zip(every.alias("a"), F.slice(every, 2, F.greatest(F.size(every), F.lit(1))).alias("b"))
+    led = F.filter(after, lambda x: F.lower(x["a"]).isin("from", "into", "update", "table", "join") & x["b"].rlike(r"^[\w.]"))
+    t = F.lower(F.regexp_extract(F.try_element_at(led, F.lit(1))["b"], r"^[\w.]+", 0))
+    sn = s.select("path", "pos", F.try_element_at(F.filter(verb, lambda v: v.isNotNull()), F.lit(1)).alias("verb"), t.alias("t")).where("verb IS NOT NULL AND t <> ''")
+    return sn.select(F.concat(F.lit("sql:"), "path", F.lit("#"), "verb", F.lit(":"), "t").alias("id"), F.lit("sql_statement").alias("kind"), F.concat("verb", F.lit(" "), "t").alias("name"), "path", F.col("t").alias("container"), "pos")
+
+
 def harvest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``path, text`` -> (nodes, skipped ``path, error``)."""
     f = files.withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^.]+)$", 1)))
     java = f.where("ext = '.java'").withColumn("r", _java("path", "text"))
     jn = java.select("path", F.posexplode("r.nodes").alias("pos", "n")).select("n.id", "n.kind", "n.name", "path", "n.container", "pos")
     skipped = java.where("r.error IS NOT NULL").select("path", "r.error")
-    body = F.regexp_replace("text", r"(?s)<!--.*?-->", " ")
-    x = f.where("ext = '.xml'").select("path", body.alias("t"), F.regexp_extract(body, r"(?i)<\s*mapper\b[^>]*\bnamespace\s*=\s*[\"']([^\"']+)[\"']", 1).alias("ns")).where("ns <> ''")
-    tags = F.regexp_extract_all("t", F.lit(r"(?i)<\s*(?:select|insert|update|delete)\b[^>]*>"), F.lit(0))
-    xn = x.select("path", "ns", F.posexplode(tags).alias("pos", "tag")).withColumn("name", F.regexp_extract("tag", r"\bid\s*=\s*[\"']([^\"']+)[\"']", 1)).where("name <> ''")
-    xn = xn.select(F.concat(F.lit("mybatis:"), "ns", F.lit("."), "name").alias("id"), F.lit("mybatis_statement").alias("kind"), "name", "path", F.col("ns").alias("container"), "pos")
-    plain = F.regexp_replace("text", r"(?s)--[^\n]*|/\*.*?\*/", " ")
-    s = f.where("ext = '.sql'").select("path", F.posexplode(F.split(plain, ";")).alias("pos", "s"))
-    verb = F.lower(F.regexp_replace(F.regexp_extract("s", r"(?im)^\s*(select|insert|update|delete|create\s+table|alter\s+table)\b", 1), r"\s+", "_"))
-    table = F.lower(F.regexp_extract("s", r"(?i)\b(?:from|into|update|table|join)\s+[\"'`]?([\w.]+)", 1))
-    sn = s.select("path", "pos", verb.alias("verb"), table.alias("t")).where("verb <> '' AND t <> ''")
-    sn = sn.select(F.concat(F.lit("sql:"), "path", F.lit("#"), "verb", F.lit(":"), "t").alias("id"), F.lit("sql_statement").alias("kind"), F.concat("verb", F.lit(" "), "t").alias("name"), "path", F.col("t").alias("container"), "pos")
-    return _first(jn.unionByName(xn).unionByName(sn)), skipped
+    return _first(jn.unionByName(_mapped(f.where("ext = '.xml'"))).unionByName(_statements(f.where("ext = '.sql'")))), skipped
 
 
 @vectorised("array<struct<kind:string,name:string>>")
@@ -104,7 +128,7 @@ def _references(path: pd.Series, text: pd.Series) -> pd.Series:
     out = []
     for p, t in zip(path, text):
         p, t = (p or "").lower(), t or ""
-        body = without(t, strings=False) if p.endswith(".java") else re.sub(r"(?s)<!--.*?-->", " ", t) if p.endswith(".xml") else re.sub(r"(?s)--[^\n]*|/\*.*?\*/", " ", t)
+        body = tokens.blanked(t, literals=False) if p.endswith(".java") else re.sub(r"(?s)<!--.*?-->", " ", t) if p.endswith(".xml") else re.sub(r"(?s)--[^\n]*|/\*.*?\*/", " ", t)
         words = set(re.findall(r"\w+", body))
         dotted = set()
         for chain in set(re.findall(r"\w+(?:\.\w+)+", body)):
@@ -117,35 +141,55 @@ def _references(path: pd.Series, text: pd.Series) -> pd.Series:
 
 
 def link(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """``src, dst, kind`` between nodes that exist: by equi-joins on the identifiers that files mention.
+    """``src, dst, kind`` between nodes that exist: by one equi-join on the identifiers that files mention.
 
-    No file meets every symbol: a mention is joined on its name, and conditions on a pair are counted on
-    the (file, symbol) pairs that a join has found.
+    No file meets every symbol.  What a symbol may be mentioned as is one table of names; mentions are joined on it
+    once, and conditions on a symbol in a file are folded over its mentions there: a mapped statement by its dotted
+    name, or by a call of its name beside its mapper; a class by its name, then its methods that are called; a
+    constant by its dotted name, or alone if no other has its name.
     """
-    refs = files.select("path", F.explode(_references("path", "text")).alias("r")).select("path", F.col("r.kind").alias("k"), F.col("r.name").alias("n"))
-    ref = lambda k: refs.where(F.col("k") == k).select(F.col("path").alias("at"), F.col("n"))
     last = lambda c: F.regexp_extract(c, r"([^.]+)$", 1)
-    classes = nodes.where("kind = 'java_class'")
     fqn = F.expr("substring(id, 6)")
-    members = nodes.where(F.col("kind").isin("java_method", "test_method", "constant"))
-    contains = members.join(classes.select(F.col("id").alias("src"), fqn.alias("container")), "container").select("src", F.col("id").alias("dst"), F.lit("contains").alias("kind"))
+    mention = lambda kind, name, role: F.struct(F.lit(kind).alias("k"), name.alias("n"), F.lit(role).alias("role"))
+    dotted = lambda role: (mention("dotted", F.concat_ws(".", "container", "name"), role), mention("dotted", F.concat_ws(".", last(F.col("container")), "name"), role))
+    none = F.lit(None).cast("string")
+
+    def targets(rows, subject, method, *mentions):
+        return rows.select(subject.alias("subject"), F.col("path").alias("home"), F.col("container").alias("owner"), method.alias("method"), F.explode(F.array(*mentions)).alias("m")).select("subject", "home", "owner", "method", "m.*")
+
+    classes = nodes.where("kind = 'java_class'")
+    constants = nodes.where("kind = 'constant'")
+    lone = constants.groupBy("name").count().where("count = 1").select("name")
+    wanted = (
+        targets(nodes.where("kind = 'mybatis_statement'"), F.col("id"), none, *dotted("full"), mention("call", F.col("name"), "call"), mention("lower", F.lower(last(F.col("container"))), "mapper"))
+        .unionByName(targets(classes, F.col("id"), none, mention("word", F.col("name"), "class")))
+        .unionByName(targets(nodes.where("kind = 'java_method'"), F.concat(F.lit("java:"), "container"), F.col("id"), mention("call", F.col("name"), "method")))
+        .unionByName(targets(constants, F.col("id"), none, *dotted("qualified")))
+        .unionByName(targets(constants.join(lone, "name"), F.col("id"), none, mention("word", F.col("name"), "bare")))
+        .distinct()
+    )
+    refs = files.select(F.col("path").alias("at"), F.explode(_references("path", "text")).alias("r")).select("at", F.col("r.kind").alias("k"), F.col("r.name").alias("n"))
+    met = refs.join(wanted, ["k", "n"]).groupBy("at", "subject").agg(F.collect_set("role").alias("roles"), F.collect_set("method").alias("methods"), F.max("home").alias("home"), F.max("owner").alias("owner"))
+    has = lambda r: F.array_contains("roles", r)
+    elsewhere = F.col("at") != F.col("home")
+    edge = lambda when, dst, kind, src: F.when(when, F.array(F.struct(dst.alias("dst"), F.lit(kind).alias("kind"), F.lit(src).alias("from_kind")))).otherwise(F.array())
+    of_test = has("class") & elsewhere
+    edges = F.concat(
+        edge(elsewhere & (has("full") | (has("call") & has("mapper"))), F.col("subject"), "service_to_mapper", "owner"),
+        edge(of_test, F.col("subject"), "test_to_service", "test"),
+        F.when(of_test, F.transform("methods", lambda m: F.struct(m.alias("dst"), F.lit("test_to_service").alias("kind"), F.lit("test").alias("from_kind")))).otherwise(F.array()),
+        edge(has("qualified") | (has("bare") & F.endswith(F.lower("at"), F.lit(".java"))), F.col("subject"), "uses_constant", "owner"),
+    )
+    found = met.select("at", "home", "owner", F.explode(edges).alias("e")).select("at", "home", "owner", "e.*")
     top = classes.join(classes.select(fqn.alias("container")), "container", "left_anti").select(F.col("path").alias("at"), F.col("id").alias("src"))
     other = nodes.where(F.col("kind").isin("mybatis_statement", "sql_statement")).select(F.col("path").alias("at"), F.col("id").alias("src")).join(top.select("at"), "at", "left_anti")
-    owners = top.unionByName(other)
-    st = nodes.where("kind = 'mybatis_statement'").select("id", "name", "path", "container", last(F.col("container")).alias("simple"))
-    by_dot = st.select("id", "path", F.explode(F.array(F.concat_ws(".", "container", "name"), F.concat_ws(".", "simple", "name"))).alias("n")).join(ref("dotted"), "n").select("id", "path", "at")
-    by_call = st.join(ref("call"), st["name"] == F.col("n")).drop("n").join(ref("lower").withColumnRenamed("at", "at2"), (F.lower("simple") == F.col("n")) & (F.col("at") == F.col("at2"))).select("id", "path", "at")
-    mapper = by_dot.unionByName(by_call).where("at <> path").distinct().join(owners, "at").select("src", F.col("id").alias("dst"), F.lit("service_to_mapper").alias("kind"))
-    tests = nodes.where("kind = 'test_method'").select(F.col("path").alias("at"), F.col("id").alias("src"))
-    tp = tests.select("at").distinct()
-    service = classes.join(tp.withColumnRenamed("at", "path"), "path", "left_anti").join(ref("word"), F.col("name") == F.col("n")).where("at <> path").join(tp, "at", "left_semi")
-    whole = service.select("at", F.col("id").alias("dst"), fqn.alias("owner"))
-    methods = nodes.where("kind = 'java_method'").select(F.col("container").alias("owner"), F.col("name").alias("m"), F.col("id").alias("mid"))
-    calls = whole.join(methods, "owner").join(ref("call").withColumnRenamed("at", "at2"), (F.col("m") == F.col("n")) & (F.col("at") == F.col("at2"))).select("at", F.col("mid").alias("dst"))
-    test = whole.select("at", "dst").unionByName(calls).join(tests, "at").select("src", "dst", F.lit("test_to_service").alias("kind"))
-    const = nodes.where("kind = 'constant'").select("id", "name", "container", last(F.col("container")).alias("simple"))
-    lone = const.groupBy("name").count().where("count = 1").select("name")
-    qualified = const.select("id", "container", F.explode(F.array(F.concat_ws(".", "container", "name"), F.concat_ws(".", "simple", "name"))).alias("n")).join(ref("dotted"), "n").select("id", "container", "at")
-    bare = const.join(lone, "name").join(ref("word"), F.col("name") == F.col("n")).where(F.endswith(F.lower("at"), F.lit(".java"))).select("id", "container", "at")
-    uses = qualified.unionByName(bare).distinct().join(owners, "at").where(F.col("src") != F.concat(F.lit("java:"), "container")).select("src", F.col("id").alias("dst"), F.lit("uses_constant").alias("kind"))
-    return contains.unionByName(mapper).unionByName(test).unionByName(uses).distinct()
+    tests = nodes.where("kind = 'test_method'").select(F.col("path").alias("at"), F.col("id").alias("src"), F.lit("test").alias("from_kind"))
+    sources = top.unionByName(other).withColumn("from_kind", F.lit("owner")).unionByName(tests)
+    joined = found.join(sources, ["at", "from_kind"])
+    joined = joined.join(tests.select(F.col("at").alias("home"), F.lit(True).alias("home_tests")).distinct(), "home", "left")
+    own_constant = (F.col("kind") == "uses_constant") & (F.col("src") == F.concat(F.lit("java:"), "owner"))
+    of_tests = (F.col("kind") == "test_to_service") & F.coalesce("home_tests", F.lit(False))
+    joined = joined.where(~own_constant & ~of_tests).select("src", "dst", "kind")
+    members = nodes.where(F.col("kind").isin("java_method", "test_method", "constant"))
+    contains = members.join(classes.select(F.col("id").alias("src"), fqn.alias("container")), "container").select("src", F.col("id").alias("dst"), F.lit("contains").alias("kind"))
+    return contains.unionByName(joined).distinct()

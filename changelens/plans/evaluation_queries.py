@@ -46,8 +46,8 @@ def confidence_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- retrieval metrics
 _RANKED = """WITH x AS (SELECT l_orderkey AS case_id, concat('p', CAST(l_partkey % 40 AS VARCHAR)) AS path, min(l_linenumber) AS o FROM lineitem GROUP BY ALL),
 r AS (SELECT case_id, path, row_number() OVER (PARTITION BY case_id ORDER BY o, path) AS rank FROM x),
-w AS (SELECT o_orderkey AS case_id, concat('p', CAST(o_custkey % 40 AS VARCHAR)) AS path FROM orders WHERE o_orderkey % 5 <> 0
-  UNION ALL SELECT o_orderkey, concat('p', CAST((o_custkey + 1) % 40 AS VARCHAR)) FROM orders WHERE o_orderkey % 5 <> 0),
+w AS (SELECT o_orderkey AS case_id, concat('p', CAST(o_custkey % 40 AS VARCHAR)) AS path FROM orders
+  UNION ALL SELECT o_orderkey, concat('p', CAST((o_custkey + 1) % 40 AS VARCHAR)) FROM orders),
 c AS (SELECT DISTINCT case_id FROM (SELECT case_id FROM r UNION ALL SELECT case_id FROM w)),
 n AS (SELECT c.case_id, (SELECT count(*) FROM w WHERE w.case_id = c.case_id) AS n_relevant FROM c),
 g AS (SELECT r.case_id, r.rank, w.path IS NOT NULL AS good FROM r LEFT JOIN (SELECT DISTINCT * FROM w) w USING (case_id, path)),
@@ -62,7 +62,7 @@ _PER_CASE = _RANKED + " SELECT case_id, round(reciprocal_rank, 6) AS reciprocal_
 def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     x = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("path")).agg(F.min("l_linenumber").alias("o"))
     r = x.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("o", "path"))).drop("o")
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0")
+    o = table(spark, sf_dir, "orders")
     p = lambda c: F.concat(F.lit("p"), (c % 40).cast("string"))
     w = o.select(F.col("o_orderkey").alias("case_id"), F.explode(F.array(p(F.col("o_custkey")), p(F.col("o_custkey") + 1))).alias("path"))
     return r, w
@@ -103,7 +103,7 @@ def ablation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- patches and replays
-@query("""WITH e AS (SELECT l_orderkey AS c, concat('k', CAST(l_partkey % 5 AS VARCHAR)) AS key FROM lineitem WHERE l_linenumber <= 3),
+@query("""WITH e AS (SELECT l_orderkey AS c, concat('k', CAST(l_partkey % 5 AS VARCHAR)) AS key FROM lineitem),
 g AS (SELECT DISTINCT l_orderkey AS c, concat('k', CAST(l_suppkey % 5 AS VARCHAR)) AS key FROM lineitem),
 rel AS (SELECT DISTINCT l_orderkey AS c, concat('f', CAST(l_partkey % 9 AS VARCHAR)) AS path FROM lineitem WHERE l_linestatus = 'F'),
 pat AS (SELECT DISTINCT l_orderkey AS c, concat('f', CAST(l_suppkey % 9 AS VARCHAR)) AS path FROM lineitem WHERE l_returnflag <> 'N'),
@@ -118,7 +118,7 @@ def patch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacement rate, coverage, needless files and Jaccard of every case."""
     l = table(spark, sf_dir, "lineitem")
     key = lambda p, c, m: F.concat(F.lit(p), (F.col(c) % m).cast("string"))
-    e = l.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("case_id"), key("k", "l_partkey", 5).alias("key"))
+    e = l.select(F.col("l_orderkey").alias("case_id"), key("k", "l_partkey", 5).alias("key"))
     g = l.select(F.col("l_orderkey").alias("case_id"), key("k", "l_suppkey", 5).alias("key"))
     rel = l.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("case_id"), key("f", "l_partkey", 9).alias("path")).distinct()
     pat = l.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("case_id"), key("f", "l_suppkey", 9).alias("path")).distinct()

@@ -91,13 +91,19 @@ def chunk_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk", F.replace("text", F.lit("\u0001"), F.lit(";")).alias("text"))
 
 
-@query("""WITH d AS (SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(10) || chr(10))),
-c AS (SELECT doc_id, unnest(range(0, greatest(1, CAST(ceil(length(t) / 900.0) AS BIGINT)))) AS chunk, t FROM d WHERE t <> ''),
-x AS (SELECT doc_id, chunk, substr(t, chunk * 900 + 1, 900) AS text FROM c)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1 AS INTEGER) AS chunk, text FROM x WHERE length(text) >= 40""")
+@query("""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s: s <> '') AS p
+  FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, 0 AS i, '' AS buf, CAST([] AS VARCHAR[]) AS done FROM d
+  UNION ALL
+  SELECT s.doc_id, i + 1, CASE WHEN fits THEN joined ELSE substr(para, full_ * 900 + 1, 900) END,
+    CASE WHEN fits THEN done ELSE list_concat(CASE WHEN buf <> '' THEN list_append(done, buf) ELSE done END, list_transform(range(0, full_), lambda k: substr(para, k * 900 + 1, 900))) END
+  FROM s JOIN (SELECT * FROM d) d USING (doc_id), LATERAL (SELECT p[i + 1] AS para), LATERAL (SELECT CASE WHEN buf <> '' THEN buf || chr(10) || chr(10) || para ELSE para END AS joined,
+    CASE WHEN length(para) > 900 THEN CAST((length(para) - 1) // 900 AS BIGINT) ELSE 0 END AS full_), LATERAL (SELECT length(joined) <= 900 AS fits) WHERE i < len(p)),
+e AS (SELECT s.doc_id, list_filter(CASE WHEN buf <> '' THEN list_append(done, buf) ELSE done END, lambda x: length(x) >= 40) AS c FROM s JOIN d USING (doc_id) WHERE i = len(p))
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk, unnest(c) AS text FROM e""")
 def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without blank lines: one paragraph each, cut by length."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND NOT contains(text, '\n\n')")
+    """Whole texts, each sentence taken for a paragraph, packed and cut by length."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
     return chunk.paragraphs(d, "doc_id")
 
 

@@ -92,8 +92,7 @@ SELECT query_id, dedup_key, round(greatest(-50, least(45, up + CASE WHEN times >
 
 
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("changelens_lines")
-    ctx = spark.sql("SELECT * FROM " + _CONTEXTS.replace("VARCHAR", "STRING").replace("FROM lineitem", "FROM changelens_lines"))
+    ctx = spark.sql("SELECT * FROM " + _CONTEXTS.replace("VARCHAR", "STRING").replace("FROM lineitem", "FROM {lines}"), lines=table(spark, sf_dir, "lineitem"))
     return retrieve.rerank_delta(ctx, CHANGE_TYPES)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from changelens.functions.lazy import vectorised
 
@@ -37,7 +37,7 @@ def registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 @vectorised("string")
 def collected_text(body: pd.Series, keys: pd.Series) -> pd.Series:
-    """Texts below any of the comma-separated keys of nested JSON, in order, 20,000 letters at most."""
+    """Texts below any of the comma-separated keys of nested JSON, in order, whole."""
 
     def walk(node, inside, wanted, out):
         if isinstance(node, dict):
@@ -55,11 +55,55 @@ def collected_text(body: pd.Series, keys: pd.Series) -> pd.Series:
             walk(json.loads(b), False, set((k or "").split(",")), out)
         except (TypeError, ValueError):
             return ""
-        return "\n".join(out)[:20_000]
+        return "\n".join(out)
 
     return pd.Series([one(b, k) for b, k in zip(body, keys)])
 
 
+#: Where a law's detail holds its amendment and its reason, and a rule's its text.
+AMENDMENT, REASON = ("개정문", "개정문내용"), ("제개정이유", "제개정이유내용")
+RULE_TEXTS = ("조문내용", "부칙", "개정문내용", "제개정이유내용")
+#: Fixed value: a rule's text of fewer letters is followed by that of its attachment.
+SHORT_TEXT = 50
+
+
+def _content(body: Column, outer: str, inner: str) -> Column:
+    """Lines that aren't blank of a list, or of the first list in it."""
+    at = f"$.법령.{outer}.{inner}"
+    flat = F.from_json(F.get_json_object(body, at), "array<string>")
+    nested = F.from_json(F.get_json_object(body, at + "[0]"), "array<string>")
+    is_list = F.startswith(F.trim(F.get_json_object(body, at)), F.lit("["))
+    is_nested = F.startswith(F.ltrim(F.coalesce(F.get_json_object(body, at + "[0]"), F.lit(""))), F.lit("[")) & F.startswith(F.regexp_replace(F.get_json_object(body, at), r"\s", ""), F.lit("[["))
+    lines = F.when(is_nested, nested).when(is_list, flat)
+    return F.coalesce(F.array_join(F.filter(lines, lambda s: F.trim(s) != ""), "\n"), F.lit(""))
+
+
+def law_details(raw: DataFrame) -> DataFrame:
+    """Landed details ``body`` -> the columns of ``raw`` and ``article_no, amendment_text, reason_text, before_text,
+    after_text, amendment_parsed``; before and after come from the amendment's edits."""
+    from changelens.functions.text import article_number
+    from changelens.operators.changes import derive, parse_amendment
+
+    own = [c for c in raw.columns if c != "body"]
+    d = raw.select(*own, _content(F.col("body"), *AMENDMENT).alias("amendment_text"), _content(F.col("body"), *REASON).alias("reason_text"))
+    d = d.withColumn("edits", parse_amendment("amendment_text"))
+    d = d.withColumn("derived", derive(F.col("edits"), F.col("amendment_text")))
+    return d.select(*own, article_number(F.col("amendment_text")).alias("article_no"), "amendment_text", "reason_text", F.col("derived.before").alias("before_text"), F.col("derived.after").alias("after_text"), (F.size("edits") > 0).alias("amendment_parsed"))
+
+
+def rule_details(raw: DataFrame) -> DataFrame:
+    """Landed rules ``body, attachment`` -> their whole text as what is after; a short one with its attachment's text,
+    which whoever lands the rule has taken from the file."""
+    from changelens.functions.text import article_number
+
+    own = [c for c in raw.columns if c not in ("body", "attachment")]
+    text = collected_text("body", F.lit(",".join(RULE_TEXTS)))
+    d = raw.select(*own, "attachment", text.alias("text"))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    whole = F.when(F.length("text") < SHORT_TEXT, strip(F.concat("text", F.lit("\n\n"), F.coalesce("attachment", F.lit(""))))).otherwise(F.col("text"))
+    return d.select(*own, article_number(whole).alias("article_no"), whole.alias("after_text"), F.lit("").alias("before_text"), F.lit("").alias("amendment_text"), F.lit("").alias("reason_text"), F.lit(False).alias("amendment_parsed"))
+
+
 #: What an evaluation case must satisfy: a name and a SQL condition for each rule.
 CASE_RULES = {
     "case_id": "case_id IS NOT NULL AND case_id <> ''",

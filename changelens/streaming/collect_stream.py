@@ -14,10 +14,11 @@ ITEMS = "law_id string, law_name string, promulgation_date string, effective_dat
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # nothing has been written yet
+    """The table at a path; empty where nothing has been written yet.  Any other fault is raised."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def collect(spark: SparkSession, landing: str, table: str, checkpoint: str, once: bool = True, detail: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:

@@ -184,7 +184,10 @@ def test_redaction_of_nested_values():
 
 def test_amendment_parser_limits():
     assert changes.edits_of("") == [] and changes.edits_of(None) == []
-    assert changes.edits_of("가" * 20_000 + "제1조를 삭제한다") == []
+    long = "가" * 200_000 + "제1조를 삭제한다"
+    assert [e["article_ref"] for e in changes.edits_of(long)] == ["제1조"] and changes.edits_of(long, 20_000) == []
+    assert [(e["article_ref"], e["kind"]) for e in changes.edits_of("제3조 중 가를 나. 제4조를 삭제한다. 같은 항을 다음과  같이 신설한다")] == [("제4조", "delete"), ("제4조", "insert")]
+    assert changes.edits_of("제1조 중 " + "가를 나 " * 50_000) == []
 
 
 def test_source_tree(spark, tmp_path):
