@@ -83,6 +83,24 @@ def summary(per_case: DataFrame, by: list[str] | None = None, digits: int = 6) -
     return per_case.groupBy(*keys).agg(F.count("*").alias("cases"), *[F.round(F.avg(c), digits).alias(c) for c in cols])
 
 
+def run_summary(cases: DataFrame, metrics: list[str], by: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """Cases, mean and longest time, failures (rows with an error code) and the metrics' means, by the columns ``by``."""
+    return cases.groupBy(*(by or [])).agg(
+        F.count("*").alias("cases"), F.round(F.avg("latency"), digits).alias("avg_latency"), F.max("latency").alias("max_latency"), F.count("error_code").alias("failures"),
+        *[F.round(F.avg(m), digits).alias(m) for m in metrics],
+    )
+
+
+def error_counts(cases: DataFrame) -> DataFrame:
+    """``error_code, n``."""
+    return cases.where(F.col("error_code").isNotNull()).groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+def forbidden(patched: DataFrame, forbidden_files: DataFrame) -> DataFrame:
+    """``case_id, path``: files that a patch touched though it must not."""
+    return patched.join(forbidden_files.select("case_id", "path").distinct(), ["case_id", "path"], "left_semi").distinct()
+
+
 def patch(expected: DataFrame, generated: DataFrame, relevant: DataFrame, patched: DataFrame) -> DataFrame:
     """Per case: replacement rate, file coverage, rate of needless files, and the files' Jaccard.
 
