@@ -71,7 +71,8 @@ def _placed(candidates: DataFrame) -> DataFrame:
     # a place with very many candidates is one row for each source and hash before anything else
     c = c.groupBy("query_id", "base_key", "source", "content_hash").agg(
         F.max("normalized_score").alias("best"),
-        F.max_by(F.struct(*shown), F.struct("normalized_score", (-F.col("provider_idx")).alias("p"), (-F.col("cand_idx")).alias("c"))).alias("shown"),
+        # of the best score, what arrived first
+        F.max(F.struct("normalized_score", (-F.col("provider_idx")).alias("p"), (-F.col("cand_idx")).alias("c"), F.struct(*shown).alias("shown"))).alias("top"),
         F.min_by(F.struct("path", "symbol"), came).alias("place"),
         F.min(came).alias("arrival"),
         F.bool_and(F.coalesce("stale", F.lit(False))).alias("stale"),
@@ -105,7 +106,7 @@ def merge(candidates: DataFrame, evidence: bool = False) -> DataFrame:
     their own.  ``evidence``: also what each source has to show, its best candidate's, by score.
     """
     by_source = _placed(candidates).groupBy("query_id", "base_key", "dedup_key", "source").agg(
-        F.max("best").alias("best"), F.max_by("shown", F.struct("best", (-F.col("arrival.provider_idx")).alias("p"), (-F.col("arrival.cand_idx")).alias("c"))).alias("shown"),
+        F.max("best").alias("best"), F.max("top")["shown"].alias("shown"),
         F.min_by("place", "arrival").alias("place"), F.min("arrival").alias("arrival"), F.bool_and("stale").alias("stale"),
         F.min_by("state", "state_at").alias("state"), F.min("state_at").alias("state_at"),
     )

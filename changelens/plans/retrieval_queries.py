@@ -25,8 +25,8 @@ CANDIDATE_COLUMNS = """
 """
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*[c.strip() for c in _split(CANDIDATE_COLUMNS)])
+def candidates(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*[c.strip() for c in _split(CANDIDATE_COLUMNS)], *more)
 
 
 def _split(text: str) -> list[str]:

@@ -181,12 +181,11 @@ def work_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHOWN = _CTE.replace("round(l_discount * 10, 3) AS normalized_score", "round(l_discount * 10, 3) AS normalized_score, l_extendedprice AS raw_score")
 
 
-@query(_SHOWN + """, b AS (SELECT query_id, dedup_key, max(normalized_score) AS normalized_score, arg_max(raw_score, (normalized_score, -provider_idx, -cand_idx)) AS score, arg_max(cand_idx, (normalized_score, -provider_idx, -cand_idx)) AS term FROM c WHERE source = 'rag' GROUP BY ALL)
+@query(_SHOWN + """, b AS (SELECT query_id, dedup_key, normalized_score, raw_score AS score, cand_idx AS term FROM c WHERE source = 'rag' QUALIFY row_number() OVER (PARTITION BY query_id, dedup_key ORDER BY normalized_score DESC, provider_idx, cand_idx, raw_score DESC) = 1)
 SELECT b.query_id, path, symbol, score, normalized_score, CAST(term AS VARCHAR) AS term FROM b JOIN g USING (query_id, dedup_key)""")
 def evidence_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one source has to show for every merged place."""
-    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_partkey") % 10000).alias("cand_idx"), F.col("l_suppkey").alias("query_id"), F.col("l_extendedprice").alias("raw_score"))
-    c = candidates(spark, sf_dir).join(l.distinct(), ["cand_idx", "query_id"]).withColumn("matched_terms", F.array(s("cand_idx"))).withColumn("matched_values", F.array().cast("array<string>"))
+    c = candidates(spark, sf_dir, "l_extendedprice AS raw_score").withColumn("matched_terms", F.array(s("cand_idx"))).withColumn("matched_values", F.array().cast("array<string>"))
     shown = retrieve.shown_by(retrieve.merge(c, evidence=True), "rag")
     return shown.select("query_id", "path", "symbol", "score", "normalized_score", F.col("matched_terms")[0].alias("term"))
 
