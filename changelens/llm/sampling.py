@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 SLICES = 1 << 20
 
 
-def first_by_hash(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+def first_by_hash(rows: DataFrame, most: int, *keys: str, total: int | None = None) -> DataFrame:
     """The ``most`` rows that come first by a hash of the keys, ties by the keys' own order.
 
     All but so many slices of the hash as hold four times what is wanted are left out before the sort,
     so that a task does not keep ``most`` rows for the one that merges them, however many tasks there are.
+    ``total``: how many rows there are, if known.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     wanted = 4 * most / max(1, total)
     mixed = F.xxhash64(*keys)
     own = F.pmod(mixed, F.lit(SLICES))

@@ -5,11 +5,12 @@ distance: with M the largest norm, a vector x gets sqrt(M^2 - |x|^2) and a query
 |q - x|^2 = |q|^2 + M^2 - 2 q.x.  The index keys every vector by its nearest pivot and its distance
 to that pivot; rings of equal width around a pivot are its annuli.
 
-A query's first bound comes from a bounded sample of candidates.  Then annuli are expanded in rounds,
-nearest first: an annulus is left out for good as soon as the triangle inequality shows that all in it
-are farther than the k-th best so far; each round tightens that bound.  Within an annulus scores are
-exact integers.  Large annuli are split by a hash of the id, so a hot vector fills no task; queries meet
-every part.
+A query's first bound comes from a bounded sample of candidates.  Then its annuli are expanded nearest first, GROWTH
+times as many in each round: an annulus is left out for good as soon as the triangle inequality shows that all in it
+are farther than the k-th best so far, each round tightens that bound, and a query whose nearest annulus left is
+beyond it is done.  Within an annulus scores are exact integers.  The number of pivots follows the root of that of
+vectors.  Large annuli are split by a hash of the id, so a hot vector fills no task, and so are the queries that
+meet them.
 """
 
 from __future__ import annotations
@@ -17,17 +18,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.llm._util import materialise, tune
 from changelens.llm.sampling import first_by_hash
 
-#: Pivots, rings of a pivot at most, vectors in the sample that fixes pivots and first bounds, and
-#: vectors in one part of an annulus.
-PIVOTS, RINGS, SAMPLE, PART = 32, 16, 4096, 4096
-#: Rounds of expansion: how many of a query's annuli, nearest first; the last takes all the rest.
-EXPAND = (2, None)
+#: Pivots: half the root of the number of vectors, this many at most; rings of a pivot at most.
+MOST_PIVOTS, RINGS = 4096, 8
+#: Vectors in the sample that fixes pivots and first bounds, at least, and for each pivot.
+SAMPLE, EACH = 4096, 8
+#: Vectors in one part of an annulus, and queries that meet it at once.
+PART, QUERIES = 4096, 1 << 16
+#: Annuli that a query expands first, and how many times as many it does in each later round.
+FIRST, GROWTH = 2, 8
 CHUNK = 256
 
 
@@ -41,10 +45,14 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     ).select("vec_id", F.transform("x", lambda e: F.floor(e * 256)).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1).astype(np.float64) if n else np.zeros((0, 1))
+def _matrix(column) -> np.ndarray:
+    """Vectors held as the bytes of doubles."""
+    held = column.to_pylist() if isinstance(column, pa.Array) else list(column)
+    return np.frombuffer(b"".join(held), np.float64).reshape(len(held), -1) if held else np.zeros((0, 1))
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(x, np.float64)], pa.binary())
 
 
 def _pivots(sample: np.ndarray, most: int, rounds: int = 6) -> np.ndarray:
@@ -65,7 +73,7 @@ def _pivots(sample: np.ndarray, most: int, rounds: int = 6) -> np.ndarray:
 class Space:
     """Pivots, ring width and the sample; all of bounded size."""
 
-    def __init__(self, ids: np.ndarray, sample: np.ndarray, largest: float, most: int = PIVOTS):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, largest: float, most: int):
         self.m2 = largest
         self.slack = 1e-3 + 1e-6 * np.sqrt(largest)  # beyond any rounding of a distance
         self.ids, self.sample = ids, sample
@@ -88,16 +96,22 @@ class Space:
         return p, np.minimum((own / self.width).astype(np.int64), RINGS - 1), own
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of one query: highest score, then smallest id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+def best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row that aren't minus infinity, ties to the first column."""
+    k = min(k, score.shape[1])
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k][:, None]
+    above, equal = score > least, score == least
+    take = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(take & (score > -np.inf))
 
 
+def rounds(cells: int) -> list[tuple[int, int]]:
+    """From which to which of its annuli, nearest first, a query expands in each round."""
+    out, at, many = [], 0, FIRST
+    while at < cells:
+        out.append((at, min(cells, at + many)))
+        at, many = at + many, many * GROWTH
+    return out
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -111,120 +125,121 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     """
     spark = vectors.sparkSession
     tune(spark)
-    all_v = materialise(quantised(vectors, id_col, vec_col), "quantised")
-    sizes = all_v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)
+    all_v = materialise(quantised(vectors, id_col, vec_col).withColumn("norm", norm), "quantised")
+    sizes = all_v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("norm").alias("m"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
     out = "query_id long, rank int, vec_id long, score long"
     if not sizes:
         return spark.createDataFrame([], out)
-    dim = sizes[0].d
-    v = all_v.where(F.size("v") == dim)
-    norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)
-    largest = float(v.agg(F.max(norm)).first()[0])
-    picked = first_by_hash(v, SAMPLE, "vec_id").collect()
+    size = sizes[0]
+    v = all_v.where(F.size("v") == size.d).select("vec_id", "v")
+    pivots = max(1, min(MOST_PIVOTS, round(size.n**0.5 / 2)))
+    picked = first_by_hash(v, max(SAMPLE, EACH * pivots), "vec_id", total=size.n).collect()
     picked = list({r.vec_id: r for r in picked}.values())  # an id counts once towards the first bounds
-    space = Space(np.array([r.vec_id for r in picked]), np.array([r.v for r in picked], np.float64), largest)
+    space = Space(np.array([r.vec_id for r in picked]), np.array([r.v for r in picked], np.float64), float(size.m), pivots)
     held = spark.sparkContext.broadcast(space)
+    exact = space.m2 < 2.0**50  # doubles hold such integers exactly
 
     def keyed(batches):
         s = held.value
         for b in batches:
-            x = _matrix(b.column("v"))
+            col = b.column("v")
+            x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1) if len(col) else np.zeros((0, 1))
             p, ring, _ = s.annulus(x) if len(x) else (np.zeros(0), np.zeros(0), None)
-            yield pa.record_batch(
-                [b.column("vec_id"), pa.array(np.asarray(p, np.int32)), pa.array(np.asarray(ring, np.int32)), b.column("v")],
-                names=["vec_id", "pivot", "ring", "v"],
-            )
+            whole = b.column("v") if not exact else pa.array([None] * len(col), pa.list_(pa.int64()))
+            yield pa.record_batch([b.column("vec_id"), pa.array(np.asarray(p * RINGS + ring, np.int32)), _packed(x), whole], names=["vec_id", "cell", "v", "whole"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    index = materialise(v.mapInArrow(keyed, "vec_id long, pivot int, ring int, v array<long>"), "index")
-    # at most PIVOTS * RINGS rows
-    counts = {(r.pivot, r.ring): r["count"] for r in index.groupBy("pivot", "ring").count().collect()}
-    cells = sorted(counts)
+    index = materialise(v.mapInArrow(keyed, "vec_id long, cell int, v binary, whole array<long>"), "index")
+    counts = {r.cell: r["count"] for r in index.groupBy("cell").count().collect()}  # RINGS for a pivot at most
+    cells = np.array(sorted(counts))
     parts = np.array([-(-counts[c] // PART) for c in cells])
     first = np.cumsum(parts) - parts
-    layout = spark.sparkContext.broadcast((np.array(cells), parts, first))
-    where = F.create_map(*[x for c, a, n in zip(cells, first, parts) for x in (F.lit(c[0] * RINGS + c[1]), F.array(F.lit(int(a)), F.lit(int(n))))])
-    slot = where[F.col("pivot") * RINGS + F.col("ring")]
-    placed = index.select((slot[0] + F.pmod(F.xxhash64("vec_id"), slot[1])).cast("int").alias("part"), "vec_id", "v")
-    queries = v.where(F.pmod("vec_id", F.lit(every)) == 0).withColumnRenamed("vec_id", "query_id")
+    layout = spark.sparkContext.broadcast((cells, parts, first))
+    asked = max(1, -(-size.q // QUERIES))
+
+    def dealt(batches):
+        at, n, a0 = layout.value
+        for b in batches:
+            where = np.searchsorted(at, b.column("cell").to_numpy())
+            h = b.column("h").to_numpy()
+            yield pa.record_batch([pa.array((a0[where] + h % n[where]).astype(np.int32)), b.column("vec_id"), b.column("v"), b.column("whole")], names=["part", "vec_id", "v", "whole"])
+
+    placed = index.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInArrow(dealt, "part int, vec_id long, v binary, whole array<long>")
+    placed = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)))) if asked > 1 else placed.withColumn("turn", F.lit(0))
+    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("whole").alias("q_whole"))
 
-    def expand(turn: int):
-        """Each query with every part of the annuli of this turn that its bound lets in."""
+    def expand(lower: int, upper: int):
+        """Each query with every part of the annuli of a round that its bound lets in."""
 
         def run(batches):
             s = held.value
             at, n, a0 = layout.value
+            p, ring = at // RINGS, at % RINGS
+            lo, hi = ring * s.width, np.where(ring == RINGS - 1, np.inf, (ring + 1) * s.width)
             for b in batches:
-                ids, x = b.column("query_id").to_numpy(), _matrix(b.column("v"))
-                bound = b.column("kth").to_numpy(zero_copy_only=False) if turn else None
+                ids, x = b.column("query_id").to_numpy(), _matrix(b.column("q"))
+                known = b.column("kth").to_numpy(zero_copy_only=False)
                 rows_q, rows_part = [], []
-                for q in range(0, len(ids), CHUNK):
-                    own, qi = x[q : q + CHUNK], ids[q : q + CHUNK]
+                for c in range(0, len(ids), CHUNK):
+                    own, qi, kth = x[c : c + CHUNK], ids[c : c + CHUNK], known[c : c + CHUNK]
                     norms = (own * own).sum(1)
                     dist = np.sqrt(np.maximum(norms[:, None] - 2 * np.c_[own, np.zeros(len(own))] @ s.pivots.T + (s.pivots**2).sum(1), 0))
-                    if turn:
-                        kth = bound[q : q + CHUNK]
-                    else:
+                    if not lower and len(s.ids) > k:
                         scores = own @ s.sample.T
                         scores[qi[:, None] == s.ids] = -np.inf
-                        kth = np.partition(scores, -k, axis=1)[:, -k] if len(s.ids) >= k else np.full(len(qi), -np.inf)
-                    d = dist[:, at[:, 0]]
-                    lo, hi = at[:, 1] * s.width, np.where(at[:, 1] == RINGS - 1, np.inf, (at[:, 1] + 1) * s.width)
+                        kth = np.maximum(kth, np.partition(scores, -k, axis=1)[:, -k])
+                    d = dist[:, p]
                     gap = np.maximum(np.maximum(lo - d, d - hi), 0)  # no nearer than this by the triangle inequality
                     limit = np.sqrt(np.maximum(norms + s.m2 - 2 * kth, 0)) + s.slack  # the k-th best is so far
                     order = np.argsort(np.argsort(gap + 1e-9 * d, axis=1, kind="stable"), axis=1)
-                    lower, upper = sum(EXPAND[:turn]) if turn else 0, EXPAND[turn]
-                    take = (gap <= limit[:, None]) & (order >= lower)
-                    if upper is not None:
-                        take &= order < lower + upper
-                    r, c = np.nonzero(take)
-                    reps = n[c]
-                    rows_q.append(np.repeat(q + r, reps))
-                    rows_part.append(np.repeat(a0[c], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
+                    r, cell = np.nonzero((gap <= limit[:, None]) & (order >= lower) & (order < upper))
+                    reps = n[cell]
+                    rows_q.append(np.repeat(c + r, reps))
+                    rows_part.append(np.repeat(a0[cell], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
                 pick = pa.array(np.concatenate(rows_q) if rows_q else np.zeros(0, np.int64))
                 part = np.concatenate(rows_part) if rows_part else np.zeros(0)
-                yield pa.record_batch([b.column("query_id").take(pick), b.column("v").take(pick), pa.array(part.astype(np.int32))], names=["query_id", "q", "part"])
+                yield pa.record_batch([b.column(c).take(pick) for c in ("query_id", "q", "q_whole")] + [pa.array(part.astype(np.int32))], names=["query_id", "q", "q_whole", "part"])
 
         return run
 
-    def meet(queries_pdf: pd.DataFrame, held_pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         """Exact scores within one part: at most PART vectors or so, queries in chunks."""
-        rows = []
-        if len(queries_pdf) and len(held_pdf):
-            kind = np.float64 if held.value.m2 < 2.0**50 else object  # doubles hold such integers exactly
-            ids, x = held_pdf.vec_id.to_numpy(), np.stack(held_pdf.v.to_numpy()).astype(kind)
-            repeats = len(np.unique(ids)) < len(ids)
-            qs = queries_pdf.query_id.to_numpy()
-            for a in range(0, len(qs), CHUNK):
-                q = np.stack(queries_pdf.q.to_numpy()[a : a + CHUNK]).astype(kind)
-                score = q @ x.T
-                for i, own in enumerate(qs[a : a + CHUNK]):
-                    keep = np.flatnonzero(ids != own)
-                    if repeats:  # the best row of each id
-                        order = keep[np.lexsort((ids[keep], -score[i, keep]))]
-                        keep = order[np.unique(ids[order], return_index=True)[1]]
-                    top = keep[best(score[i, keep], ids[keep], k)]
-                    rows += [(own, ids[t], int(score[i, t])) for t in top]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found, left = None, queries.select("query_id", "v")
-    for turn in range(len(EXPAND)):
-        if turn:
-            kth = found.groupBy("query_id").agg(F.try_element_at(F.sort_array(F.collect_list("score"), False), F.lit(k)).alias("kth"))
-            kth = materialise(kth.withColumnRenamed("query_id", "qid"), "bounds")
-            low = -(2.0**60)
-            left = queries.join(kth, F.col("query_id") == F.col("qid"), "left").select("query_id", "v", F.coalesce(F.col("kth").cast("double"), F.lit(low)).alias("kth"))
-        routed = left.mapInArrow(expand(turn), "query_id long, q array<long>, part int")
-        got = routed.groupBy("part").cogroup(placed.groupBy("part")).applyInPandas(meet, "query_id long, vec_id long, score long")
-        got = got if found is None else found.unionByName(got)
-        best_of = got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k)
-        found = materialise(
-            best_of.groupBy("query_id").agg(top.alias("top")).select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.i").alias("vec_id"), (-F.col("t.s")).alias("score")),
-            "found",
-        )
-        if turn < len(EXPAND) - 1:
-            found = found.select("query_id", "vec_id", "score")
+        got = [np.zeros((0, 3), np.int64)]
+        if len(a) and len(b):
+            by = np.argsort(b.vec_id.to_numpy(), kind="stable")
+            ids = b.vec_id.to_numpy()[by]
+            read = lambda d, x, w: _matrix(d[x]) if exact else np.array([[int(e) for e in r] for r in d[w]], object)
+            x, q, qs = read(b, "v", "whole")[by], read(a, "q", "q_whole"), a.query_id.to_numpy()
+            firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            for c in range(0, len(qs), CHUNK):
+                score = q[c : c + CHUNK] @ x.T
+                if len(firsts) < len(ids):  # the best row of each id
+                    score = np.maximum.reduceat(score, firsts, axis=1)
+                score = score.astype(np.float64) if exact else score
+                own = ids[firsts]
+                same = qs[c : c + CHUNK][:, None] == own
+                if exact:
+                    score[same] = -np.inf
+                    i, j = best(score, k)
+                else:
+                    pairs = [(i, j) for i, row in enumerate(score) for j in sorted(np.flatnonzero(~same[i]), key=lambda t, row=row: (-row[t], t))[:k]]
+                    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+                got.append(np.stack([qs[c : c + CHUNK][i], own[j], score[i, j].astype(np.int64)], axis=1))
+        return pd.DataFrame(np.concatenate(got), columns=["query_id", "vec_id", "score"])
+
+    found, low = None, F.lit(-(2.0**60))
+    left = queries.withColumn("kth", low)
+    for lower, upper in rounds(len(cells)):
+        if found is not None:
+            kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("qid"), F.col("score").cast("double").alias("known"))
+            left = queries.join(kth, F.col("query_id") == F.col("qid"), "left").select("query_id", "q", "q_whole", F.coalesce("known", low).alias("kth"))
+        routed = left.mapInArrow(expand(lower, upper), "query_id long, q binary, q_whole array<long>, part int").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int"))
+        got = routed.groupBy("part", "turn").cogroup(placed.groupBy("part", "turn")).applyInPandas(meet, "query_id long, vec_id long, score long")
+        got = got if found is None else got.unionByName(found.drop("rank"))
+        one = got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = materialise(one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found", size.q * k)
     return found
 
 

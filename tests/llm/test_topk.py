@@ -54,3 +54,19 @@ def test_hot_vector_ties_and_odd_rows(spark, monkeypatch):
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (3, [0.0, -1.0])], [(0, [0.0, 0.0]), (50, [0.0, 0.0]), (51, [0.0, 0.0])], [(0, [1e6, 3.0]), (1, [-1e7, 2.0]), (2, [2e6, 5.0])]])
 def test_small(spark, rows):
     assert got(spark, rows) == slow(rows)
+
+
+def test_rounds_cover_every_annulus_once_and_grow():
+    for n in (1, 2, 3, 18, 500):
+        seen = [c for a, b in topk.rounds(n) for c in range(a, b)]
+        assert seen == list(range(n))
+    assert [b - a for a, b in topk.rounds(10_000)][:3] == [2, 16, 128]
+
+
+def test_many_rounds_and_blocks_of_queries(spark, monkeypatch):
+    rows = vectors(900, seed=8)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "FIRST", 1)
+    monkeypatch.setattr(topk, "GROWTH", 2)
+    monkeypatch.setattr(topk, "PART", 50)
+    assert got(spark, rows, every=20) == slow(rows, every=20)
