@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm._util import MARK, materialise, partitions, released, texts, tune, without
-from changelens.llm.components import components
+from changelens.llm.components import components, roots
 
 SEED = 42
 WORDS = 4
@@ -146,21 +146,6 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ---------------------------------------------------------------------------- links in a task
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest reachable position for each of n, by hooking and pointer jumping."""
-    root = np.arange(n)
-    while True:
-        x, y = root[a], root[b]
-        if (x == y).all():
-            return root
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-
-
 #: Keys with up to so many members are compared pair by pair, all keys at once.
 SMALL = 32
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm._util import MARK, materialise, partitions, released, tune, without
-from changelens.llm.components import components
-from changelens.llm.simhash import MIX, SEED, SEGMENTS, fingerprint, left_out, roots, same_prints, segment_keys
+from changelens.llm.components import components, roots
+from changelens.llm.simhash import MIX, SEED, SEGMENTS, fingerprint, left_out, same_prints, segment_keys
 
 WORDS, SIMILARITY = 5, 0.8
 #: Smallest shingle hashes that make keys, each under another mixing of the hashes.

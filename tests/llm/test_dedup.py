@@ -177,3 +177,19 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(200, 200), (7, 5), (5, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_contracted_links_join_the_same(spark, monkeypatch):
+    from changelens.llm import components as c
+
+    r = np.random.default_rng(4)
+    pairs = r.integers(0, 400, (900, 2))
+    own = c.stars(pairs)
+    assert len(own) == len(set(own[:, 0])) and (own[:, 0] > own[:, 1]).all()
+    assert c.stars(np.zeros((0, 2), np.int64)).shape == (0, 2)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in pairs] + [(None, 3), (5, None)], "a long, b long").repartition(3)
+    got = c.contracted(links, 902).collect()
+    assert len(got) <= len(own) + 2 and all(x.hi > x.lo for x in got)
+    want = c.roots(400, pairs[:, 0], pairs[:, 1])
+    assert (c.roots(400, np.array([x.hi for x in got]), np.array([x.lo for x in got])) == want).all()
+    assert {x.node: x.root for x in components(links).collect()} == {k: int(want[k]) for k in range(400) if k in pairs[pairs[:, 0] != pairs[:, 1]]}
