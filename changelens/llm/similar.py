@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm._util import MARK, materialise, partitions, released, tune, without
-from changelens.llm.components import components, roots
+from changelens.llm.components import components, roots, stars
 from changelens.llm.simhash import MIX, SEED, SEGMENTS, fingerprint, left_out, same_prints, segment_keys
 
 WORDS, SIMILARITY = 5, 0.8
@@ -254,7 +254,8 @@ def _spread(targets: int, most: int):
     return run
 
 
-#: What a row of the first step is: a pair to verify, a link that only joins a family, an open member.
+#: What a row of the first step is: a pair to verify, a link that only joins a family (both ends are open), an open
+#: member that no such link of its task has told.
 PAIR, LOOSE, OPEN = 0, 1, 2
 
 
@@ -269,7 +270,8 @@ def _meet(most: int):
             return
         pairs, loose, open_ = chosen(np.frombuffer(b"".join(key), np.uint64), np.frombuffer(b"".join(node), np.int64), np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2), most)
         held = np.concatenate(held)  # candidates, so they are verified, and open
-        open_ = np.unique(np.concatenate([open_, held.ravel()]))
+        loose = stars(loose)
+        open_ = np.setdiff1d(np.concatenate([open_, held.ravel()]), loose.ravel())
         for kind, rows in ((PAIR, pairs), (PAIR, np.sort(held, axis=1)), (LOOSE, loose), (OPEN, np.stack([open_, open_], axis=1))):
             yield pa.record_batch([pa.array(np.full(len(rows), kind, np.int32)), pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], names=["kind", "a", "b"])
 
@@ -387,7 +389,7 @@ def similar_links(docs: DataFrame, sketched: DataFrame, least: float = SIMILARIT
     lead = which.join(wanted.withColumnRenamed("i", "i2").withColumnRenamed("m", "m2"), F.col("i").eqNullSafe(F.col("i2")) & (F.col("m") == F.col("m2"))).select("at", F.col("node").alias("first"))
     sets = materialise(lead.join(found, lead["first"] == found.node).select(F.col("at").alias("node"), "held"), "sets")
     links = _pairs_verified(pairs, sets, least)
-    marked = rows.where(F.col("kind") == OPEN).select(F.col("a").alias("node"))
+    marked = rows.where(F.col("kind") != PAIR).select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node")).distinct()
     if marked.isEmpty():
         return links
     joined = links if known is None else links.unionByName(known)
