@@ -68,7 +68,7 @@ def test_names_and_schemas(spark):
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in q) == list(range(1, 11))
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
     want = {
-        "op1": "doc_id bigint, held_out boolean, score double, predicted int",
+        "op1": "doc_id bigint, held_out boolean, score double, predicted int, sentences array<struct<start:bigint,end:bigint,score:double>>",
         "op4": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
         "op5": "doc_id bigint, fingerprint string, component_id bigint",
         "op6": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
