@@ -9,7 +9,8 @@ shares one has a shingle in common and a segment alike.  Measured on pairs at ex
 
 Every candidate is verified by the exact Jaccard of whole shingle sets, in two steps.  First each key tells about as
 many pairs as it has members: all candidate pairs if they are that few, else for each member the nearest before it
-and the one through which a walk from the group's middle reaches it.  Members of keys that left pairs out are open.
+and the one through which a walk from the group's middle reaches it, if they differ in at most CLOSE bits; those
+further apart are only told as one family.  Members of keys that left pairs out are open.
 Then the open members of one family (what candidates join) are dealt into blocks of bounded size, and each pair of
 blocks is compared whole, leaving out pairs that verified links have joined already.  So no candidate is left
 untried, a group in which all are linked costs what it has members, and no task holds more than two blocks.
@@ -33,6 +34,9 @@ WORDS, SIMILARITY = 5, 0.8
 HASHES = 3
 #: Bits of both fingerprints in which candidates may differ: at a similarity of 0.8, 99.9 % of pairs have 33 or fewer.
 MOST_BITS = 34
+#: A key that leaves pairs out tells the first step those in which so many bits differ: three in four of its links lie
+#: within, while most pairs beyond are refused.  What is further apart only joins families here; the second step tries it.
+CLOSE = 18
 #: Groups up to so many members are compared all keys at once; up to so many, each with all before it.
 FEW, MANY = 32, 2048
 CHUNK, ROWS = 2048, 4096
@@ -103,10 +107,11 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------- keys and candidates
-def keys(prints: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(n, 2)`` fingerprints and ``(n, HASHES)`` smallest hashes -> (row, key): a codeword index of one segment
-    and one smallest hash."""
-    where, what = [], []
+def keys(prints: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(n, 2)`` fingerprints and ``(n, HASHES)`` smallest hashes -> (row, key, place): a key is a codeword index of
+    one segment and one smallest hash; keys of one segment and hash have one place, so that two documents which share
+    several of them meet there once."""
+    where, what, place = [], [], []
     for k in range(2):
         for s, (at, w) in enumerate(SEGMENTS):
             near = segment_keys(((prints[:, k] >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64), w)
@@ -116,7 +121,8 @@ def keys(prints: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]
                 for j in range(least.shape[1]):
                     where.append(rows)
                     what.append(least[rows, j] ^ _mixed(word | np.uint64(j << 16), 64))
-    return np.concatenate(where), np.concatenate(what)
+                    place.append(least[rows, j] + np.uint64(k * 3 + s << 8 | j))
+    return np.concatenate(where), np.concatenate(what), np.concatenate(place)
 
 
 def _distance(prints: np.ndarray, x, y) -> np.ndarray:
@@ -188,7 +194,7 @@ def chosen(key: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int = MO
         by = np.lexsort((low, _distance(prints, low, high), high))
         best = np.zeros(len(by), bool)
         best[by] = np.r_[True, np.diff(high[by]) != 0]
-        take = whole | best
+        take = whole | best & (_distance(prints, low, high) <= CLOSE)
         left.append(low[take])
         right.append(high[take])
         if not whole.all():
@@ -203,11 +209,15 @@ def chosen(key: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int = MO
         total = None
         if n <= MANY:
             p, q, total = _nearest_before(own, most)
-            x, y = np.concatenate([x, p]), np.concatenate([y, q])
+            x, y = np.unique(np.sort(np.concatenate([[x, y], [p, q]], axis=1), axis=0), axis=1)
+        if total is None or total > len(x):
+            joined = at + np.stack([x, y], axis=1)
+            loose.append(node[joined])
+            open_.append(node[np.unique(joined)])
+            near = _distance(own, x, y) <= CLOSE
+            x, y = x[near], y[near]
         left.append(at + x)
         right.append(at + y)
-        if total is None or total > len(x):
-            open_.append(node[at + np.unique(np.concatenate([x, y]))])
     a, b = node[np.concatenate(left)], node[np.concatenate(right)]
     pairs = np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     loose = np.concatenate(loose)
@@ -216,7 +226,7 @@ def chosen(key: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int = MO
 
 def _spread(targets: int, most: int):
     """Blocks of keys for their targets.  A key with more than SENT members in a batch sends on only that many; the
-    others are joined to the first candidate among them here, and all are open."""
+    others are joined to a candidate among them here (told by the walk; far if over CLOSE bits), and all are open."""
 
     def run(batches):
         for b in batches:
@@ -225,15 +235,16 @@ def _spread(targets: int, most: int):
             node = b.column("node").to_numpy()
             prints = np.stack([b.column(c).to_numpy() for c in ("f0", "f1")], axis=1).view(np.uint64)
             least = np.frombuffer(b"".join(b.column("least").to_pylist()), np.uint64).reshape(len(node), -1)
-            at, key = keys(prints, least)
+            at, key, place = keys(prints, least)
             order = np.argsort(key, kind="stable")
-            at, key = at[order], key[order]
+            at, key, place = at[order], key[order], place[order]
             first, size = _groups(key)
-            keep, held = np.ones(len(key), bool), [np.zeros((0, 2), np.int64)]
+            keep, held = np.ones(len(key), bool), [np.zeros((0, 3), np.int64)]
             for s, n in zip(first[size > SENT].tolist(), size[size > SENT].tolist()):
                 own = at[s : s + n]
                 x, y = _walk(prints[own], most)
-                held.append(node[own[np.stack([x, y], axis=1)]])
+                far = _distance(prints, own[x], own[y]) > CLOSE
+                held.append(np.column_stack([node[own[x]], node[own[y]], far]))
                 root = roots(n, x, y)
                 rank = np.zeros(n, np.int64)  # place of each member within what candidates join
                 by = np.argsort(root, kind="stable")
@@ -241,7 +252,7 @@ def _spread(targets: int, most: int):
                 rank[by] = np.arange(n) - np.repeat(start, many)
                 keep[s : s + n] = rank < SENT
             at, key = at[keep], key[keep]
-            to = (key * MIX >> np.uint64(24)).astype(np.int64) % targets
+            to = (_mixed(place[keep], 65) >> np.uint64(24)).astype(np.int64) % targets
             order = np.argsort(to, kind="stable")
             at, key, to = at[order], key[order], to[order]
             cut, many = _groups(to)
@@ -254,38 +265,50 @@ def _spread(targets: int, most: int):
     return run
 
 
-#: What a row of the first step is: a pair to verify, a link that only joins a family (both ends are open), an open
-#: member that no such link of its task has told.
-PAIR, LOOSE, OPEN = 0, 1, 2
+def told(pairs: np.ndarray, loose: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a task has chosen -> pairs to verify that join nothing else, pairs to verify that join the family of two
+    open members, and the fewest links of open members that join what such pairs leave apart (or a member and itself)."""
+    both = np.isin(pairs, open_).all(1) if len(pairs) else np.zeros(0, bool)
+    near = pairs[both]
+    loose = np.concatenate([loose, near])
+    node = np.unique(np.concatenate([loose.ravel(), open_]))
+    lead = roots(len(node), *np.searchsorted(node, near).T)
+    rest = stars(node[lead[np.searchsorted(node, loose)]])
+    alone = np.setdiff1d(open_, np.concatenate([near.ravel(), rest.ravel()]))
+    return pairs[~both], near, np.concatenate([rest, np.stack([alone, alone], axis=1)])
 
 
 def _meet(most: int):
     def run(batches):
-        key, node, prints, held = [], [], [], [np.zeros((0, 2), np.int64)]
+        key, node, prints, held = [], [], [], [np.zeros((0, 3), np.int64)]
         for b in batches:
             for into, name in ((key, "key"), (node, "node"), (prints, "prints")):
                 into += b.column(name).to_pylist()
-            held += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in b.column("held").to_pylist() if x]
+            held += [np.frombuffer(x, np.int64).reshape(-1, 3) for x in b.column("held").to_pylist() if x]
         if not key:
             return
         pairs, loose, open_ = chosen(np.frombuffer(b"".join(key), np.uint64), np.frombuffer(b"".join(node), np.int64), np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2), most)
-        held = np.concatenate(held)  # candidates, so they are verified, and open
-        loose = stars(loose)
-        open_ = np.setdiff1d(np.concatenate([open_, held.ravel()]), loose.ravel())
-        for kind, rows in ((PAIR, pairs), (PAIR, np.sort(held, axis=1)), (LOOSE, loose), (OPEN, np.stack([open_, open_], axis=1))):
-            yield pa.record_batch([pa.array(np.full(len(rows), kind, np.int32)), pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], names=["kind", "a", "b"])
+        held = np.concatenate(held)  # candidates: verified if they are close, and open
+        held, far = np.sort(held[:, :2], axis=1), held[:, 2] == 1
+        pairs = np.unique(np.concatenate([pairs, held[~far]]), axis=0)
+        rows = told(pairs, np.concatenate([loose, held]), np.union1d(open_, held))
+        for (verify, joins), some in zip(((1, 0), (1, 1), (0, 1)), rows):
+            some = np.sort(some, axis=1)
+            flags = [pa.array(np.full(len(some), x, np.int32)) for x in (verify, joins)]
+            yield pa.record_batch([*[pa.array(np.ascontiguousarray(some[:, k])) for k in range(2)], *flags], names=["a", "b", "verify", "joins"])
 
     return run
 
 
 def met(sketched: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Written ``kind, a, b``: pairs to verify, links that join families, open members."""
+    """Written ``a, b, verify, joins``: distinct pairs; whether to verify one (0 or 1), and whether it joins a family,
+    whose members are open (0 or 1; ``a`` and ``b`` may be one)."""
     spark = sketched.sparkSession
     p = partitions(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     dealt = sketched.where("size > 0").select("node", "f0", "f1", "least").repartition(p, "node")
     blocks = dealt.mapInArrow(released(_spread(8 * p, most)), "target int, key binary, node binary, prints binary, held binary")
-    out = materialise(blocks.repartition(p, "target").mapInArrow(released(_meet(most)), "kind int, a long, b long").distinct(), "candidates")
+    out = materialise(blocks.repartition(p, "target").mapInArrow(released(_meet(most)), "a long, b long, verify int, joins int").groupBy("a", "b").agg(F.max("verify").alias("verify"), F.max("joins").alias("joins")), "candidates")
     tune(spark)
     return out
 
@@ -378,7 +401,7 @@ def similar_links(docs: DataFrame, sketched: DataFrame, least: float = SIMILARIT
     tune(docs.sparkSession)
     n = sketched.count()
     rows = met(sketched, most)
-    pairs = rows.where(F.col("kind") == PAIR).select("a", "b")
+    pairs = rows.where("verify = 1").select("a", "b")
     ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "ends", n)
     which = sketched.join(ends, sketched.node == ends.end, "left_semi").select(F.col("node").alias("at"), F.col("doc_id").alias("i"), F.col("mark").alias("m"))
     # by id and hash of the text: rows that agree in both have one set
@@ -389,12 +412,12 @@ def similar_links(docs: DataFrame, sketched: DataFrame, least: float = SIMILARIT
     lead = which.join(wanted.withColumnRenamed("i", "i2").withColumnRenamed("m", "m2"), F.col("i").eqNullSafe(F.col("i2")) & (F.col("m") == F.col("m2"))).select("at", F.col("node").alias("first"))
     sets = materialise(lead.join(found, lead["first"] == found.node).select(F.col("at").alias("node"), "held"), "sets")
     links = _pairs_verified(pairs, sets, least)
-    marked = rows.where(F.col("kind") != PAIR).select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node")).distinct()
+    marked = rows.where("joins = 1").select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node")).distinct()
     if marked.isEmpty():
         return links
     joined = links if known is None else links.unionByName(known)
     label = components(materialise(joined.select("a", "b"), "joined", joined.count())).select(F.col("node").alias("x"), F.col("root").alias("label"))
-    loose = materialise(rows.where(F.col("kind") != OPEN).select("a", "b"), "loose")
+    loose = materialise(rows.where("a <> b").select("a", "b"), "loose")
     family = components(loose).select(F.col("node").alias("y"), F.col("root").alias("family"))
     open_ = sketched.join(marked, "node", "left_semi").select("node", "size", "f0", "f1")
     open_ = open_.join(family, F.col("node") == F.col("y")).join(label, F.col("node") == F.col("x"), "left").select("node", "family", F.coalesce("label", "node").alias("label"), "size", "f0", "f1")

@@ -88,7 +88,7 @@ def test_pairs_at_the_threshold_share_a_key():
             least[side].append(m)
     held = [[set() for _ in range(400)] for _ in range(2)]
     for side in range(2):
-        at, key = similar.keys(np.array(prints[side]).view(np.uint64), np.array(least[side]).view(np.uint64))
+        at, key, _ = similar.keys(np.array(prints[side]).view(np.uint64), np.array(least[side]).view(np.uint64))
         for k, x in zip(at.tolist(), key.tolist()):
             held[side][k].add(x)
     shared = sum(bool(x & y) for x, y in zip(*held))
@@ -124,6 +124,34 @@ def test_one_key_tells_as_many_pairs_as_members_and_joins_all_candidates():
             assert set(open_.tolist()) >= set(ids[: 2 * n].tolist())
 
 
+def test_what_a_task_tells_joins_what_it_has_chosen():
+    r = np.random.default_rng(8)
+    for _ in range(30):
+        pairs, loose = np.unique(np.sort(r.integers(0, 30, (12, 2)), axis=1), axis=0), r.integers(0, 30, (9, 2))
+        pairs, loose = pairs[pairs[:, 0] != pairs[:, 1]], loose[loose[:, 0] != loose[:, 1]]
+        open_ = np.union1d(loose, r.integers(0, 30, 3))
+        one, near, rest = similar.told(pairs, loose, open_)
+        assert sorted(map(tuple, np.concatenate([one, near]).tolist())) == sorted(map(tuple, pairs.tolist()))
+        assert set(np.concatenate([near, rest]).ravel().tolist()) == set(open_.tolist())
+        before, after = np.concatenate([pairs, loose]).tolist(), np.concatenate([one, near, rest]).tolist()
+        assert roots(range(30), before) == roots(range(30), after) and len(rest) <= len(open_)
+    none, flat = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    assert [len(x) for x in similar.told(none, none, flat)] == [0, 0, 0]
+
+
+def test_pairs_of_a_key_that_leaves_some_out_are_close_or_open():
+    prints = family(60, 11, bits=12)
+    ids = np.arange(60)
+    pairs, loose, open_ = similar.chosen(np.zeros(60, np.uint64), ids, prints)
+    d = np.bitwise_count(prints[:, None] ^ prints[None]).sum(-1)
+    assert (d[pairs[:, 0], pairs[:, 1]] <= similar.CLOSE).all() and set(open_.tolist()) == set(ids.tolist())
+    few = family(4, 12, bits=12)
+    pairs, loose, open_ = similar.chosen(np.zeros(4, np.uint64), ids[:4], few)
+    d = np.bitwise_count(few[:, None] ^ few[None]).sum(-1)
+    want = {(a, b) for a in range(4) for b in range(a + 1, 4) if d[a, b] <= similar.MOST_BITS}
+    assert {tuple(p) for p in pairs.tolist()} == want and not len(open_)
+
+
 def test_walk_joins_what_candidates_join():
     prints = np.concatenate([family(40, 5), family(25, 6), family(1, 7)])
     x, y = similar._walk(prints, similar.MOST_BITS)
