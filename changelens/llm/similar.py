@@ -12,8 +12,9 @@ many pairs as it has members: all candidate pairs if they are that few, else for
 and the one through which a walk from the group's middle reaches it, if they differ in at most CLOSE bits; those
 further apart are only told as one family.  Members of keys that left pairs out are open.
 Then the open members of one family (what candidates join) are dealt into blocks of bounded size, and each pair of
-blocks is compared whole, leaving out pairs that verified links have joined already.  So no candidate is left
-untried, a group in which all are linked costs what it has members, and no task holds more than two blocks.
+blocks is compared whole, leaving out pairs that verified links have joined already.  So what a key
+leaves out is tried, a group in which all are linked costs what it has members, and no task holds more than two
+blocks.  One case is left: what is a candidate only of members that a crowded batch holds back (see SENT).
 """
 
 from __future__ import annotations
