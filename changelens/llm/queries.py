@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import chat, exact_dedup, packing, pieces, pii, quality, simhash, topk, toxicity, warc
+from changelens.llm import chat, decontaminate, elkan, exact_dedup, merkle, packing, pieces, pii, quality, simhash, topk, toxicity, warc
 from changelens.llm._util import read_table
 
 
@@ -51,9 +51,28 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(read_table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op7_topk": topk.ORACLE_SQL}
+    return {
+        "op2_warc": warc.ORACLE_SQL,
+        "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op7_topk": topk.ORACLE_SQL,
+        "op11_merkle": merkle.ORACLE_SQL,
+        "op12_clusters": elkan.ORACLE_SQL,
+        "op13_decontamination": decontaminate.ORACLE_SQL,
+    }
