@@ -14,7 +14,8 @@ further apart are only told as one family.  Members of keys that left pairs out
 Then the open members of one family (what candidates join) are dealt into blocks of bounded size, and each pair of
 blocks is compared whole, leaving out pairs that verified links have joined already.  So what a key
 leaves out is tried, a group in which all are linked costs what it has members, and no task holds more than two
-blocks.  One case is left: what is a candidate only of members that a crowded batch holds back (see SENT).
+blocks.  Of a key that is crowded in a batch of rows some members stand for the others, all within CLOSE bits of them;
+what is a candidate of one of those others but not of who stands for it is told by other keys of the two or not at all.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ CLOSE = 18
 #: Groups up to so many members are compared all keys at once; up to so many, each with all before it.
 FEW, MANY = 32, 2048
 CHUNK, ROWS = 2048, 4096
-#: Members of a key in one batch of rows that are sent on; more are joined to the first of them where they are.
-SENT = 64
+#: Blocks of keys are dealt to so many targets for each partition.
+SPREAD = 4
 #: Shingles in a block of the second step, about.
 BLOCK = 1 << 17
 
@@ -170,7 +171,7 @@ def _nearest_before(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(left), np.concatenate(right), total
 
 
-def chosen(key: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chosen(key: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int = MOST_BITS, close: int = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(n, 2)`` distinct pairs to verify, ``(n, 2)`` links that join what candidates join beside them, and the
     members of keys that left pairs out."""
     order = np.lexsort((node, key))
@@ -195,7 +196,7 @@ def chosen(key: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int = MO
         by = np.lexsort((low, _distance(prints, low, high), high))
         best = np.zeros(len(by), bool)
         best[by] = np.r_[True, np.diff(high[by]) != 0]
-        take = whole | best & (_distance(prints, low, high) <= CLOSE)
+        take = whole | best & (_distance(prints, low, high) <= close)
         left.append(low[take])
         right.append(high[take])
         if not whole.all():
@@ -215,7 +216,7 @@ def chosen(key: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int = MO
             joined = at + np.stack([x, y], axis=1)
             loose.append(node[joined])
             open_.append(node[np.unique(joined)])
-            near = _distance(own, x, y) <= CLOSE
+            near = _distance(own, x, y) <= close
             x, y = x[near], y[near]
         left.append(at + x)
         right.append(at + y)
@@ -225,9 +226,22 @@ def chosen(key: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int = MO
     return pairs[pairs[:, 0] != pairs[:, 1]], loose[loose[:, 0] != loose[:, 1]], np.unique(np.concatenate(open_))
 
 
-def _spread(targets: int, most: int):
-    """Blocks of keys for their targets.  A key with more than SENT members in a batch sends on only that many; the
-    others are joined to a candidate among them here (told by the walk; far if over CLOSE bits), and all are open."""
+def covered(prints: np.ndarray, close: int = CLOSE) -> tuple[np.ndarray, np.ndarray]:
+    """(position of each member that stands for others or itself, the one that stands for each): the first of what is
+    left stands for all within ``close`` bits of it, and so on, until each has one."""
+    lead = np.full(len(prints), -1)
+    rest = np.arange(len(prints))
+    while len(rest):
+        near = _distance(prints, rest, rest[0]) <= close
+        lead[rest[near]] = rest[0]
+        rest = rest[~near]
+    return np.flatnonzero(lead == np.arange(len(prints))), lead
+
+
+def _spread(targets: int, most: int, close: int):
+    """Blocks of keys for their targets.  Of a crowded key's members in a batch those are sent on that stand for all
+    (see ``covered``), however many it takes; the others are told, to be verified, as pairs with the one that stands for
+    them, and both are open, so the second step tries them against their whole family."""
 
     def run(batches):
         for b in batches:
@@ -240,18 +254,13 @@ def _spread(targets: int, most: int):
             order = np.argsort(key, kind="stable")
             at, key, place = at[order], key[order], place[order]
             first, size = _groups(key)
-            keep, held = np.ones(len(key), bool), [np.zeros((0, 3), np.int64)]
-            for s, n in zip(first[size > SENT].tolist(), size[size > SENT].tolist()):
+            keep, held = np.ones(len(key), bool), [np.zeros((0, 2), np.int64)]
+            for s, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
                 own = at[s : s + n]
-                x, y = _walk(prints[own], most)
-                far = _distance(prints, own[x], own[y]) > CLOSE
-                held.append(np.column_stack([node[own[x]], node[own[y]], far]))
-                root = roots(n, x, y)
-                rank = np.zeros(n, np.int64)  # place of each member within what candidates join
-                by = np.argsort(root, kind="stable")
-                start, many = _groups(root[by])
-                rank[by] = np.arange(n) - np.repeat(start, many)
-                keep[s : s + n] = rank < SENT
+                _, lead = covered(prints[own], close)
+                others = np.flatnonzero(lead != np.arange(n))
+                held.append(np.stack([node[own[lead[others]]], node[own[others]]], axis=1))
+                keep[s + others] = False
             at, key = at[keep], key[keep]
             to = (_mixed(place[keep], 65) >> np.uint64(24)).astype(np.int64) % targets
             order = np.argsort(to, kind="stable")
@@ -279,19 +288,18 @@ def told(pairs: np.ndarray, loose: np.ndarray, open_: np.ndarray) -> tuple[np.nd
     return pairs[~both], near, np.concatenate([rest, np.stack([alone, alone], axis=1)])
 
 
-def _meet(most: int):
+def _meet(most: int, close: int):
     def run(batches):
-        key, node, prints, held = [], [], [], [np.zeros((0, 3), np.int64)]
+        key, node, prints, held = [], [], [], [np.zeros((0, 2), np.int64)]
         for b in batches:
             for into, name in ((key, "key"), (node, "node"), (prints, "prints")):
                 into += b.column(name).to_pylist()
-            held += [np.frombuffer(x, np.int64).reshape(-1, 3) for x in b.column("held").to_pylist() if x]
+            held += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in b.column("held").to_pylist() if x]
         if not key:
             return
-        pairs, loose, open_ = chosen(np.frombuffer(b"".join(key), np.uint64), np.frombuffer(b"".join(node), np.int64), np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2), most)
-        held = np.concatenate(held)  # candidates: verified if they are close, and open
-        held, far = np.sort(held[:, :2], axis=1), held[:, 2] == 1
-        pairs = np.unique(np.concatenate([pairs, held[~far]]), axis=0)
+        pairs, loose, open_ = chosen(np.frombuffer(b"".join(key), np.uint64), np.frombuffer(b"".join(node), np.int64), np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2), most, close)
+        held = np.sort(np.concatenate(held), axis=1)  # close, so verified, and open
+        pairs = np.unique(np.concatenate([pairs, held]), axis=0)
         rows = told(pairs, np.concatenate([loose, held]), np.union1d(open_, held))
         for (verify, joins), some in zip(((1, 0), (1, 1), (0, 1)), rows):
             some = np.sort(some, axis=1)
@@ -301,15 +309,15 @@ def _meet(most: int):
     return run
 
 
-def met(sketched: DataFrame, most: int = MOST_BITS) -> DataFrame:
+def met(sketched: DataFrame, most: int = MOST_BITS, close: int = CLOSE) -> DataFrame:
     """Written ``a, b, verify, joins``: distinct pairs; whether to verify one (0 or 1), and whether it joins a family,
     whose members are open (0 or 1; ``a`` and ``b`` may be one)."""
     spark = sketched.sparkSession
     p = partitions(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     dealt = sketched.where("size > 0").select("node", "f0", "f1", "least").repartition(p, "node")
-    blocks = dealt.mapInArrow(released(_spread(8 * p, most)), "target int, key binary, node binary, prints binary, held binary")
-    out = materialise(blocks.repartition(p, "target").mapInArrow(released(_meet(most)), "a long, b long, verify int, joins int").groupBy("a", "b").agg(F.max("verify").alias("verify"), F.max("joins").alias("joins")), "candidates")
+    blocks = dealt.mapInArrow(released(_spread(SPREAD * p, most, close)), "target int, key binary, node binary, prints binary, held binary")
+    out = materialise(blocks.repartition(p, "target").mapInArrow(released(_meet(most, close)), "a long, b long, verify int, joins int").groupBy("a", "b").agg(F.max("verify").alias("verify"), F.max("joins").alias("joins")), "candidates")
     tune(spark)
     return out
 
@@ -393,7 +401,7 @@ def _family_links(open_: DataFrame, sets: DataFrame, least: float, most: int) ->
     return materialise(rows.select("meeting", "side", "node", "label", "f0", "f1", "held").groupBy("meeting").applyInPandas(meet, "a long, b long"), "within")
 
 
-def similar_links(docs: DataFrame, sketched: DataFrame, least: float = SIMILARITY, known: DataFrame | None = None, most: int = MOST_BITS) -> DataFrame:
+def similar_links(docs: DataFrame, sketched: DataFrame, least: float = SIMILARITY, known: DataFrame | None = None, most: int = MOST_BITS, close: int = CLOSE) -> DataFrame:
     """Written links ``(a, b)`` of nodes, smaller first, whose Jaccard is ``least`` or more.
 
     ``sketched``: ``sketches(docs)``.  Components of the links, with those of ``known`` (written links that hold
@@ -401,7 +409,7 @@ def similar_links(docs: DataFrame, sketched: DataFrame, least: float = SIMILARIT
     """
     tune(docs.sparkSession)
     n = sketched.count()
-    rows = met(sketched, most)
+    rows = met(sketched, most, close)
     pairs = rows.where("verify = 1").select("a", "b")
     ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "ends", n)
     which = sketched.join(ends, sketched.node == ends.end, "left_semi").select(F.col("node").alias("at"), F.col("doc_id").alias("i"), F.col("mark").alias("m"))
@@ -427,7 +435,7 @@ def similar_links(docs: DataFrame, sketched: DataFrame, least: float = SIMILARIT
 
 
 # ------------------------------------------------------------------------------------ the operator
-def drop_similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def drop_similar(docs: DataFrame, least: float = SIMILARITY, most: int = MOST_BITS, close: int = CLOSE) -> DataFrame:
     """One row of each group stays, with its own columns: the one with the smallest id, ties by a hash of the text.
 
     Documents are linked by fingerprints within four bits, as the SimHash operator links them, or by a verified
@@ -437,6 +445,6 @@ def drop_similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Very long texts are sketched whole.  Extra columns may have any names; an empty table gives an empty table.
     """
     sketched = sketches(docs)
-    close = same_prints(sketched)
-    both = materialise(similar_links(docs, sketched, least, close).unionByName(close), "both")
+    linked = same_prints(sketched)
+    both = materialise(similar_links(docs, sketched, least, linked, most, close).unionByName(linked), "both")
     return without(docs, *left_out(both, sketched))

@@ -208,7 +208,7 @@ def test_a_crowded_batch_sends_on_a_few(spark, monkeypatch):
         w = list(hub)
         w[r.randrange(150)] = f"x{k}"
         rows.append((k, " ".join(w)))
-    monkeypatch.setattr(similar, "SENT", 4)
+    monkeypatch.setattr(similar, "FEW", 4)
     assert set(roots(range(300), links_of(spark, rows)).values()) == {0}
 
 
@@ -224,3 +224,49 @@ def test_drop_similar(spark):
     assert {i for i in ids if want[i] == i} <= got and len(got) <= len({*want.values()}) + 1
     odd = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (3, "a b", 3)], "doc_id long, text string, node long")
     assert similar.drop_similar(odd).columns == odd.columns and [x.doc_id for x in similar.drop_similar(odd).collect()] == [3]
+
+
+def test_covered_members_are_close_to_who_stands_for_them():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, (5, 2), dtype=np.uint64)
+    prints = base[r.integers(0, 5, 400)]
+    for _ in range(9):
+        prints[np.arange(400), r.integers(0, 2, 400)] ^= np.uint64(1) << r.integers(0, 64, 400).astype(np.uint64)
+    heads, lead = similar.covered(prints)
+    assert set(heads) == set(lead) and (lead[heads] == heads).all() and len(heads) < 60
+    assert (np.bitwise_count(prints ^ prints[lead]).sum(1) <= similar.CLOSE).all()
+
+
+def test_recall_in_a_crowded_family(spark):
+    """A family of texts some 0.66 alike, two and two of which are 0.85 alike: 95 % of the pairs are joined at least."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    hub, rows = [word() for _ in range(300)], []
+    for k in range(200):
+        w = list(hub)
+        for at in r.sample(range(0, 300, 6), 13):
+            w[at] = word()
+        v = list(w)
+        for at in r.sample(range(3, 300, 20), 4):
+            v[at] = word()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    r.shuffle(rows)
+    sets = {i: similar.shingles(t) for i, t in rows}
+    alike = lambda a, b: (both := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - both)
+    wanted = [k for k in range(200) if alike(2 * k, 2 * k + 1) >= 0.8]
+    assert len(wanted) > 150 and np.mean([alike(2 * k, 2 * k + 2) for k in range(199)]) < 0.75
+    root = roots(range(400), links_of(spark, rows))
+    assert sum(root[2 * k] == root[2 * k + 1] for k in wanted) >= 0.95 * len(wanted)
+
+
+def test_recall_on_documents(spark):
+    """Of all pairs of the table that are 0.8 alike, found by a join on shingles, 95 % are joined at least."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    own, at = {i: similar.shingles(t) for i, t in rows}, {}
+    for i, s in own.items():
+        for h in s.tolist():
+            at.setdefault(h, []).append(i)
+    shared = Counter((a, b) for ids in at.values() if len(ids) <= 400 for k, a in enumerate(ids) for b in ids[k + 1 :])
+    wanted = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(own[a]) + len(own[b]) - n)]
+    root = roots(sorted(own), links_of(spark, rows))
+    assert wanted and sum(root[a] == root[b] for a, b in wanted) >= 0.95 * len(wanted)
