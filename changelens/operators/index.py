@@ -23,12 +23,11 @@ def lines(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     return texts.select(key, F.posexplode(F.split(flat, "\n")).alias("p", "line")).select(key, (F.col("p") + 1).alias("line_no"), "line")
 
 
-def constants(texts: DataFrame, key: str = "path", text: str = "text", most: int = MAX_PLACES) -> DataFrame:
-    """``value_key, <key>, line_no, excerpt, ord``: places of numbers that may be legal constants.
+def every_constant(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """``value_key, <key>, line_no, excerpt``: all places of numbers that may be legal constants.
 
     A literal stands alone: no letter, digit, underscore or dot touches it, so it is a whole run of such
-    characters.  Small whole numbers count only in lines that name a unit.  A value counts once a line and
-    keeps its first places.
+    characters.  Small whole numbers count only in lines that name a unit.  A value counts once a line.
     """
     l = lines(texts, key, text).where(F.col("line").rlike(r"\d"))
     runs = F.split("line", r"[^\p{L}\p{N}_.]+")
@@ -37,7 +36,12 @@ def constants(texts: DataFrame, key: str = "path", text: str = "text", most: int
     small = F.filter(F.transform(F.filter(runs, lambda t: t.rlike(SMALL)), lambda t: number(t, SMALL)), lambda v: v.between(2, 999))
     found = F.concat(big, F.when(F.col("line").rlike(UNIT_WORDS), small).otherwise(F.array().cast("array<double>")))
     rows = l.select(key, "line_no", F.substring(F.trim("line"), 1, EXCERPT).alias("excerpt"), F.explode(F.array_distinct(found)).alias("v"))
-    rows = rows.select(number_key(F.col("v")).alias("value_key"), key, "line_no", "excerpt").distinct()
+    return rows.select(number_key(F.col("v")).alias("value_key"), key, "line_no", "excerpt").distinct()
+
+
+def constants(texts: DataFrame, key: str = "path", text: str = "text", most: int = MAX_PLACES) -> DataFrame:
+    """``value_key, <key>, line_no, excerpt, ord``: of each value its first places (see ``every_constant``)."""
+    rows = every_constant(texts, key, text)
     w = Window.partitionBy("value_key").orderBy(key, "line_no")
     return rows.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= most)
 

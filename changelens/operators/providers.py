@@ -23,9 +23,11 @@ def rag(hits: DataFrame) -> DataFrame:
     return _candidate(hits, "rag", clamp(F.col("score")), order=F.col("rank"))
 
 
-def _top_places(matches: DataFrame, places: DataFrame, key: str, k: int = 3) -> DataFrame:
-    w = Window.partitionBy("query_id", key).orderBy(*location_order(F.col("path")))
-    return matches.join(places.select(key, "path").distinct(), key).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+def _top_places(matches: DataFrame, places: DataFrame, key: str, within: tuple[str, ...] = (), k: int = 3) -> DataFrame:
+    """Each match at the first files of its key, which are found for each key before they meet the queries."""
+    w = Window.partitionBy(*within, key).orderBy(*location_order(F.col("path")))
+    first = places.select(*within, key, "path").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return matches.join(first, [*within, key])
 
 
 def dictionary(matches: DataFrame, places: DataFrame) -> DataFrame:
@@ -34,10 +36,11 @@ def dictionary(matches: DataFrame, places: DataFrame) -> DataFrame:
     return _candidate(_top_places(matches, places, "code"), "term_dictionary", score, symbol="code", order=F.col("rank") * 10 + F.col("place"))
 
 
-def constants(matches: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Values matched (``query_id, value_key, score, rank``) at their three best files."""
+def constants(matches: DataFrame, inventory: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Values matched (``query_id, value_key, score, rank``) at their three best files; ``within``: columns of both that
+    name the tree to look in."""
     score = F.round(F.least(F.lit(0.99), 0.75 + F.col("score") / 40), 3)
-    return _candidate(_top_places(matches, inventory, "value_key"), "constant_match", score, symbol="value_key", order=F.col("rank") * 10 + F.col("place"))
+    return _candidate(_top_places(matches, inventory, "value_key", within), "constant_match", score, symbol="value_key", order=F.col("rank") * 10 + F.col("place"))
 
 
 def verified(mappings: DataFrame, files: DataFrame) -> DataFrame:

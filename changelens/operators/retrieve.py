@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.text import place_key
-from changelens.schemas import EXCLUDED_DIRS
+from changelens.schemas import CANDIDATES, EXCLUDED_DIRS
+from changelens.sources.store import scratch
 
 #: What a source's best evidence weighs, what an edge's kind scores, depth and breadth.
 WEIGHTS = {"verified_mapping": 0.35, "constant_match": 0.25, "term_dictionary": 0.20, "rag": 0.15, "code_graph": 0.05, "historical_commit": 0.10}
@@ -36,23 +40,34 @@ def union_providers(queries: DataFrame, providers: list[Provider]) -> DataFrame:
     return out
 
 
-def provider_status(queries: DataFrame, enabled: dict[str, Provider | None]) -> tuple[DataFrame | None, dict[str, str]]:
-    """Runs what is enabled; one that fails to plan is reported and left out, all failing is an error."""
-    status, good = {}, []
-    for name, p in enabled.items():
-        if p is None:
-            status[name] = "disabled"
+#: What ends one source or stage and not the search: faults of planning and of running, not of the program.
+FAULTS = (PySparkException, Py4JError)
+STATUS = "source string, status string, candidates long, seconds double, message string"
+
+
+def ask(queries: DataFrame, enabled: dict[str, Provider | None]) -> tuple[DataFrame, list[tuple]]:
+    """(candidates of all sources that ran, a row of ``STATUS`` for each source).
+
+    Each source is a job of its own, whose candidates are written before the next is asked, so one that fails, be it
+    in the last of its tasks, takes nothing from the others.  All failing is an error; none enabled, an empty table.
+    """
+    spark, rows, good = queries.sparkSession, [], []
+    for name, provider in enabled.items():
+        if provider is None:
+            rows.append((name, "disabled", 0, 0.0, ""))
             continue
+        began = time.monotonic()
         try:
-            got = p(queries)
-            got.schema  # noqa: B018  plans the query
-            good.append(lambda _, g=got: g)
-            status[name] = "success"
-        except Exception as e:  # a source that fails must not end the search
-            status[name] = f"error: {type(e).__name__}"
+            got = scratch(provider(queries), f"source-{name}")
+            n = got.count()
+        except FAULTS as e:
+            rows.append((name, "error", 0, time.monotonic() - began, f"{type(e).__name__}: {str(e).strip().splitlines()[0][:200] if str(e).strip() else ''}"))
+            continue
+        rows.append((name, "success", n, time.monotonic() - began, ""))
+        good.append(lambda _, g=got: g)
     if not good and any(p is not None for p in enabled.values()):
         raise RuntimeError("all enabled providers failed")
-    return (union_providers(queries, good) if good else None), status
+    return (union_providers(queries, good) if good else spark.createDataFrame([], CANDIDATES)), rows
 
 
 #: What a source has to show for a candidate.
@@ -174,27 +189,27 @@ def rerank(merged: DataFrame, deltas: DataFrame) -> DataFrame:
     return moved.withColumn("final_score", F.round(clamp(F.col("final_score") + F.coalesce("delta", F.lit(0.0))), 6)).drop("delta")
 
 
-def _stage(name: str, before: DataFrame, run: Callable[[], DataFrame], warnings: list[str]) -> DataFrame:
-    """A stage's result, or what came before it and a warning, if it can't be planned."""
+def _stage(name: str, before: DataFrame, run: Callable[[], DataFrame], rows: list[tuple]) -> DataFrame:
+    """A stage's written result; where it fails, what came before it.  Either way a row of ``STATUS``."""
+    began = time.monotonic()
     try:
-        out = run()
-        out.schema  # noqa: B018  plans the stage
-        return out
-    except Exception as e:  # an optional stage must not end the search
-        warnings.append(f"{name}: {type(e).__name__}")
+        out = scratch(run(), name)
+    except FAULTS as e:
+        rows.append((name, "error", 0, time.monotonic() - began, type(e).__name__))
         return before
+    rows.append((name, "success", out.count(), time.monotonic() - began, ""))
+    return out
 
 
 def search(
     queries: DataFrame, enabled: dict[str, Provider | None], k: int = 10, graph: tuple[DataFrame, DataFrame] | None = None, deltas: Callable[[DataFrame], DataFrame] | None = None
-) -> tuple[DataFrame, dict[str, str], list[str]]:
-    """(ranked candidates with their evidence, each source's status, warnings).
+) -> tuple[DataFrame, DataFrame]:
+    """(ranked candidates with their evidence, a table of ``STATUS``: how each source and stage fared).
 
     Sources are asked and merged; the best places seed the graph ``(nodes, edges)``, and what it reaches is merged
     with them; ``deltas`` says what each place's history moves; only then are places ranked and cut at ``k``.
     """
-    found, status = provider_status(queries, enabled)
-    warnings: list[str] = []
+    found, rows = ask(queries, enabled)
     merged = merge(found, evidence=True)
 
     def expanded() -> DataFrame:
@@ -203,10 +218,10 @@ def search(
         return merge(found.unionByName(graph_candidates(hits, nodes), allowMissingColumns=True), evidence=True)
 
     if graph is not None:
-        merged = _stage("graph", merged, expanded, warnings)
+        merged = _stage("graph", merged, expanded, rows)
     if deltas is not None:
-        merged = _stage("rerank", merged, lambda m=merged: rerank(m, deltas(m)), warnings)
-    return rank(merged, k), status, warnings
+        merged = _stage("rerank", merged, lambda m=merged: rerank(m, deltas(m)), rows)
+    return rank(merged, k), queries.sparkSession.createDataFrame(rows, STATUS)
 
 
 def excluded(path: Column) -> Column:

@@ -33,4 +33,4 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
 
 def load() -> None:
     """Fill the registry."""
-    from changelens.plans import change_queries, draft_queries, evaluation_queries, index_queries, log_queries, retrieval_queries, table_queries  # noqa: F401
+    from changelens.plans import change_queries, draft_queries, evaluation_queries, index_queries, log_queries, retrieval_queries, run_queries, table_queries  # noqa: F401

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.operators.replay import allowed
+from changelens.sources import store
 
 
 def by_source(df: DataFrame, path: str, source: str = "source") -> None:
@@ -13,15 +14,16 @@ def by_source(df: DataFrame, path: str, source: str = "source") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(path)
 
 
-def append_events(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_events(df: DataFrame, path: str, key: tuple[str, ...] = ("run_id", "sequence_no")) -> int:
+    """Commits events to the log at a path; an event whose key is there already is refused.  The commit's number."""
+    return store.Log(df.sparkSession, path, key).append(df)
 
 
 def event_ids(df: DataFrame, at: str = "occurred_at", order: str = "ord", prefix: str = "F") -> DataFrame:
     """Daily ids: prefix, day, number within the day."""
-    day = F.date_format(at, "yyyyMMdd")
-    n = F.row_number().over(Window.partitionBy(day).orderBy(at, order))
-    return df.withColumn("event_id", F.concat(F.lit(f"{prefix}-"), day, F.lit("-"), F.lpad(n.cast("string"), 4, "0")))
+    dated = df.withColumn("day_", F.date_format(at, "yyyyMMdd"))
+    n = store.numbered(dated, ["day_"], [at, order], "number_")
+    return n.withColumn("event_id", F.concat(F.lit(f"{prefix}-"), "day_", F.lit("-"), F.lpad(F.col("number_").cast("string"), F.greatest(F.lit(4), F.length(F.col("number_").cast("string"))), "0"))).drop("day_", "number_")
 
 
 def report(cases: DataFrame, artifacts: DataFrame, folder: str) -> DataFrame:

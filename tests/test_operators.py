@@ -51,10 +51,11 @@ def test_providers_fail_alone_but_not_all_together(spark):
     q = spark.createDataFrame([(1,)], "query_id long")
     good = lambda df: df.selectExpr("query_id", "'rag' AS source")
     bad = lambda df: df.select("no_such_column")
-    got, status = retrieve.provider_status(q, {"rag": good, "terms": bad, "graph": None})
-    assert got.count() == 1 and status["graph"] == "disabled" and status["terms"].startswith("error")
+    got, rows = retrieve.ask(q, {"rag": good, "terms": bad, "graph": None})
+    status = {r[0]: r[1:3] for r in rows}
+    assert got.count() == 1 and status == {"rag": ("success", 1), "graph": ("disabled", 0), "terms": ("error", 0)}
     with pytest.raises(RuntimeError):
-        retrieve.provider_status(q, {"terms": bad})
+        retrieve.ask(q, {"terms": bad})
 
 
 def test_graph_stops_after_two_steps_and_twenty_nodes(spark):
