@@ -9,7 +9,9 @@ of either is all that the driver learns of a partition.  Between partitions conf
 first pieces left in a range get the last gaps left in the ranges before.  Then gaps are updated, and the next superstep
 begins.  A superstep that places few opens sequences for the longest pieces, as many as the rest needs at least.
 
-A last rest of at most TAIL pieces is packed by itself, into the largest gaps and new sequences.
+Where all pieces left are short and gaps fewer than they, a gap is cut into slots that hold the longest of them, so it
+takes several in one superstep, and what its slots are left with is one gap again.  Supersteps go on to the last piece,
+at every size of the table alike; places within sequences are summed up at the end.
 """
 
 from __future__ import annotations
@@ -18,13 +20,12 @@ import base64
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.llm._util import materialise, partitions, released, texts, tune
@@ -111,8 +112,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, pa
 
 
 # ------------------------------------------------------------------------------ supersteps
-#: Pieces that are packed in one go when no more are left; a superstep that places less than one in FEW opens sequences.
-TAIL, FEW = 4096, 4
+#: A superstep that places less than one piece in FEW opens sequences.
+FEW = 4
 PIECE, GAP = 1, 0
 
 
@@ -162,8 +163,20 @@ def _swept(batches):
     yield pa.record_batch([pa.array(c) for c in cols], names=["size", "kind", "id", "other", "other_size", "rank", "part"])
 
 
-def _superstep(left: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``left`` (id, size), ``gaps`` (id, size) -> written (placed: id, sequence_id, offset), left, gaps."""
+def slots(gaps: DataFrame, longest: int, most: int) -> DataFrame:
+    """Gaps ``(id, size)`` cut into slots that hold the longest piece each, at most so many to a gap; the last slot of a
+    gap holds what is left."""
+    n = F.least(F.greatest(F.expr(f"size div {longest}"), F.lit(1)), F.lit(most))
+    cut = gaps.withColumn("n", n).select("id", "size", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    return cut.select("id", F.when(F.col("k") < F.col("n"), F.lit(longest)).otherwise(F.col("size") - (F.col("n") - 1) * longest).cast("long").alias("size"))
+
+
+def _superstep(left: DataFrame, gaps: DataFrame, longest: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``left`` (id, size), ``gaps`` (id, size) -> written (placed: id, sequence_id, size), left, gaps.
+
+    A gap takes as many pieces at once as it has slots, ``most`` at most."""
+    if most > 1:
+        gaps = slots(gaps, longest, most)
     spark = left.sparkSession
     p = partitions(spark)
     rows = left.select("size", F.lit(PIECE).alias("kind"), "id").unionByName(gaps.select("size", F.lit(GAP).alias("kind"), "id"))
@@ -205,89 +218,74 @@ def _superstep(left: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFra
         alone = alone.where("run < 0")
     near = met.where((F.col("kind") == PIECE) & (F.col("rank") < 0)).select("id", "size", "other", "other_size")
     fits = materialise(near.unionByName(far) if runs else near, "fits")
-    placed = fits.select("id", F.col("other").alias("sequence_id"), (F.lit(capacity) - F.col("other_size")).alias("offset"))
+    placed = fits.select("id", F.col("other").alias("sequence_id"), "size")
     rest = fits.select(F.col("other").alias("id"), (F.col("other_size") - F.col("size")).alias("size")).where("size > 0")
     kept = alone.where(F.col("kind") == GAP).select("id", "size")
-    return placed, alone.where(F.col("kind") == PIECE).select("id", "size"), rest.unionByName(kept)
-
-
-def best_fit(lengths: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
-    """Sequential best fit, longest first: ``(id, length)`` and gaps ``(id, size)`` -> ``(id, sequence, offset)``."""
-    free: dict[int, list[int]] = {}
-    for i, size in gaps:
-        free.setdefault(size, []).append(i)
-    sizes, out = sorted(free), []
-    for i, n in sorted(lengths, key=lambda x: (-x[1], x[0])):
-        k = bisect_left(sizes, n)
-        size = sizes[k] if k < len(sizes) else capacity
-        if k < len(sizes):
-            seq = free[size].pop()
-            if not free[size]:
-                del free[size], sizes[k]
-        else:
-            seq = i
-        out.append((i, seq, capacity - size))
-        if size > n:
-            if size - n not in free:
-                free[size - n] = []
-                insort(sizes, size - n)
-            free[size - n].append(seq)
-    return out
+    after = rest.unionByName(kept)
+    if most > 1:  # a gap's slots are one gap again
+        after = materialise(after.groupBy("id").agg(F.sum("size").alias("size")), "gaps")
+    return placed, alone.where(F.col("kind") == PIECE).select("id", "size"), after
 
 
 # ------------------------------------------------------------------------------ the operator
 def _opened(left: DataFrame, by_length: dict[int, int], many: int):
-    """Condition that holds for about the ``many`` longest pieces; of one length they are told apart by a hash."""
+    """Condition that holds for about the ``many`` longest pieces, one at least; of one length they are told apart by a hash."""
     for n in sorted(by_length, reverse=True):
+        if many <= 0:
+            return F.col("size") > n
         if by_length[n] > many:
-            share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, (many << 20) // by_length[n])
-            return (F.col("size") > n) | ((F.col("size") == n) & share)
+            mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+            first = left.where(F.col("size") == n).agg(F.min(mixed)).first()[0]
+            return (F.col("size") > n) | ((F.col("size") == n) & (mixed < max(first + 1, (many << 20) // by_length[n])))
         many -= by_length[n]
     return F.lit(True)
 
 
-def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, tail: int = TAIL) -> DataFrame:
+def pack_pieces(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces ``(doc_id, piece, length 1..capacity, ...)`` -> the same and ``sequence_id, offset``.
 
-    A sequence has the number of the piece that opened it.  The driver takes counts for each length and each
-    partition, and at most ``tail`` pieces and gaps at the end.
+    A sequence has the number of the piece that opened it, which stands first in it.  Supersteps go on until no piece is
+    left; the driver takes counts for each length and each partition.
     """
     spark = parts.sparkSession
     names = parts.columns
     pieces_ = materialise(parts.withColumn("id", F.monotonically_increasing_id()), "pieces")
     every = pieces_.select("id", F.col("length").alias("size"))
     first = F.col("size") * 2 > capacity
-    placed = [every.where(first).select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    placed = [every.where(first).select("id", F.col("id").alias("sequence_id"), "size")]
     left = every.where(~first)
     gaps = every.where(first).select("id", (F.lit(capacity) - F.col("size")).alias("size")).where("size > 0")
     before = None
     while True:
         by_length = {r["size"]: r["count"] for r in left.groupBy("size").count().collect()}  # a row a length
         n = sum(by_length.values())
-        if n <= tail:
+        if not n:
             break
-        if before is not None and before - n < n // FEW:  # few found a gap: the longest open sequences
+        longest = max(by_length)
+        if before is not None and before - n < max(1, n // FEW):  # few found a gap: the longest open sequences
             least = min(by_length)
             room = gaps.where(F.col("size") >= least).agg(F.sum("size")).first()[0] or 0
-            many = -(-max(0, sum(k * c for k, c in by_length.items()) - room) // capacity)
-            opens = materialise(left.withColumn("opens", _opened(left, by_length, max(many, n // 64, 1))), "opens")
-            placed.append(opens.where("opens").select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+            total = sum(k * c for k, c in by_length.items())
+            many = max(-(-max(0, total - room) // capacity), total // capacity // 2, 1)
+            opens = materialise(left.withColumn("opens", _opened(left, by_length, many)), "opens")
+            placed.append(opens.where("opens").select("id", F.col("id").alias("sequence_id"), "size"))
             gaps = gaps.unionByName(opens.where("opens").select("id", (F.lit(capacity) - F.col("size")).alias("size")).where("size > 0"))
             left = opens.where(~F.col("opens")).select("id", "size")
             before = None
             continue
         before = n
-        got, left, gaps = _superstep(left, gaps.where(F.col("size") >= min(by_length)), capacity)
+        gaps = gaps.where(F.col("size") >= min(by_length))
+        most = 1
+        if 2 * longest <= capacity:  # short pieces: a gap may take several at once, if there are fewer gaps than pieces
+            open_ = gaps.count()
+            most = -(-2 * n // open_) if 0 < open_ < n else 1
+        got, left, gaps = _superstep(left, gaps, longest, most)
         placed.append(got)
-    if n:
-        rest = [(r.id, r["size"]) for r in left.collect()]
-        large = gaps.where(F.col("size") >= min(by_length)).orderBy(F.desc("size"), "id").limit(max(tail, 1)).collect()
-        ends = best_fit(rest, [(r.id, r["size"]) for r in large], capacity)
-        placed.append(spark.createDataFrame(ends, "id long, sequence_id long, offset long"))
     at = placed[0]
     for more in placed[1:]:
         at = at.unionByName(more)
-    at = at.withColumnRenamed("id", "at")
+    order = Window.partitionBy("sequence_id").orderBy(F.col("id") != F.col("sequence_id"), F.desc("size"), "id")  # a sequence has ``capacity`` pieces at most
+    at = at.select(F.col("id").alias("at"), "sequence_id", (F.sum("size").over(order) - F.col("size")).alias("offset"))
     return pieces_.join(at, F.col("id") == F.col("at")).select(*names, "sequence_id", "offset")
 
 

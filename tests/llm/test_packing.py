@@ -47,23 +47,6 @@ def sequential(lengths, gaps=(), capacity=60):
     return opened
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 60), max_size=80), st.lists(st.integers(1, 59), max_size=20))
-def test_the_last_rest_is_best_fit(lengths, gaps):
-    got = packing.best_fit(list(enumerate(lengths)), [(1000 + k, g) for k, g in enumerate(gaps)], 60)
-    assert sorted(i for i, _, _ in got) == list(range(len(lengths)))
-    assert len({q for i, q, off in got if i == q and off == 0}) == sequential(lengths, gaps)
-    held = {1000 + k: [(0, 60 - g)] for k, g in enumerate(gaps)}
-    for i, q, off in got:
-        held.setdefault(q, []).append((off, lengths[i]))
-    for own in held.values():
-        at = 0
-        for off, n in sorted(own):
-            assert off == at
-            at += n
-        assert at <= 60
-
-
 def one_sweep(pieces, gaps):
     """Each piece, longest first, with the smallest gap that fits and isn't taken: sizes that meet."""
     free, out = sorted(gaps), []
@@ -107,7 +90,7 @@ def test_supersteps_are_valid_and_near_best_fit(spark):
     r = np.random.default_rng(3)
     lengths = [int(x) for x in np.r_[r.integers(1, 61, 700), np.full(300, 7), np.full(5, 60)]]
     parts = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
-    got = packing.pack_pieces(parts, 60, tail=20).collect()
+    got = packing.pack_pieces(parts, 60).collect()
     assert sorted((x.doc_id, x.length) for x in got) == list(enumerate(lengths))
     assert checked(got, 60) <= 1.02 * sequential(lengths) + 1
 
@@ -116,10 +99,29 @@ def test_many_pieces_leave_little_room(spark):
     r = np.random.default_rng(2)
     lengths = r.integers(1, 1025, 20_000)
     parts = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, length long")
-    got = packing.pack_pieces(parts, tail=200).collect()
+    got = packing.pack_pieces(parts).collect()
     assert len(got) == len(lengths) and checked(got, 1024) <= 1.01 * lengths.sum() / 1024
 
 
+@pytest.mark.parametrize("lengths", [[5], [10] * 600, [1] * 900 + [511] * 3, [300, 300, 300, 100, 100, 100] * 40], ids=["one", "equal", "short", "mixed"])
+def test_supersteps_go_on_to_the_last_piece(spark, monkeypatch, lengths):
+    """Few pieces are packed by supersteps too, in few of them, and as well as by a sequential best fit."""
+    steps, step = [], packing._superstep
+    monkeypatch.setattr(packing, "_superstep", lambda *a: steps.append(1) or step(*a))
+    parts = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    got = packing.pack_pieces(parts).collect()
+    assert sorted((x.doc_id, x.length) for x in got) == list(enumerate(lengths))
+    assert checked(got, 1024) <= -(-sum(lengths) // 1024) + (0 if len(set(lengths)) < 3 else 8) and 1 <= len(steps) <= 12
+
+
+def test_slots(spark):
+    gaps = spark.createDataFrame([(1, 35), (2, 9), (3, 100)], "id long, size long")
+    got = {}
+    for r in packing.slots(gaps, 10, 4).collect():
+        got.setdefault(r.id, []).append(r["size"])
+    assert {k: sorted(v) for k, v in got.items()} == {1: [10, 10, 15], 2: [9], 3: [10, 10, 10, 70]}
+
+
 def test_pack(spark):
     r = np.random.default_rng(7)
     data = [(i, " ".join(["word", "éa", "x1"][k] for k in r.integers(0, 3, r.integers(0, 700))), "k") for i in range(80)]
