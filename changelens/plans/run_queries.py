@@ -11,7 +11,8 @@ from changelens.operators import index, replay_run, retrieve, revisions
 from changelens.plans.catalogue import ORACLES, query, table
 from changelens.plans.index_queries import const_inventory  # noqa: F401  registers the SQL that cached_inventory shares
 from changelens.plans.retrieval_queries import _CTE, candidates
-from changelens.sources import store
+from changelens.sources import landed_feed, store
+from changelens.streaming import collect_stream
 
 
 def _fails(batches):
@@ -110,7 +111,7 @@ def cached_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = cache.table("constants", {"documents": f"{sf_dir}/documents.parquet"}, lambda: index.constants(docs, "doc_id"))
     if len(cache.built) > 1 and not out.isEmpty():
         raise RuntimeError("the cache was not used")
-    return out.select("value_key", "doc_id", "line_no", "ord")
+    return out.select("value_key", "doc_id", "line_no", "excerpt", "ord")
 
 
 query(ORACLES["const_inventory"])(cached_inventory)
@@ -133,3 +134,57 @@ def daily_event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("own"), "ts")
     return event_ids(e, "ts", "own").select(F.col("own").alias("event_id"), F.col("event_id").alias("name"))
+
+
+# --------------------------------------------------------------------------- feeds and streams
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of pages of a feed: a page for each document, a query for each tenth of them; every ninth page is broken."""
+    folder = f"{store.shared(spark)}/feed-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents")
+    item = F.struct(F.col("doc_id").cast("string").alias("법령ID"), F.col("source").alias("법령일련번호"), F.substring("text", 1, 40).alias("법령명한글"), F.lit("20260101").alias("공포일자"))
+    body = F.when(F.col("doc_id") % 9 == 0, "<html>busy</html>").otherwise(F.to_json(F.struct(F.struct(F.when(F.col("doc_id") % 2 == 0, F.array(item)).otherwise(F.array(item, item)).alias("law")).alias("LawSearch"))))
+    pages = d.select((F.col("doc_id") % 10).alias("q"), F.col("doc_id").alias("p"), body.alias("body"))
+
+    def land(batches):
+        """Each page becomes a file of its own, as a fetcher would leave it."""
+        import os
+
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        where.create_dir(root)
+        for b in batches:
+            for q, p, text in zip(*(b.column(c).to_pylist() for c in ("q", "p", "body")), strict=True):
+                with where.open_output_stream(os.path.join(root, f"{q}-{p}.json")) as out:
+                    out.write(text.encode())
+            yield b.select(["p"])
+
+    pages.mapInArrow(land, "p long").count()
+    return folder
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS law_id, coalesce(source, '') AS law_mst, coalesce(substring(text, 1, 40), '') AS law_name, pos FROM documents, unnest(CASE WHEN doc_id % 2 = 0 THEN [0] ELSE [0, 1] END) AS t(pos) WHERE doc_id % 9 <> 0""")
+def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a landed feed of a page for each document, read by the feed's own data source."""
+    items, _ = landed_feed.feed(spark, _landed(spark, sf_dir))
+    return items.select("law_id", "law_mst", "law_name", F.col("ord.pos").alias("pos"))
+
+
+@query("SELECT doc_id % 10 AS query_ord, doc_id AS page, 'a page of markup' AS error FROM documents WHERE doc_id % 9 = 0")
+def feed_bad_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of that feed that hold no answer."""
+    return landed_feed.feed(spark, _landed(spark, sf_dir))[1]
+
+
+@query("""SELECT CAST(l_linenumber AS VARCHAR) AS law_id, strftime(l_shipdate, '%Y%m01') AS promulgation_date, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY ALL""")
+def collected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines landed as items in two deliveries, of which the second brings the first once more, collected as a stream."""
+    root = f"{store.shared(spark)}/stream-{uuid.uuid4().hex}"
+    l = table(spark, sf_dir, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    items = l.select(text("l_linenumber").alias("law_id"), F.lit("n").alias("law_name"), F.date_format("l_shipdate", "yyyyMM01").alias("promulgation_date"), F.lit(None).cast("string").alias("effective_date"), F.lit("law").alias("source"), F.lit("tax").alias("domain"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    one = items.join(items.where("law_id < '4'").select("law_id", "promulgation_date").distinct(), ["law_id", "promulgation_date"], "left_semi").select(*items.columns)
+    for part in (one, items):
+        part.write.mode("append").json(f"{root}/in")
+        collect_stream.collect(spark, f"{root}/in", f"{root}/out", f"{root}/mark").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("law_id", "promulgation_date", "ord")
