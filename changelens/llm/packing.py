@@ -228,15 +228,22 @@ def _superstep(left: DataFrame, gaps: DataFrame, longest: int, most: int) -> tup
 
 
 # ------------------------------------------------------------------------------ the operator
+#: So many pieces of one length are told apart exactly by their hashes; of more the share that is expected is taken.
+TOLD = 10_000
+
+
 def _opened(left: DataFrame, by_length: dict[int, int], many: int):
-    """Condition that holds for about the ``many`` longest pieces, one at least; of one length they are told apart by a hash."""
+    """Condition that holds for the ``many`` longest pieces, one at least; of one length those of the smallest hashes."""
     for n in sorted(by_length, reverse=True):
         if many <= 0:
             return F.col("size") > n
         if by_length[n] > many:
-            mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-            first = left.where(F.col("size") == n).agg(F.min(mixed)).first()[0]
-            return (F.col("size") > n) | ((F.col("size") == n) & (mixed < max(first + 1, (many << 20) // by_length[n])))
+            mixed = F.struct(F.xxhash64("id", F.lit(by_length[n])).alias("h"), F.col("id").alias("i"))  # another hash each time
+            if many > TOLD:
+                return (F.col("size") > n) | ((F.col("size") == n) & (F.pmod(mixed["h"], F.lit(1 << 20)) < (many << 20) // by_length[n]))
+            last = left.where(F.col("size") == n).select(mixed.alias("m")).orderBy("m").limit(many).agg(F.max("m")).first()[0]
+            low = F.struct(F.lit(last.h).alias("h"), F.lit(last.i).alias("i"))
+            return (F.col("size") > n) | ((F.col("size") == n) & (mixed <= low))
         many -= by_length[n]
     return F.lit(True)
 

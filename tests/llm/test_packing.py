@@ -111,7 +111,7 @@ def test_supersteps_go_on_to_the_last_piece(spark, monkeypatch, lengths):
     parts = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
     got = packing.pack_pieces(parts).collect()
     assert sorted((x.doc_id, x.length) for x in got) == list(enumerate(lengths))
-    assert checked(got, 1024) <= -(-sum(lengths) // 1024) + (0 if len(set(lengths)) < 3 else 8) and 1 <= len(steps) <= 12
+    assert checked(got, 1024) <= sequential(lengths, capacity=1024) and 1 <= len(steps) <= 12
 
 
 def test_slots(spark):
