@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.values import is_law_constant, number_key
+from changelens.sources.store import scratch
 
 #: Fixed values.
 MAX_PLACES, EXCERPT, TERM_LETTERS = 12, 160, 3
@@ -83,7 +84,8 @@ def contained(texts: DataFrame, terms: DataFrame, key: str, text: str = "text")
     """``<key>, term`` for every distinct term that a text holds as a substring.
 
     Linear in the text whatever the dictionary's size: an automaton is broadcast for each part of the
-    dictionary of at most PART_LETTERS letters, and its size is checked by a sum before it is built.
+    dictionary of at most PART_LETTERS letters, and its size is checked by a sum before it is built.  Where there are
+    several, the hits of each are written and its broadcast is released before the next is read.
     """
     spark = texts.sparkSession
     t = terms.select("term").where(F.length("term") > 0).distinct()
@@ -104,6 +106,9 @@ def contained(texts: DataFrame, terms: DataFrame, key: str, text: str = "text")
                 yield pa.record_batch([b.column(key).take(pa.array(at, pa.int64())), pa.array(hit, pa.string())], names=[key, "term"])
 
         got = texts.select(key, text).mapInArrow(run, f"{key} {kind}, term string")
+        if parts > 1:
+            got = scratch(got, "contained")
+            words.unpersist()
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from changelens.functions import tokens
 from changelens.functions.lazy import vectorised
+from changelens.operators import index
+from changelens.sources.store import scratch
 
 NODE = "array<struct<id:string,kind:string,name:string,container:string>>"
 
@@ -122,29 +124,37 @@ def harvest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _first(jn.unionByName(_mapped(f.where("ext = '.xml'"))).unionByName(_statements(f.where("ext = '.sql'")))), skipped
 
 
+def _body(path: str | None, text: str | None) -> str:
+    """A file's text without comments and, in Java, as it is read by who calls others."""
+    p, t = (path or "").lower(), text or ""
+    if p.endswith(".java"):
+        return tokens.blanked(t, literals=False)
+    return re.sub(r"(?s)<!--.*?-->", " ", t) if p.endswith(".xml") else re.sub(r"(?s)--[^\n]*|/\*.*?\*/", " ", t)
+
+
+@vectorised("string")
+def _bodies(path: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([_body(p, t) for p, t in zip(path, text)])
+
+
 @vectorised("array<struct<kind:string,name:string>>")
-def _references(path: pd.Series, text: pd.Series) -> pd.Series:
-    """What a file mentions: words, words in lower case, calls, and dotted names with their last two parts."""
+def _references(body: pd.Series) -> pd.Series:
+    """What a body mentions as whole identifiers: words, words in lower case, and calls."""
     out = []
-    for p, t in zip(path, text):
-        p, t = (p or "").lower(), t or ""
-        body = tokens.blanked(t, literals=False) if p.endswith(".java") else re.sub(r"(?s)<!--.*?-->", " ", t) if p.endswith(".xml") else re.sub(r"(?s)--[^\n]*|/\*.*?\*/", " ", t)
-        words = set(re.findall(r"\w+", body))
-        dotted = set()
-        for chain in set(re.findall(r"\w+(?:\.\w+)+", body)):
-            parts = chain.split(".")
-            dotted |= {".".join(parts[i : j + 1]) for i in range(len(parts)) for j in range(i + 1, len(parts)) if j == i + 1 or i == 0}
+    for t in body:
+        words = set(re.findall(r"\w+", t))
         refs = [("word", w) for w in words] + [("lower", w) for w in {w.lower() for w in words}]
-        refs += [("call", c) for c in set(re.findall(r"\.(\w+)\s*\(", body))] + [("dotted", d) for d in dotted]
+        refs += [("call", c) for c in set(re.findall(r"\.(\w+)\s*\(", t))]
         out.append([{"kind": k, "name": n} for k, n in sorted(refs)])
     return pd.Series(out)
 
 
 def link(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """``src, dst, kind`` between nodes that exist: by one equi-join on the identifiers that files mention.
+    """``src, dst, kind`` between nodes that exist, by what files mention.
 
-    No file meets every symbol.  What a symbol may be mentioned as is one table of names; mentions are joined on it
-    once, and conditions on a symbol in a file are folded over its mentions there: a mapped statement by its dotted
+    No file meets every symbol.  What a symbol may be mentioned as is one table of names; whole identifiers are joined on
+    it once, dotted names are found as parts of bodies by the automaton of ``index.contained``, whatever stands before or
+    after them, and conditions on a symbol in a file are folded over its mentions there: a mapped statement by its dotted
     name, or by a call of its name beside its mapper; a class by its name, then its methods that are called; a
     constant by its dotted name, or alone if no other has its name.
     """
@@ -168,7 +178,10 @@ def link(nodes: DataFrame, files: DataFrame) -> DataFrame:
         .unionByName(targets(constants.join(lone, "name"), F.col("id"), none, mention("word", F.col("name"), "bare")))
         .distinct()
     )
-    refs = files.select(F.col("path").alias("at"), F.explode(_references("path", "text")).alias("r")).select("at", F.col("r.kind").alias("k"), F.col("r.name").alias("n"))
+    bodies = scratch(files.select(F.col("path").alias("at"), _bodies("path", "text").alias("text")), "bodies")
+    refs = bodies.select("at", F.explode(_references("text")).alias("r")).select("at", F.col("r.kind").alias("k"), F.col("r.name").alias("n"))
+    parts = index.contained(bodies, wanted.where("k = 'dotted'").select(F.col("n").alias("term")), "at")
+    refs = refs.unionByName(parts.select("at", F.lit("dotted").alias("k"), F.col("term").alias("n")))
     met = refs.join(wanted, ["k", "n"]).groupBy("at", "subject").agg(F.collect_set("role").alias("roles"), F.collect_set("method").alias("methods"), F.max("home").alias("home"), F.max("owner").alias("owner"))
     has = lambda r: F.array_contains("roles", r)
     elsewhere = F.col("at") != F.col("home")

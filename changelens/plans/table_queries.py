@@ -325,3 +325,23 @@ def document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     raw = F.concat(F.lit("./"), F.coalesce("source", F.lit("s")), F.lit("//x/../"), F.coalesce("lang", F.lit("l")))
     return d.select("doc_id", T.clean_path(raw).alias("path"))
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class of constants for each nation and, for each customer, a class whose text holds its nation's constant and its
+    segment's statement as parts of longer names."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    k = s("n_nationkey")
+    limits = n.select(F.concat(F.lit("src/N"), k, F.lit(".java")).alias("path"), F.concat(F.lit("package geo;\npublic class N"), k, F.lit(" {\n  static final int LIMIT_"), k, F.lit(" = 1;\n}\n")).alias("text"))
+    stmts = c.select("c_mktsegment").distinct().select(F.concat(F.lit("map/"), "c_mktsegment", F.lit(".xml")).alias("path"), F.concat(F.lit("<mapper namespace='seg."), "c_mktsegment", F.lit("'><select id='pick'>select 1</select></mapper>")).alias("text"))
+    own, nat = s("c_custkey"), s("c_nationkey")
+    users = c.select(F.concat(F.lit("app/C"), own, F.lit(".java")).alias("path"), F.concat(F.lit("package app;\npublic class C"), own, F.lit(" { int a = xN"), nat, F.lit(".LIMIT_"), nat, F.lit("y; // N0.LIMIT_0\n  void run() { the"), "c_mktsegment", F.lit(".picked(1); }\n}\n")).alias("text"))
+    return limits.unionByName(stmts).unionByName(users)
+
+
+@query("""SELECT concat('java:app.C', c_custkey) AS src, concat('const:geo.N', c_nationkey, '.LIMIT_', c_nationkey) AS dst, 'uses_constant' AS kind FROM customer
+UNION ALL SELECT concat('java:app.C', c_custkey), concat('mybatis:seg.', c_mktsegment, '.pick'), 'service_to_mapper' FROM customer""")
+def partial_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges to constants and statements that a class for each customer names within longer names."""
+    files = _users(spark, sf_dir)
+    return symbols.link(symbols.harvest(files)[0], files).where("kind IN ('uses_constant', 'service_to_mapper')")

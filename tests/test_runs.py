@@ -260,3 +260,29 @@ def test_metrics_of_a_replay(spark):
 
 def test_candidates_schema_is_complete(spark):
     assert set(spark.createDataFrame([], CANDIDATES).columns) >= set(found(spark, (1, "rag", "a", 1.0)).columns)
+
+
+def test_dictionary_parts_are_read_one_after_the_other(spark, monkeypatch):
+    """A dictionary of several automata finds what one finds."""
+    from changelens.operators import index
+
+    texts = spark.createDataFrame([(k, f"term{k} and term{k + 1}x") for k in range(30)], "id long, text string")
+    terms = spark.createDataFrame([(f"term{k}",) for k in range(40)], "term string")
+    one = {tuple(r) for r in index.contained(texts, terms, "id").collect()}
+    monkeypatch.setattr(index, "PART_LETTERS", 30)
+    assert {tuple(r) for r in index.contained(texts, terms, "id").collect()} == one and len(one) >= 60
+
+
+def test_references_within_longer_names(spark):
+    from changelens.operators import symbols
+
+    files = spark.createDataFrame([
+        ("a/K.java", "package p; public class K { static final int MAX = 1; }"),
+        ("a/U.java", "package q; public class U { int x = myK.MAXIMUM; }"),
+        ("a/V.java", "package q; public class V { /* K.MAX */ int x = 2; }"),
+        ("m/M.xml", "<mapper namespace='n.M'><select id='get'>select 1</select></mapper>"),
+        ("a/W.java", 'package q; public class W { String s = "xn.M.getAll"; }'),
+    ], "path string, text string")
+    nodes, _ = symbols.harvest(files)
+    got = {(r.src, r.dst, r.kind) for r in symbols.link(nodes, files).collect() if r.kind != "contains"}
+    assert got == {("java:q.U", "const:p.K.MAX", "uses_constant"), ("java:q.W", "mybatis:n.M.get", "service_to_mapper")}
