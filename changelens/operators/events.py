@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelens.schemas import REASONS
+
+
 def _when():
     """Order of a log; a missing time counts as the oldest."""
     return F.struct(F.coalesce(F.col("created_at"), F.lit("0001-01-01").cast("timestamp")).alias("t"), F.col("seq"))
@@ -41,6 +44,14 @@ def next_numbers(events: DataFrame, runs: DataFrame, run: str = "run_id") -> Dat
     return runs.select(run).distinct().join(top, run, "left").select(run, (F.coalesce("top", F.lit(0)) + 1).alias("next_no"))
 
 
+def valid_reason(decision, reason):
+    """Whether a decision may carry a reason; a revocation needs none."""
+    ok = F.lit(False)
+    for d, reasons in REASONS.items():
+        ok = ok | ((decision == d) & (reason.isin(*reasons) | (reason.isNull() & F.lit(d == "revoked"))))
+    return F.coalesce(ok, F.lit(False))
+
+
 def stale_reason(file_there, symbol_there, stored, current):
     """Why a mapping went stale; a changed file with its symbol is modified but valid."""
     return (

@@ -22,6 +22,23 @@ def query(sql: str | None = None):
     return wrap
 
 
+#: Cases of a few fixed rows: run by the tests, not registered.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CASE_ORACLES: dict[str, str] = {}
+
+
+def case(sql: str | None = None):
+    """Keeps a case under its function's name."""
+
+    def wrap(f):
+        CASES[f.__name__] = f
+        if sql:
+            CASE_ORACLES[f.__name__] = sql
+        return f
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,4 +50,4 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
 
 def load() -> None:
     """Fill the registry."""
-    from changelens.plans import change_queries, draft_queries, evaluation_queries, index_queries, log_queries, retrieval_queries, run_queries, table_queries  # noqa: F401
+    from changelens.plans import change_queries, draft_queries, evaluation_queries, index_queries, log_queries, retrieval_queries, rule_queries, run_queries, table_queries  # noqa: F401

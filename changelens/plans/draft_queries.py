@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.functions import drafts
-from changelens.operators import index, knn, providers, retrieve
-from changelens.plans.catalogue import query, table, values
-from changelens.schemas import REASONS
+from changelens.operators import events, index, knn, providers, retrieve
+from changelens.plans.catalogue import case, query, table, values
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -26,7 +25,7 @@ def rag_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILES = "('a/TaxVO.java','private int a0121; class TaxVO {}'),('a/Use1.java','TaxVO v;'),('b/Use2.java','new TaxVO()'),('q/x_2024.xml','a0121 150000'),('q/x.xml','a0121 150000'),('q/x_2026.xml','a0121')"
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),'term_dictionary','a/TaxVO.java',0.8),(1,'term_dictionary','q/x.xml',0.8),(1,'term_dictionary','q/x_2026.xml',0.8),
+@case("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),'term_dictionary','a/TaxVO.java',0.8),(1,'term_dictionary','q/x.xml',0.8),(1,'term_dictionary','q/x_2026.xml',0.8),
 (1,'constant_match','q/x.xml',0.9),(1,'constant_match','q/x_2024.xml',0.9),(1,'verified_mapping','q/x.xml',1.0),(1,'verified_mapping','gone.xml',0.0)) AS t(query_id,source,path,score)""")
 def provider_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary, constant and verified sources at their best files."""
@@ -38,7 +37,7 @@ def provider_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(c).unionByName(v).select("query_id", "source", "path", F.col("normalized_score").alias("score"))
 
 
-@query("""SELECT * FROM (VALUES ('q/x.xml',1),('a/TaxVO.java',2),('a/Use1.java',3),('b/Use2.java',4)) AS t(path,ord)""")
+@case("""SELECT * FROM (VALUES ('q/x.xml',1),('a/TaxVO.java',2),('a/Use1.java',3),('b/Use2.java',4)) AS t(path,ord)""")
 def draft_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files read for a draft, in order: mapped, using, declaring."""
     files = values(spark, _FILES, "path,text")
@@ -46,12 +45,12 @@ def draft_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.snippets(m, files, index.code_places(files)).select("path", "ord")
 
 
-@query("""SELECT * FROM (VALUES ('TaxVO','a/TaxVO.java',1),('TaxVO','a/Use1.java',2),('TaxVO','b/Use2.java',3)) AS t(name,path,ord)""")
+@case("""SELECT * FROM (VALUES ('TaxVO','a/TaxVO.java',1),('TaxVO','a/Use1.java',2),('TaxVO','b/Use2.java',3)) AS t(name,path,ord)""")
 def class_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.usages(values(spark, _FILES, "path,text"), values(spark, "('TaxVO'),('Nothing')", "name"))
 
 
-@query("""SELECT * FROM (VALUES ('p1::symbol:s','verified'),('p1::symbol:s','rejected'),('p1::line:0','rejected')) AS t(dedup_key,state)""")
+@case("""SELECT * FROM (VALUES ('p1::symbol:s','verified'),('p1::symbol:s','rejected'),('p1::line:0','rejected')) AS t(dedup_key,state)""")
 def fixture_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixtures with a symbol reach that symbol, those without the whole file."""
     c = spark.createDataFrame([(1, "p1", "s", None), (1, "p1", None, 3), (1, "p2", "s", None)], "query_id long, path string, symbol string, line_start int")
@@ -59,7 +58,7 @@ def fixture_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.fixture_contexts(c, f).select("dedup_key", "state")
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),2),(2,1),(3,NULL)) AS t(case_id,rank)""")
+@case("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),2),(2,1),(3,NULL)) AS t(case_id,rank)""")
 def answer_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first answer by path or file name."""
     r = spark.createDataFrame([(1, "a/b.java", 1), (1, "c\\d.java", 2), (2, "x/d.java", 1), (3, "y.java", 1)], "case_id long, path string, rank int")
@@ -67,7 +66,7 @@ def answer_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.answer_rank(r, a)
 
 
-@query("SELECT * FROM (VALUES ('a.java','x = 1','x = 2')) AS t(path,before,after)")
+@case("SELECT * FROM (VALUES ('a.java','x = 1','x = 2')) AS t(path,before,after)")
 def performed_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = values(spark, "('./a.java','x = 1','x = 2','exact'),('b.java','y','z','exact'),('c.java','m','n','exact')", "path,before,after,match_mode")
     b = values(spark, "('a.java','int x = 1;'),('b.java','y'),('c.java','m')", "path,content")
@@ -75,40 +74,37 @@ def performed_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.performed(e, b, a)
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),'제8조 100원','제8조 200원','제8조 중 100원을 200원으로 한다.','why'),(2,'old','new',NULL,NULL),(3,'b','a','kept','r')) AS t(id,before_text,after_text,amendment_text,reason_text)""")
+@case("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),'제8조 100원','제8조 200원','제8조 중 100원을 200원으로 한다.','why'),(2,'old','new',NULL,NULL),(3,'b','a','kept','r')) AS t(id,before_text,after_text,amendment_text,reason_text)""")
 def reparsed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old rows are parsed anew; doing it twice changes nothing more."""
     c = spark.createDataFrame([(1, "제8조 중 100원을 200원으로 한다.", "why", None, None, "law"), (2, "old", "new", None, None, "고시"), (3, "b", "a", "kept", "r", "law")], "id long, before_text string, after_text string, amendment_text string, reason_text string, source string")
     return providers.reparse(providers.reparse(c)).drop("source")
 
 
-@query("""SELECT * FROM (VALUES ('verified','golden_test_confirmed',true),('verified','wrong_module',false),('rejected','wrong_module',true),('stale','file_missing',true),('revoked',NULL,true),('revoked','other',true),('unheard','other',false)) AS t(decision,reason,valid)""")
+@case("""SELECT * FROM (VALUES ('verified','golden_test_confirmed',true),('verified','wrong_module',false),('rejected','wrong_module',true),('stale','file_missing',true),('revoked',NULL,true),('revoked','other',true),('unheard','other',false)) AS t(decision,reason,valid)""")
 def reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons that a decision may carry."""
     rows = values(spark, "('verified','golden_test_confirmed'),('verified','wrong_module'),('rejected','wrong_module'),('stale','file_missing'),('revoked',NULL),('revoked','other'),('unheard','other')", "decision,reason")
-    ok = F.lit(False)
-    for d, reasons in REASONS.items():
-        ok = ok | ((F.col("decision") == d) & (F.col("reason").isin(*reasons) | (F.col("reason").isNull() & F.lit(d == "revoked"))))
-    return rows.select("decision", "reason", F.coalesce(ok, F.lit(False)).alias("valid"))
+    return rows.withColumn("valid", events.valid_reason(F.col("decision"), F.col("reason")))
 
 
 _ANSWER = "'<think>no</think>@@@FILE: a.java\n@@@SEARCH\nint x = 1;\n@@@REPLACE\nint x = 2;\n@@@END\n@@@FILE: a.java\n@@@SEARCH\nmissing\n@@@REPLACE\nz\n@@@END'"
 
 
-@query("SELECT * FROM (VALUES ('a.java','int x = 1;','int x = 2;'),('a.java','missing','z')) AS t(file,search,replace)")
+@case("SELECT * FROM (VALUES ('a.java','int x = 1;','int x = 2;'),('a.java','missing','z')) AS t(file,search,replace)")
 def edit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = values(spark, f"({_ANSWER})", "t").select(F.explode(drafts.edit_blocks(drafts.without_reasoning(F.col("t")))).alias("e"))
     return a.select("e.file", "e.search", "e.replace")
 
 
-@query("SELECT concat('--- a/a.java',chr(10),'+++ b/a.java',chr(10),'@@ -1,3 +1,3 @@',chr(10),' class A {',chr(10),'-int x = 1;',chr(10),'+int x = 2;',chr(10),' }') AS diff, 1 AS applied, 1 AS failed, true AS round_trip")
+@case("SELECT concat('--- a/a.java',chr(10),'+++ b/a.java',chr(10),'@@ -1,3 +1,3 @@',chr(10),' class A {',chr(10),'-int x = 1;',chr(10),'+int x = 2;',chr(10),' }') AS diff, 1 AS applied, 1 AS failed, true AS round_trip")
 def draft_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit blocks as a unified diff that applies to the file."""
     v = values(spark, f"('a.java','class A {{\nint x = 1;\n}}',{_ANSWER})", "p,o,a")
     return v.select(drafts.draft_diff("p", "o", "a").alias("d")).select("d.*")
 
 
-@query("""SELECT * FROM (VALUES (1,'{"a": 1}'),(2,'{"b":2}'),(3,'{"c":3}'),(4,NULL)) AS t(id,j)""")
+@case("""SELECT * FROM (VALUES (1,'{"a": 1}'),(2,'{"b":2}'),(3,'{"c":3}'),(4,NULL)) AS t(id,j)""")
 def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.createDataFrame([(1, 'text ```json\n{"a": 1}\n``` more'), (2, ' {"b":2} '), (3, 'so: {"c":3} ok'), (4, "none")], "id int, t string")
     return v.select("id", F.trim(drafts.answer_json(F.col("t"))).alias("j"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions.text import loose_path
 from changelens.operators import evaluate, replay
-from changelens.plans.catalogue import query, table, values
+from changelens.plans.catalogue import case, query, table, values
 
 _RULE = "CASE WHEN n_chars < 500 THEN '0' WHEN n_chars % 9 = 0 THEN 'odd' ELSE '1' END"
 _CONF = "(doc_id % 100) / 100.0"
@@ -141,7 +141,7 @@ def scope_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.in_scope(p, scopes)
 
 
-@query("""SELECT * FROM (VALUES ('src/a.java','M',7,1),('src/한.java','A',3,0),('new/b.sql','R100',1,1),('bin/x.png','M',0,0),('gone.txt','D',0,0)) AS t(path,status,added,removed)""")
+@case("""SELECT * FROM (VALUES ('src/a.java','M',7,1),('src/한.java','A',3,0),('new/b.sql','R100',1,1),('bin/x.png','M',0,0),('gone.txt','D',0,0)) AS t(path,status,added,removed)""")
 def answer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings of a version-control diff joined by path."""
     from changelens.sources import feeds
@@ -152,7 +152,7 @@ def answer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.answer_diff(s, n)
 
 
-@query("""SELECT * FROM (VALUES ('a.java',true,true,false,true),('b.java',true,true,true,false),('c.java',false,false,false,false),('d.java',true,false,false,false),('e.java',true,true,false,true)) AS t(path,path_exists,found_after,found_before,ok)""")
+@case("""SELECT * FROM (VALUES ('a.java',true,true,false,true),('b.java',true,true,true,false),('c.java',false,false,false,false),('d.java',true,false,false,false),('e.java',true,true,false,true)) AS t(path,path_exists,found_after,found_before,ok)""")
 def replacement_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a fixture's replacements agree with the answer."""
     e = values(spark, "('k','./a.java','x = 1','x = 2','exact'),('k','b.java','y','z','exact'),('k','c.java','q','r','exact'),('k','d.java','q',' ','exact'),('k','e.java','m  =  1','m = \n 2','normalized_text')", "case_id,path,before,after,match_mode")
@@ -160,7 +160,7 @@ def replacement_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.check_replacements(e, f).drop("case_id")
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),true),(2,false),(3,false),(4,true),(5,false),(6,false)) AS t(case_id,passed)""")
+@case("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),true),(2,false),(3,false),(4,true),(5,false),(6,false)) AS t(case_id,passed)""")
 def replay_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.verdict(_replays(spark)).select("case_id", "passed")
 
@@ -170,7 +170,7 @@ def _replays(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "case_id long, failure_kind string, fixture_ok boolean, replacement_rate double, file_coverage double, unnecessary_rate double, jaccard double, git_apply boolean, golden_status string")
 
 
-@query("SELECT CAST(6 AS BIGINT) AS case_count, CAST(2 AS BIGINT) AS passed_count, 0.333333 AS pass_rate, 0.916667 AS replacement_rate, 1.0 AS file_coverage, 0.083333 AS unnecessary_rate, 0.916667 AS jaccard, CAST(3 AS BIGINT) AS git_apply_ok_count, CAST(2 AS BIGINT) AS golden_passed_count")
+@case("SELECT CAST(6 AS BIGINT) AS case_count, CAST(2 AS BIGINT) AS passed_count, 0.333333 AS pass_rate, 0.916667 AS replacement_rate, 1.0 AS file_coverage, 0.083333 AS unnecessary_rate, 0.916667 AS jaccard, CAST(3 AS BIGINT) AS git_apply_ok_count, CAST(2 AS BIGINT) AS golden_passed_count")
 def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.summary(evaluate.verdict(_replays(spark)))
 
@@ -187,12 +187,12 @@ def privacy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.allowed(a).groupBy("privacy_mode", "artifact_kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'metadata_only' AS privacy_mode")
+@case("SELECT 'metadata_only' AS privacy_mode")
 def strictest_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.strictest(values(spark, "('full'),('metadata_only'),('redacted')", "privacy_mode"))
 
 
-@query("SELECT * FROM (VALUES ('a',''),('b','change_type,timeout'),('c','overlap,duplicate'),('c','duplicate')) AS t(case_id,errors)")
+@case("SELECT * FROM (VALUES ('a',''),('b','change_type,timeout'),('c','overlap,duplicate'),('c','duplicate')) AS t(case_id,errors)")
 def case_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule that an evaluation case breaks."""
     from changelens.sources import feeds
@@ -201,7 +201,7 @@ def case_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.validate(spark.createDataFrame(rows, "case_id string, change_type string, timeout_seconds int, relevant_files array<string>, forbidden_files array<string>, top_k array<int>"))
 
 
-@query("SELECT * FROM (VALUES ('L1','소득세법','20260101'),('L2','법인세법','20260201')) AS t(law_id,law_name,promulgation_date)")
+@case("SELECT * FROM (VALUES ('L1','소득세법','20260101'),('L2','법인세법','20260201')) AS t(law_id,law_name,promulgation_date)")
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed responses, a list or one item alone."""
     from changelens.sources import feeds

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions.text import redact
 from changelens.operators import chunk, index, symbols
-from changelens.plans.catalogue import query, table, values
+from changelens.plans.catalogue import case, query, table, values
 
 
 @query("""WITH t AS (SELECT item_id AS code, text AS term FROM benchmark WHERE text <> ''), n AS (SELECT count(DISTINCT code) AS n FROM t),
@@ -45,7 +45,7 @@ _AMOUNTS = "(CAST(1 AS BIGINT),'2300','2,300원',0),(1,'0.15','15%',1),(1,'14000
 _CODE = """('a.java','long LIMIT = 14_000_000L;\nrate = 0.15; // hour 9'),('b.xml','upper="14000000" rate="0.15"'),('c.sql','fee 2300, year 2024, ok 12345 id 20240110'),('d.sql','x 0.15 y 1.0')"""
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT),'14000000',8.79,1),(1,'2300',6.44,2),(1,'0.15',1.69,3),(2,'9',1.61,2),(2,'0.15',1.69,1)) AS t(change_id,value_key,score,rank)")
+@case("SELECT * FROM (VALUES (CAST(1 AS BIGINT),'14000000',8.79,1),(1,'2300',6.44,2),(1,'0.15',1.69,3),(2,'9',1.61,2),(2,'0.15',1.69,1)) AS t(change_id,value_key,score,rank)")
 def const_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts of a change found as literals in code."""
     files = values(spark, _CODE, "path,text")
@@ -63,12 +63,12 @@ def term_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("code", first.alias("labels"))
 
 
-@query("SELECT * FROM (VALUES ('a0121','v/A.java',1),('a0121','q/x.xml',2),('b0200','v/A.java',1),('b0200','u/f.xfdl',2),('c0300','q/x.xml',1)) AS t(code,path,ord)")
+@case("SELECT * FROM (VALUES ('a0121','v/A.java',1),('a0121','q/x.xml',2),('b0200','v/A.java',1),('b0200','u/f.xfdl',2),('c0300','q/x.xml',1)) AS t(code,path,ord)")
 def code_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.code_places(values(spark, _TERMS, "path,text"))
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT),'[관련 항목] a0121=자녀세액공제 금액\nuse a0121 and z9999'),(2,'nothing here')) AS t(chunk_id,doc)")
+@case("SELECT * FROM (VALUES (CAST(1 AS BIGINT),'[관련 항목] a0121=자녀세액공제 금액\nuse a0121 and z9999'),(2,'nothing here')) AS t(chunk_id,doc)")
 def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk's known codes are named in a line before it."""
     chunks = values(spark, "(CAST(1 AS BIGINT),'use a0121 and z9999'),(2,'nothing here')", "chunk_id,text")
@@ -107,7 +107,7 @@ def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.paragraphs(d, "doc_id")
 
 
-@query("""SELECT * FROM (VALUES ('a',0,concat(repeat('x',500), chr(10)||chr(10), repeat('y',300))),('a',1,repeat('z',900)),('a',2,concat(repeat('z',100), chr(10)||chr(10), repeat('w',50)))) AS t(path,chunk,text)""")
+@case("""SELECT * FROM (VALUES ('a',0,concat(repeat('x',500), chr(10)||chr(10), repeat('y',300))),('a',1,repeat('z',900)),('a',2,concat(repeat('z',100), chr(10)||chr(10), repeat('w',50)))) AS t(path,chunk,text)""")
 def chunk_paragraph_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing, cutting and what is too short."""
     v = spark.sql("SELECT 'a' AS path, concat(repeat('x',500), '\n\n', repeat('y',300), '\n\n', repeat('z',1000), '\n\n', repeat('w',50)) AS text UNION ALL SELECT 'b', 'short'")
@@ -119,7 +119,7 @@ _FILES = """('m.py','import os\nclass A:\n  x = 1\ndef f():\n  return 1\n'),('s.
 ('J.java','class J { public int go(int a) { return a; } private void no() { x(); } }'),('u.xfdl','<F><Script><![CDATA[this.fn_a = function(x) { y(); };\nfunction b() { z(); }]]></Script></F>'),('x.ts','let a = 1')"""
 
 
-@query("""SELECT * FROM (VALUES ('m.py',0,concat('class A:',chr(10),'  x = 1'),'A'),('m.py',1,concat('def f():',chr(10),'  return 1'),'f'),('s.sql',0,'create table t1 (a int)','t1'),('s.sql',1,'insert into t2 values (1)','t2'),
+@case("""SELECT * FROM (VALUES ('m.py',0,concat('class A:',chr(10),'  x = 1'),'A'),('m.py',1,concat('def f():',chr(10),'  return 1'),'f'),('s.sql',0,'create table t1 (a int)','t1'),('s.sql',1,'insert into t2 values (1)','t2'),
 ('m.xml',0,concat('[select id=q1]',chr(10),'<select id="q1" x="1">select 1</select>'),''),('m.xml',1,concat('[update]',chr(10),'<update>u</update>'),''),('K.kt',0,'fun one(a: Int) { if (a) { b() } }','one'),('K.kt',1,'fun two() = 3','two'),
 ('J.java',0,'public int go(int a) { return a; }','go'),('J.java',1,'private void no() { x(); }','no'),('u.xfdl',0,'this.fn_a = function(x) { y(); }','fn_a'),('u.xfdl',1,'function b() { z(); }','b'),('x.ts',0,'let a = 1','')) AS t(path,chunk,text,symbol)""")
 def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,7 @@ _TREE = """('src/TaxService.java','package a.b;\n// { broken in a comment\npubli
 ('q.sql','-- note\nselect * from rates; update rates set x = 1'),('bad.java','class Bad { void f() { }')"""
 
 
-@query("""SELECT * FROM (VALUES ('java:a.b.TaxService','java_class','a.b'),('const:a.b.TaxService.RATE_MAX','constant','a.b.TaxService'),('java:a.b.TaxService#calc','java_method','a.b.TaxService'),
+@case("""SELECT * FROM (VALUES ('java:a.b.TaxService','java_class','a.b'),('const:a.b.TaxService.RATE_MAX','constant','a.b.TaxService'),('java:a.b.TaxService#calc','java_method','a.b.TaxService'),
 ('java:a.b.TaxService.Inner','java_class','a.b.TaxService'),('java:a.b.TaxService.Inner#go','java_method','a.b.TaxService.Inner'),('java:a.b.Other','java_class','a.b'),('java:a.b.Other#f','java_method','a.b.Other'),
 ('mybatis:a.b.TaxMapper.selectRate','mybatis_statement','a.b.TaxMapper'),('mybatis:a.b.TaxMapper.save','mybatis_statement','a.b.TaxMapper'),('java:TaxServiceTest','java_class',NULL),
 ('test:TaxServiceTest#works','test_method','TaxServiceTest'),('sql:q.sql#select:rates','sql_statement','rates'),('sql:q.sql#update:rates','sql_statement','rates')) AS t(id,kind,container)""")
@@ -144,12 +144,12 @@ def symbol_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.harvest(values(spark, _TREE, "path,text"))[0].select("id", "kind", "container")
 
 
-@query("SELECT * FROM (VALUES ('bad.java','unbalanced braces')) AS t(path,error)")
+@case("SELECT * FROM (VALUES ('bad.java','unbalanced braces')) AS t(path,error)")
 def symbol_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.harvest(values(spark, _TREE, "path,text"))[1]
 
 
-@query("""SELECT * FROM (VALUES ('java:a.b.TaxService','const:a.b.TaxService.RATE_MAX','contains'),('java:a.b.TaxService','java:a.b.TaxService#calc','contains'),('java:a.b.TaxService.Inner','java:a.b.TaxService.Inner#go','contains'),
+@case("""SELECT * FROM (VALUES ('java:a.b.TaxService','const:a.b.TaxService.RATE_MAX','contains'),('java:a.b.TaxService','java:a.b.TaxService#calc','contains'),('java:a.b.TaxService.Inner','java:a.b.TaxService.Inner#go','contains'),
 ('java:a.b.Other','java:a.b.Other#f','contains'),('java:TaxServiceTest','test:TaxServiceTest#works','contains'),('java:a.b.TaxService','mybatis:a.b.TaxMapper.selectRate','service_to_mapper'),
 ('test:TaxServiceTest#works','java:a.b.TaxService','test_to_service'),('test:TaxServiceTest#works','java:a.b.TaxService#calc','test_to_service'),('java:a.b.Other','const:a.b.TaxService.RATE_MAX','uses_constant')) AS t(src,dst,kind)""")
 def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

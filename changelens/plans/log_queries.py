@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions.text import law_tier
 from changelens.operators import brackets, collect, events, gate
-from changelens.plans.catalogue import query, table, values
+from changelens.plans.catalogue import case, query, table, values
 
 _DECISION = "CASE event_type WHEN 'purchase' THEN 'verified' WHEN 'click' THEN 'rejected' WHEN 'error' THEN 'stale' ELSE 'revoked' END"
 _REASON = "CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'golden_test_confirmed' WHEN event_type = 'purchase' AND event_id % 3 = 1 THEN 'matched_historical_change' WHEN event_type = 'click' THEN 'wrong_module' ELSE 'other' END"
@@ -68,7 +68,7 @@ def latest_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.join(F.broadcast(runs))  # one row
 
 
-@query("""SELECT * FROM (VALUES ('file_missing', CAST(1 AS BIGINT)), ('symbol_missing', 2), ('modified_but_valid', 3), (NULL, 4), (NULL, 5)) AS t(reason, id)""")
+@case("""SELECT * FROM (VALUES ('file_missing', CAST(1 AS BIGINT)), ('symbol_missing', 2), ('modified_but_valid', 3), (NULL, 4), (NULL, 5)) AS t(reason, id)""")
 def stale_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = values(spark, "(CAST(1 AS BIGINT),false,true,'a','a'),(2,true,false,'a','b'),(3,true,true,'a','b'),(4,true,true,'a','a'),(5,true,true,NULL,'a')", "id,f,s,x,y")
     return v.select(events.stale_reason(F.col("f"), F.col("s"), F.col("x"), F.col("y")).alias("reason"), "id")
@@ -137,7 +137,7 @@ _ITEMS = "('L1','제55조','rate table','update the table',0),('L1','제5','shor
 _ROUTED = "(CAST(1 AS BIGINT),'L1','제55조의2제1항'),(2,'L1','제5조'),(3,'L2','제55조'),(4,'L2','제189조'),(5,'L1',''),(6,'L9','제55조'),(7,'L3','제1조')"
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),'db_update_guidance','x','rate table'),(2,'db_update_guidance','x','short'),(3,'draft_allowed','x',NULL),(4,'db_update_guidance','x','withholding'),
+@case("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),'db_update_guidance','x','rate table'),(2,'db_update_guidance','x','short'),(3,'draft_allowed','x',NULL),(4,'db_update_guidance','x','withholding'),
 (5,'draft_allowed','x',NULL),(6,'draft_allowed','x',NULL),(7,'draft_allowed','x',NULL)) AS t(change_id,decision,reasons,item_label)""")
 def registry_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of registered articles are data updates, whatever the policy says."""
@@ -166,7 +166,7 @@ def bracket_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _taxed(spark, o).select("o_orderkey", "base", "tax")
 
 
-@query("SELECT * FROM (VALUES (CAST(10000000 AS BIGINT),CAST(600000 AS BIGINT)),(30000000,3660000),(60000000,8160000),(100000000,19640000),(14000000,840000)) AS t(base,tax)")
+@case("SELECT * FROM (VALUES (CAST(10000000 AS BIGINT),CAST(600000 AS BIGINT)),(30000000,3660000),(60000000,8160000),(100000000,19640000),(14000000,840000)) AS t(base,tax)")
 def bracket_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taxes that are known."""
     return _taxed(spark, values(spark, "(CAST(10000000 AS BIGINT)),(30000000),(60000000),(100000000),(14000000)", "base")).select("base", "tax")
@@ -219,20 +219,20 @@ def admin_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.admin_rules(r, q, "10").select("rule_id", F.col("query_ord").cast("long").alias("query_ord"))
 
 
-@query("SELECT * FROM (VALUES ('제55조','L 제1조의2,L 제2조',''),('제56조의3','','R 제9조')) AS t(law_article,decree,rule)")
+@case("SELECT * FROM (VALUES ('제55조','L 제1조의2,L 제2조',''),('제56조의3','','R 제9조')) AS t(law_article,decree,rule)")
 def three_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = values(spark, "('0055','00','decree','L','0001','02',1),('0055','00','decree','L','0002',NULL,2),('0055','00','decree','L','0001','02',3),('0056','03','rule','R','0009','',4)", "article_no,article_branch,tier,law_name,no,branch,ord")
     t = collect.three_tier(v)
     return t.select("law_article", F.array_join("decree", ",").alias("decree"), F.array_join("rule", ",").alias("rule"))
 
 
-@query("SELECT * FROM (VALUES ('소득세법','law','법률'),('소득세법 시행령','law','시행령'),('소득세법 시행규칙','law','시행규칙'),('최저임금 고시','고시','고시'),('법인세법 시행령','','시행령')) AS t(law_name,source,tier)")
+@case("SELECT * FROM (VALUES ('소득세법','law','법률'),('소득세법 시행령','law','시행령'),('소득세법 시행규칙','law','시행규칙'),('최저임금 고시','고시','고시'),('법인세법 시행령','','시행령')) AS t(law_name,source,tier)")
 def law_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = values(spark, "('소득세법','law'),('소득세법 시행령','law'),('소득세법 시행규칙','law'),('최저임금 고시','고시'),('법인세법 시행령','')", "law_name,source")
     return v.select("law_name", "source", law_tier(F.col("law_name"), F.col("source")).alias("tier"))
 
 
-@query("SELECT * FROM (VALUES ('소득세법'),('소득세법 시행령'),('소득세법 시행규칙'),('법인세법'),('법인세법 시행령'),('법인세법 시행규칙')) AS t(name)")
+@case("SELECT * FROM (VALUES ('소득세법'),('소득세법 시행령'),('소득세법 시행규칙'),('법인세법'),('법인세법 시행령'),('법인세법 시행규칙')) AS t(name)")
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.whitelist(values(spark, "('소득세법'),('법인세법')", "name"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.operators import knn, retrieve
-from changelens.plans.catalogue import query, table, values
+from changelens.plans.catalogue import case, query, table, values
 from changelens.schemas import CHANGE_TYPES
 
 # --------------------------------------------------------------------------- candidates from order lines
@@ -150,7 +150,7 @@ _EDGES = """('java:a.S','java:a.S#run','contains'),('java:a.S','java:a.S#calc','
 ('mybatis:a.M.sel','java:a.T','contains'),('java:a.T','java:a.T#x','contains'),('java:a.T','const:a.T.K','uses_constant'),('java:a.S#run','java:a.S','contains')"""
 
 
-@query("""SELECT * FROM (VALUES
+@case("""SELECT * FROM (VALUES
  (CAST(1 AS BIGINT),'java:a.S#calc','contains',1,'java:a.S -[contains]-> java:a.S#calc'),
  (1,'java:a.S#run','contains',1,'java:a.S -[contains]-> java:a.S#run'),
  (1,'mybatis:a.M.sel','service_to_mapper',1,'java:a.S -[service_to_mapper]-> mybatis:a.M.sel'),
@@ -181,7 +181,7 @@ def page_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.neighbours(seeds, nodes, links, depth=1).select("query_id", "id", "via")
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),'src/M.xml',0.0375,2),(1,'src/S.java',0.15,1),(1,'src/S.java',0.03,3),(1,'src/S.java',0.03,4)) AS t(query_id,path,final_score,rank)""")
+@case("""SELECT * FROM (VALUES (CAST(1 AS BIGINT),'src/M.xml',0.0375,2),(1,'src/S.java',0.15,1),(1,'src/S.java',0.03,3),(1,'src/S.java',0.03,4)) AS t(query_id,path,final_score,rank)""")
 def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best places seed the graph; what it reaches is merged with them."""
     nodes, edges = values(spark, _NODES, "id,kind,name,path,container"), values(spark, _EDGES, "src,dst,kind")
@@ -192,7 +192,7 @@ def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.rank(again, 10).select("query_id", "path", "final_score", "rank")
 
 
-@query("SELECT * FROM (VALUES ('src/AVO.java',1),('sql/tax.xml',2),('sql/tax_2026.xml',3),('sql/tax_2024.xml',4)) AS t(path,rank)")
+@case("SELECT * FROM (VALUES ('src/AVO.java',1),('sql/tax.xml',2),('sql/tax_2026.xml',3),('sql/tax_2024.xml',4)) AS t(path,rank)")
 def location_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations, then current files, then the newest year."""
     from pyspark.sql import Window

@@ -23,6 +23,11 @@ def test_query(spark, con, name):
         assert df.count() >= 0
 
 
+@pytest.mark.parametrize("name", sorted(catalogue.CASES))
+def test_case(spark, con, name):
+    assert compare(catalogue.CASES[name](spark, SF), con, catalogue.CASE_ORACLES[name]) is None
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.count() > 0 and "final_score" in df.columns
