@@ -65,8 +65,11 @@ def three_tier(refs: DataFrame) -> DataFrame:
 
 
 def only_new(items: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Items whose key is not stored yet, each key once."""
-    return first_wins(items.join(stored.select(*keys).distinct(), keys, "left_anti"), keys, "ord")
+    """Items whose key is not stored yet, each key once; nulls in a key are equal."""
+    known, met = stored.select(*[F.col(k).alias(f"{k}_known") for k in keys]).distinct(), F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"{k}_known"))
+    return first_wins(items.join(known, met, "left_anti"), keys, "ord")
 
 
 def counts(items: DataFrame) -> DataFrame:
