@@ -209,13 +209,17 @@ def _superstep(left: DataFrame, gaps: DataFrame, longest: int, most: int) -> tup
                     place[own[hit]] = into[hit] if k == PIECE else many[at[hit]] - 1 - into[hit]
             yield pa.record_batch([*[b.column(c) for c in ("size", "kind", "id")], pa.array(run), pa.array(place)], names=["size", "kind", "id", "run", "place"])
 
-    schema = "size long, kind int, id long, run long, place long"
-    alone = met.where("rank >= 0").mapInArrow(numbered, schema)
-    if runs:
-        alone = materialise(alone, "alone")
-        far_gap = alone.where((F.col("kind") == GAP) & (F.col("run") >= 0)).select("run", "place", F.col("id").alias("other"), F.col("size").alias("other_size"))
-        far = alone.where((F.col("kind") == PIECE) & (F.col("run") >= 0)).join(far_gap, ["run", "place"]).select("id", "size", "other", "other_size")
-        alone = alone.where("run < 0")
+    alone = met.where("rank >= 0").select("size", "kind", "id", "rank", "part")
+    if runs:  # of each partition the first pieces and the last gaps meet others; what meets none stays as it is
+        bounds = [(q, PIECE, 0, max(r + m for r, m, _ in own)) for q, own in by_part[PIECE].items()]
+        bounds += [(q, GAP, min(r for r, *_ in own), 1 << 62) for q, own in by_part[GAP].items()]  # two rows a partition at most
+        meets = F.broadcast(spark.createDataFrame(bounds, "p int, k int, low long, high long"))
+        told = alone.join(meets, (F.col("part") == F.col("p")) & (F.col("kind") == F.col("k")), "left").withColumn("meets", F.coalesce((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), F.lit(False)))
+        asked = told.where("meets").select("size", "kind", "id", "rank", "part").mapInArrow(numbered, "size long, kind int, id long, run long, place long")
+        asked = materialise(asked, "asked")
+        far_gap = asked.where((F.col("kind") == GAP) & (F.col("run") >= 0)).select("run", "place", F.col("id").alias("other"), F.col("size").alias("other_size"))
+        far = asked.where((F.col("kind") == PIECE) & (F.col("run") >= 0)).join(far_gap, ["run", "place"]).select("id", "size", "other", "other_size")
+        alone = told.where(~F.col("meets")).select("size", "kind", "id").unionByName(asked.where("run < 0").select("size", "kind", "id"))
     near = met.where((F.col("kind") == PIECE) & (F.col("rank") < 0)).select("id", "size", "other", "other_size")
     fits = materialise(near.unionByName(far) if runs else near, "fits")
     placed = fits.select("id", F.col("other").alias("sequence_id"), "size")
