@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm._util import MARK, materialise, released, tune, unused, without
+from changelens.llm._util import MARK, discard, materialise, released, tune, unused, without
 
 #: Consecutive words of a window, and pattern letters in one automaton (about 60 bytes each in a worker).
 WORDS, LETTERS = 10, 3_000_000
@@ -166,6 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, lett
                 held.unpersist()
         else:
             found = got
+    discard(known)  # all its windows have been read
     if parts > 1:
         found = _joined(found)
     found = found.withColumn("n_hit", F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0]))
