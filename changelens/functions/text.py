@@ -7,25 +7,35 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names under which a secret may stand.
-SECRET_NAMES = r"api[_-]?key|token|password|passwd|secret|authorization|cookie"
+#: Names under which a secret may stand; in texts their parts may be parted by a hyphen or nothing as well.
 SECRET_KEYS = ("api_key", "token", "password", "passwd", "secret", "authorization", "cookie")
+#: What stands between a name and its value, and what a value ends before (or a blank).
+SEPARATORS, ENDS = ":=", ",;"
+HIDDEN = "[REDACTED]"
 CODE = r"\b[a-z][0-9]{4}\b"
 
 
-def redact(text: Column) -> Column:
+def _named_values(keys: tuple[str, ...]) -> str:
+    """A pattern of values that a text gives to any of the names."""
+    names = "|".join("[_-]?".join(k.split("_")) for k in keys)
+    return rf"(?i)\b({names})\s*[{SEPARATORS}]\s*[^\s{ENDS}]+"
+
+
+def redact(text: Column, keys: tuple[str, ...] = SECRET_KEYS) -> Column:
     """Inline secrets keep their name and lose their value."""
-    return F.regexp_replace(text, rf"(?i)\b({SECRET_NAMES})\s*[:=]\s*[^\s,;]+", "$1=[REDACTED]")
+    return F.regexp_replace(text, _named_values(keys), f"$1={HIDDEN}")
 
 
 def redact_value(value, keys: tuple[str, ...] = SECRET_KEYS):
     """The same for nested data: fields with a secret name go whole, texts are redacted."""
-    if isinstance(value, dict):
-        return {str(k): "[REDACTED]" if str(k).lower() in keys else redact_value(v, keys) for k, v in value.items()}
-    if isinstance(value, str):
-        return re.sub(rf"(?i)\b({SECRET_NAMES})\s*[:=]\s*[^\s,;]+", r"\1=[REDACTED]", value)
-    if isinstance(value, (list, tuple)):
-        return [redact_value(v, keys) for v in value]
+    within = lambda v: redact_value(v, keys)
+    match value:
+        case dict():
+            return {str(k): HIDDEN if str(k).lower() in keys else within(v) for k, v in value.items()}
+        case list() | tuple():
+            return list(map(within, value))
+        case str():
+            return re.sub(_named_values(keys), rf"\1={HIDDEN}", value)
     return value
 
 

@@ -17,9 +17,10 @@ from changelens.functions.text import loose_path
 from changelens.operators import evaluate, index, providers, replay, retrieve, revisions
 from changelens.sources.store import Cache, scratch
 
-#: Cut-offs of the recall, and what a draft is told where a side has no text.
+#: Cut-offs of the recall, and what a draft is told, and where a side has no text.
 RECALL_AT = (1, 3, 5, 10)
 NO_TEXT = "(내용 없음)"
+TITLES = ("[법령] ", "\n\n[개정 전]\n", "\n\n[개정 후]\n")
 
 
 def query_text(law_name="law_name", article="article", before="before_text", after="after_text"):
@@ -32,7 +33,8 @@ def law_diff(law_name="law_name", article="article", before="before_text", after
     """What a draft is told of the change."""
     said = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(NO_TEXT))
     head = F.concat_ws(" ", *[F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) for c in (law_name, article)])
-    return F.concat(F.lit("[법령] "), head, F.lit("\n\n[개정 전]\n"), said(before), F.lit("\n\n[개정 후]\n"), said(after))
+    told = (head, said(before), said(after))
+    return F.concat(*[x for title, text in zip(TITLES, told, strict=True) for x in (F.lit(title), text)])
 
 
 def constants_of_trees(trees: DataFrame) -> DataFrame:
