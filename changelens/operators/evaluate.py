@@ -43,27 +43,30 @@ def confidence_rates(rows: DataFrame, low: float = 0.50, high: float = 0.80) ->
     )
 
 
-def retrieval(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+def by_case(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows dealt out by case, so that what is grouped by case and more after it needs no shuffle; ``parts``: how many
+    parts, where the session's number is too few for the table."""
+    return rows.repartition(parts, "case_id") if parts else rows.repartition("case_id")
+
+
+def retrieval(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), parts: int | None = None) -> DataFrame:
     """Per case: hit, recall and precision at each k, and the reciprocal rank.
 
     ``ranked``: case_id, path, rank; ``relevant``: case_id, path, a row for each listed file.  Found files
     count once, the recall's denominator counts the list; precision divides by what was returned.  A case
-    without relevant files has hit 1 and recall 1.
+    without relevant files has hit 1 and recall 1.  Ranks are not null.
     """
-    want = relevant.groupBy("case_id").agg(F.count("path").alias("n_relevant"))
-    mark = relevant.select("case_id", "path").distinct().withColumn("good", F.lit(1))
-    r = ranked.join(mark, ["case_id", "path"], "left")
-    good = F.col("good") == 1
-    aggs = [F.min(F.when(good, F.col("rank"))).alias("first")]
+    rows = ranked.select("case_id", "path", F.col("rank").cast("long").alias("rank")).unionByName(relevant.select("case_id", "path", F.lit(None).cast("long").alias("rank")))
+    given = lambda k: F.col("rank") <= k
+    # dealt out by case once: a path's rows meet there, then a case's paths
+    per = by_case(rows, parts).groupBy("case_id", "path").agg(F.count_if(F.col("rank").isNull()).alias("listed"), F.min("rank").alias("first"), *[F.count_if(given(k)).alias(f"given{k}") for k in ks])
+    named = F.col("case_id").isNotNull() & F.col("path").isNotNull()  # a null is equal to none
+    good = named & (F.col("listed") > 0)
+    aggs = [F.sum(F.when(named, F.col("listed")).otherwise(0)).alias("n_relevant"), F.min(F.when(good, F.col("first"))).alias("first")]
     for k in ks:
-        at = F.col("rank") <= k
-        aggs += [
-            F.count_distinct(F.when(good & at, F.col("path"))).alias(f"found{k}"),
-            F.count_if(good & at).alias(f"hits{k}"),
-            F.count_if(at).alias(f"given{k}"),
-        ]
-    got = r.groupBy("case_id").agg(*aggs)
-    every = want.join(got, "case_id", "full_outer")
+        n = F.when(F.col("case_id").isNotNull(), F.col(f"given{k}")).otherwise(0)
+        aggs += [F.count_if(good & (n > 0)).alias(f"found{k}"), F.sum(F.when(good, n).otherwise(0)).alias(f"hits{k}"), F.sum(n).alias(f"given{k}")]
+    every = per.groupBy("case_id").agg(*aggs)
     none = F.coalesce("n_relevant", F.lit(0)) == 0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     cols = [F.coalesce(F.try_divide(F.lit(1.0), F.col("first")), F.lit(0.0)).alias("reciprocal_rank")]
@@ -101,26 +104,25 @@ def forbidden(patched: DataFrame, forbidden_files: DataFrame) -> DataFrame:
     return patched.join(forbidden_files.select("case_id", "path").distinct(), ["case_id", "path"], "left_semi").distinct()
 
 
-def patch(expected: DataFrame, generated: DataFrame, relevant: DataFrame, patched: DataFrame) -> DataFrame:
+def patch(expected: DataFrame, generated: DataFrame, relevant: DataFrame, patched: DataFrame, parts: int | None = None) -> DataFrame:
     """Per case: replacement rate, file coverage, rate of needless files, and the files' Jaccard.
 
     ``expected``/``generated``: case_id, key; ``relevant``/``patched``: case_id, path.  Nothing wanted is
     full marks; nothing patched has no needless file; both empty agree fully.
     """
-    one = lambda d, c: d.select("case_id", c).distinct().withColumn("hit", F.lit(1))
-    made = expected.join(one(generated, "key"), ["case_id", "key"], "left").groupBy("case_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("replacement_rate"))
-    covered = relevant.join(one(patched, "path"), ["case_id", "path"], "left").groupBy("case_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("file_coverage"))
-    needless = patched.join(one(relevant, "path"), ["case_id", "path"], "left").groupBy("case_id").agg(F.avg(1 - F.coalesce("hit", F.lit(0))).alias("unnecessary_rate"))
-    both = one(relevant, "path").withColumnRenamed("hit", "a").join(one(patched, "path").withColumnRenamed("hit", "b"), ["case_id", "path"], "full_outer")
-    jac = both.groupBy("case_id").agg((F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()) / F.count("*")).alias("jaccard"))
-    ids = expected.select("case_id").union(generated.select("case_id")).union(relevant.select("case_id")).union(patched.select("case_id")).distinct()
-    out = ids
-    for d in (made, covered, needless, jac):
-        out = out.join(d, "case_id", "left")
-    return out.select(
-        "case_id", F.coalesce("replacement_rate", F.lit(1.0)).alias("replacement_rate"), F.coalesce("file_coverage", F.lit(1.0)).alias("file_coverage"),
-        F.coalesce("unnecessary_rate", F.lit(0.0)).alias("unnecessary_rate"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"),
-    )
+    of = lambda d, kind, c, want: d.select("case_id", F.lit(kind).alias("kind"), F.col(c).alias("item"), F.lit(want).alias("want"), F.lit(1 - want).alias("have"))
+    rows = of(expected, "key", "key", 1).unionByName(of(generated, "key", "key", 0)).unionByName(of(relevant, "file", "path", 1)).unionByName(of(patched, "file", "path", 0))
+    # dealt out by case once: an item's rows meet there, then a case's items
+    items = by_case(rows, parts).groupBy("case_id", "kind", "item").agg(F.sum("want").alias("want"), F.sum("have").alias("have"))
+    key, file, both = F.col("kind") == "key", F.col("kind") == "file", (F.col("want") > 0) & (F.col("have") > 0)
+    met = both & F.col("item").isNotNull()  # a null is equal to none
+    rate = lambda of, hit, n: F.try_divide(F.sum(F.when(of & hit, F.col(n)).otherwise(0)), F.sum(F.when(of, F.col(n)).otherwise(0)))
+    apart = F.when(both & ~met, 2).otherwise(1)
+    share = F.try_divide(F.sum(F.when(file & met, 1).otherwise(0)), F.sum(F.when(file, apart).otherwise(0)))
+    of_case = lambda v, none, name: F.coalesce(F.when(F.col("case_id").isNotNull(), v), F.lit(none)).alias(name)
+    return items.groupBy("case_id").agg(
+        rate(key, met, "want").alias("r"), rate(file, met, "want").alias("c"), rate(file, ~met, "have").alias("u"), share.alias("j")
+    ).select("case_id", of_case(F.col("r"), 1.0, "replacement_rate"), of_case(F.col("c"), 1.0, "file_coverage"), of_case(F.col("u"), 0.0, "unnecessary_rate"), of_case(F.col("j"), 1.0, "jaccard"))
 
 
 def verdict(metrics: DataFrame) -> DataFrame:

@@ -60,7 +60,8 @@ _PER_CASE = _RANKED + " SELECT case_id, round(reciprocal_rank, 6) AS reciprocal_
 
 
 def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    x = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("path")).agg(F.min("l_linenumber").alias("o"))
+    l = table(spark, sf_dir, "lineitem")
+    x = evaluate.by_case(l.select(F.col("l_orderkey").alias("case_id"), (F.col("l_partkey") % 40).alias("p"), "l_linenumber"), parts(l)).groupBy("case_id", F.concat(F.lit("p"), F.col("p").cast("string")).alias("path")).agg(F.min("l_linenumber").alias("o"))
     r = x.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("o", "path"))).drop("o")
     o = table(spark, sf_dir, "orders")
     p = lambda c: F.concat(F.lit("p"), (c % 40).cast("string"))
@@ -71,7 +72,7 @@ def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(_PER_CASE)
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit, recall, precision and reciprocal rank of every case."""
-    m = evaluate.retrieval(*_rankings(spark, sf_dir), ks=(1, 3, 5))
+    m = evaluate.retrieval(*_rankings(spark, sf_dir), ks=(1, 3, 5), parts=parts(table(spark, sf_dir, "lineitem")))
     r = [c for c in m.columns if c.startswith("precision") or c == "reciprocal_rank"]
     return m.select("case_id", *[F.round(c, 6).alias(c) if c in r else F.col(c) for c in m.columns if c != "case_id"])
 
@@ -131,7 +132,7 @@ def patch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = l.select(F.col("l_orderkey").alias("case_id"), key("k", "l_suppkey", 5).alias("key"))
     rel = l.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("case_id"), key("f", "l_partkey", 9).alias("path")).distinct()
     pat = l.where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("case_id"), key("f", "l_suppkey", 9).alias("path")).distinct()
-    m = evaluate.patch(e, g, rel, pat)
+    m = evaluate.patch(e, g, rel, pat, parts(l))
     return m.select("case_id", *[F.round(c, 6).alias(c) for c in m.columns if c != "case_id"])
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__  # noqa: F401  fills the registry
+from changelens.operators import evaluate
 from changelens.plans import catalogue
 from tests.oracle import compare, connect
 
@@ -28,3 +29,15 @@ def far(tmp_path_factory):
 
 def test_references_to_long_numbers_stay_whole(spark, far):
     assert compare(catalogue.QUERIES["article_references"](spark, far), connect(far), catalogue.ORACLES["article_references"]) is None
+
+
+@pytest.mark.parametrize("name, most", [("ir_metrics", 2), ("patch_metrics", 3), ("ablation_matrix", 2)])
+def test_cases_are_dealt_out_once(spark, name, most):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= most and "Expand" not in plan and "Join" not in plan
+
+
+def test_nulls_are_equal_to_none(spark):
+    rows = lambda c, *r: spark.createDataFrame(list(r), f"case_id long, {c} string")
+    got = evaluate.patch(rows("key", (1, None), (1, "a"), (None, "a")), rows("key", (1, None), (1, "a"), (None, "b")), rows("path", (2, None), (2, "x")), rows("path", (2, None), (2, "x")))
+    assert {tuple(r) for r in got.collect()} == {(1, 0.5, 1.0, 0.0, 1.0), (2, 1.0, 0.5, 0.5, 1 / 3), (None, 1.0, 1.0, 0.0, 1.0)}
