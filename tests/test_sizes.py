@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__  # noqa: F401  fills the registry
+from changelens.functions import lazy
 from changelens.operators import evaluate
 from changelens.plans import catalogue
 from tests.oracle import compare, connect
@@ -41,3 +43,11 @@ def test_nulls_are_equal_to_none(spark):
     rows = lambda c, *r: spark.createDataFrame(list(r), f"case_id long, {c} string")
     got = evaluate.patch(rows("key", (1, None), (1, "a"), (None, "a")), rows("key", (1, None), (1, "a"), (None, "b")), rows("path", (2, None), (2, "x")), rows("path", (2, None), (2, "x")))
     assert {tuple(r) for r in got.collect()} == {(1, 0.5, 1.0, 0.0, 1.0), (2, 1.0, 0.5, 0.5, 1 / 3), (None, 1.0, 1.0, 0.0, 1.0)}
+
+
+def test_a_text_that_a_batch_holds_twice_is_read_once():
+    read = []
+    fields = pa.struct([("n", pa.int64())])
+    got = lazy.by_text(pa.array(["a", None, "bb", "a", ""]), lambda t: read.append(t) or [(k,) for k in range(len(t))], fields)
+    assert got.to_pylist() == [[{"n": 0}], None, [{"n": 0}, {"n": 1}], [{"n": 0}], []] and read == ["a", "bb", ""]
+    assert lazy.by_text(pa.array([None, None], pa.string()), lambda t: [], fields).to_pylist() == [None, None]
