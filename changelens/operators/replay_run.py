@@ -50,7 +50,7 @@ def constant_source(cases: DataFrame, inventory: DataFrame) -> Callable[[DataFra
     """A source of files that hold an amount or a rate of the case's text, in the case's own tree."""
 
     def find(queries: DataFrame) -> DataFrame:
-        q = queries.join(cases.select(F.col("case_id").alias("query_id"), "repo", "revision"), "query_id")
+        q = queries.join(cases.select(F.col("case_id").alias("query_id"), "repo", "revision").hint("merge"), "query_id")
         said = F.transform(F.concat(values.money("text"), values.rates("text")), lambda v: v["value"])
         wanted = q.select("query_id", "repo", "revision", F.posexplode(said).alias("ord", "value_key")).groupBy("query_id", "repo", "revision", "value_key").agg(F.min("ord").alias("rank"))
         files = inventory.groupBy("repo", "revision", "value_key").agg(F.count_distinct("path").alias("files"))
@@ -82,12 +82,12 @@ def metrics(cases: DataFrame, scoped: DataFrame, found: DataFrame, expected: Dat
     files = touched.select("case_id", loose_path(F.col("path")).alias("path")).distinct()
     own = evaluate.patch(keys, made, wanted, files).drop("unnecessary_rate")
     needless = evaluate.patch(keys, made, spared, files).select("case_id", "unnecessary_rate")
-    hit = wanted.join(found, ["case_id", "path"], "left")
+    hit = wanted.join(found.hint("merge"), ["case_id", "path"], "left")
     recall = hit.groupBy("case_id").agg(*[F.avg((F.coalesce("rank", F.lit(1 << 30)) <= k).cast("double")).alias(f"recall_{k}") for k in RECALL_AT], F.min("rank").alias("primary_rank"))
     sound = checks.groupBy("case_id").agg(F.bool_and("ok").alias("sound"))
     out = cases.select("case_id", "failure_kind", "git_apply", "golden_status")
     for part in (own, needless, recall, sound):
-        out = out.join(part, "case_id", "left")
+        out = out.join(part.hint("merge"), "case_id", "left")
     full = {"replacement_rate": 1.0, "file_coverage": 1.0, "jaccard": 1.0, "unnecessary_rate": 0.0} | {f"recall_{k}": 1.0 for k in RECALL_AT}
     out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in full.items()}).withColumn("fixture_ok", F.coalesce("sound", F.lit(True))).drop("sound")
     return evaluate.verdict(out)
@@ -108,10 +108,10 @@ def run(cases: DataFrame, versions_path: str, draft: Callable[[DataFrame], DataF
     queries = scratch(cases.select(F.col("case_id").alias("query_id"), query_text().alias("text")), "queries")
     ranked, status = retrieve.search(queries, {"rag": rag, "constant_match": constant_source(cases, inventory)}, k)
     paths = scratch(retrieved(ranked, cases), "retrieved")
-    asked = paths.join(cases.select("case_id", "repo", F.col("revision").alias("position")), "case_id")
-    texts = revisions.at_revision(versions, asked.select("case_id", "repo", "path", "position"))
-    shown = paths.join(texts.select("case_id", "path", "content"), ["case_id", "path"]).groupBy("case_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("// "), "path", F.lit("\n"), "content").alias("s")))), lambda x: x["s"]).alias("snippets")
+    asked = paths.join(cases.select("case_id", "repo", F.col("revision").alias("position")).hint("merge"), "case_id")
+    texts = revisions.at_revision(versions, asked.select(F.struct("case_id", "rank").alias("case_id"), "repo", "path", "position"))
+    shown = texts.groupBy("case_id.case_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("case_id.rank", F.concat(F.lit("// "), "path", F.lit("\n"), "content").alias("s")))), lambda x: x["s"]).alias("snippets")
     )  # k files a case at most
-    told = cases.select("case_id", law_diff().alias("law")).join(shown, "case_id", "left")
+    told = cases.select("case_id", law_diff().alias("law")).join(shown.hint("merge"), "case_id", "left")
     return paths, draft(told.withColumn("snippets", F.coalesce("snippets", F.array().cast("array<string>")))), status

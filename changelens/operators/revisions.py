@@ -11,18 +11,18 @@ def at_revision(versions: DataFrame, asked: DataFrame) -> DataFrame:
 
     ``versions``: repo, path, position, content (null: deleted there); ``asked``: case_id, repo, path, position.  Files
     that weren't there yet, or had been deleted, give no row.  Only versions of asked files are looked at; they and the
-    questions are merged in one order by place, so a file with very many versions or questions costs their sum, and
-    contents travel in the last step alone, each once for each question that it answers.
+    distinct places asked for are merged in one order, so a file with very many versions or places costs their sum,
+    however many cases ask for one; contents meet the questions in the last step alone.
     """
     who = asked.select("case_id", "repo", "path", "position").distinct()
-    files = who.select("repo", "path").distinct()
-    place = versions.select("repo", "path", "position", F.lit(None).cast(who.schema["case_id"].dataType).alias("case_id"), F.lit(0).alias("asks"))
-    events = place.join(files, ["repo", "path"], "left_semi").unionByName(who.withColumn("asks", F.lit(1)))
+    places = who.select("repo", "path", "position").distinct()
+    seen = versions.select("repo", "path", "position", F.lit(0).alias("asks")).join(places.select("repo", "path").distinct().hint("merge"), ["repo", "path"], "left_semi")
     w = Window.partitionBy("repo", "path").orderBy("position", "asks")
-    met = events.withColumn("last", F.last(F.when(F.col("asks") == 0, F.col("position")), ignorenulls=True).over(w)).where("asks = 1 AND last IS NOT NULL")
-    v = versions.select(F.col("repo").alias("r"), F.col("path").alias("p"), F.col("position").alias("at"), "content")
-    got = met.join(v, (F.col("repo") == F.col("r")) & (F.col("path") == F.col("p")) & (F.col("last") == F.col("at")))
-    return got.where("content IS NOT NULL").select("case_id", "path", F.col("last").alias("position"), "content")
+    events = seen.unionByName(places.withColumn("asks", F.lit(1)))
+    met = events.withColumn("last", F.last(F.when(F.col("asks") == 0, F.col("position")), ignorenulls=True).over(w)).where("asks = 1 AND last IS NOT NULL").drop("asks")
+    v = versions.select("repo", "path", F.col("position").alias("last"), "content").where("content IS NOT NULL")
+    found = met.join(v.hint("merge"), ["repo", "path", "last"])
+    return who.join(found, ["repo", "path", "position"]).select("case_id", "path", F.col("last").alias("position"), "content")
 
 
 def snapshot(versions: DataFrame, revisions: DataFrame) -> DataFrame:

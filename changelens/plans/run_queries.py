@@ -92,10 +92,10 @@ def replay_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     _versions(spark, sf_dir).write.parquet(f"{root}/versions")
     first = lambda d: d.select("case_id", F.regexp_extract(F.get("snippets", F.lit(0)), r"^// (\S+)", 1).alias("diff_text"))
     found, drafts, _ = replay_run.run(c, f"{root}/versions", first, store.Cache(spark, f"{root}/cache"))
-    touched = drafts.where("diff_text <> ''").select("case_id", F.col("diff_text").alias("path"))
+    touched = store.scratch(drafts.where("diff_text <> ''").select("case_id", F.col("diff_text").alias("path")), "touched")  # drafted once
     scoped = c.select("case_id", F.col("wanted").alias("path"), F.lit("in_scope").alias("scope"))
     expected = c.select("case_id", F.col("wanted").alias("path"), F.col("old").alias("before"), F.col("new").alias("after"), F.lit("exact").alias("match_mode"))
-    generated = touched.join(c.select("case_id", F.col("old").alias("before"), F.col("new").alias("after")), "case_id").where("case_id % 2 = 0")
+    generated = touched.join(c.select("case_id", F.col("old").alias("before"), F.col("new").alias("after")).hint("merge"), "case_id").where("case_id % 2 = 0")
     states = c.select("case_id", F.lit(None).cast("string").alias("failure_kind"), F.lit(True).alias("git_apply"), F.when(F.col("case_id") % 5 == 0, "failed").otherwise("passed").alias("golden_status"))
     m = replay_run.metrics(states, scoped, found, expected, generated, touched, c.select("case_id", F.lit(True).alias("ok")))
     whole = [F.col(x).cast("int").alias(x) for x in ("recall_1", "recall_3", "primary_rank", "file_coverage", "replacement_rate")]
