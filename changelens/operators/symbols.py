@@ -115,11 +115,17 @@ def _statements(sql: DataFrame) -> DataFrame:
     return sn.select(F.concat(F.lit("sql:"), "path", F.lit("#"), "verb", F.lit(":"), "t").alias("id"), F.lit("sql_statement").alias("kind"), F.concat("verb", F.lit(" "), "t").alias("name"), "path", F.col("t").alias("container"), "pos")
 
 
+def _spread(files: DataFrame) -> DataFrame:
+    """Files dealt out before they are read: a small table may lie in one part, and what it says be long to read."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
 def harvest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``path, text`` -> (nodes, skipped ``path, error``)."""
     f = files.withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^.]+)$", 1)))
-    java = f.where("ext = '.java'").withColumn("r", _java("path", "text"))
-    jn = java.select("path", F.posexplode("r.nodes").alias("pos", "n")).select("n.id", "n.kind", "n.name", "path", "n.container", "pos")
+    java = _spread(f.where("ext = '.java'")).withColumn("r", _java("path", "text"))
+    # an inner explode would infer a filter that parses each file once more before it is dealt out
+    jn = java.select("path", F.posexplode_outer("r.nodes").alias("pos", "n")).where("n IS NOT NULL").select("n.id", "n.kind", "n.name", "path", "n.container", "pos")
     skipped = java.where("r.error IS NOT NULL").select("path", "r.error")
     return _first(jn.unionByName(_mapped(f.where("ext = '.xml'"))).unionByName(_statements(f.where("ext = '.sql'")))), skipped
 
@@ -167,6 +173,7 @@ def link(nodes: DataFrame, files: DataFrame) -> DataFrame:
     def targets(rows, subject, method, *mentions):
         return rows.select(subject.alias("subject"), F.col("path").alias("home"), F.col("container").alias("owner"), method.alias("method"), F.explode(F.array(*mentions)).alias("m")).select("subject", "home", "owner", "method", "m.*")
 
+    nodes = scratch(nodes, "nodes")  # files are parsed once, not once for each kind
     classes = nodes.where("kind = 'java_class'")
     constants = nodes.where("kind = 'constant'")
     lone = constants.groupBy("name").count().where("count = 1").select("name")
@@ -178,7 +185,7 @@ def link(nodes: DataFrame, files: DataFrame) -> DataFrame:
         .unionByName(targets(constants.join(lone, "name"), F.col("id"), none, mention("word", F.col("name"), "bare")))
         .distinct()
     )
-    bodies = scratch(files.select(F.col("path").alias("at"), _bodies("path", "text").alias("text")), "bodies")
+    bodies = scratch(_spread(files).select(F.col("path").alias("at"), _bodies("path", "text").alias("text")), "bodies")
     refs = bodies.select("at", F.explode(_references("text")).alias("r")).select("at", F.col("r.kind").alias("k"), F.col("r.name").alias("n"))
     parts = index.contained(bodies, wanted.where("k = 'dotted'").select(F.col("n").alias("term")), "at")
     refs = refs.unionByName(parts.select("at", F.lit("dotted").alias("k"), F.col("term").alias("n")))

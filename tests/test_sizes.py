@@ -8,8 +8,9 @@ import pytest
 
 import __spark_entry__  # noqa: F401  fills the registry
 from changelens.functions import lazy
-from changelens.operators import evaluate
+from changelens.operators import evaluate, replay_run, symbols
 from changelens.plans import catalogue
+from changelens.sources import store
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,23 @@ def test_a_text_that_a_batch_holds_twice_is_read_once():
     got = lazy.by_text(pa.array(["a", None, "bb", "a", ""]), lambda t: read.append(t) or [(k,) for k in range(len(t))], fields)
     assert got.to_pylist() == [[{"n": 0}], None, [{"n": 0}, {"n": 1}], [{"n": 0}], []] and read == ["a", "bb", ""]
     assert lazy.by_text(pa.array([None, None], pa.string()), lambda t: [], fields).to_pylist() == [None, None]
+
+
+def test_tables_of_cases_are_not_broadcast(spark):
+    """Small files of many cases: Spark would take their size for that of their rows."""
+    one = lambda rows, ddl: store.scratch(spark.createDataFrame(rows, ddl), "t")
+    cases = one([(1, None, True, "passed")], "case_id long, failure_kind string, git_apply boolean, golden_status string")
+    files = "case_id long, path string"
+    edits = files + ", before string, after string"
+    m = replay_run.metrics(
+        cases, one([(1, "a", "in_scope")], files + ", scope string"), one([(1, "a", 1)], files + ", rank int"), one([(1, "a", "x", "y", "exact")], edits + ", match_mode string"),
+        one([(1, "a", "x", "y")], edits), one([(1, "a")], files), one([(1, True)], "case_id long, ok boolean"),
+    )
+    assert [r.passed for r in m.collect()] == [True] and "BroadcastExchange" not in m._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_parsed_once(spark):
+    files = spark.createDataFrame([("a/A.java", "package a;\npublic class A { static final int K1 = 1; }"), ("a/B.java", "package a;\npublic class B { int x = A.K1; }")], "path string, text string")
+    edges = symbols.link(symbols.harvest(files)[0], files)
+    assert "_java" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert ("java:a.B", "const:a.A.K1", "uses_constant") in {tuple(r) for r in edges.collect()}
