@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__  # noqa: F401  fills the registry
 from changelens.functions import lazy
-from changelens.operators import evaluate, replay_run, symbols
+from changelens.operators import changes, evaluate, replay_run, symbols
 from changelens.plans import catalogue
 from changelens.sources import store
 from tests.oracle import compare, connect
@@ -54,6 +54,17 @@ def test_a_text_that_a_batch_holds_twice_is_read_once():
     assert lazy.by_text(pa.array([None, None], pa.string()), lambda t: [], fields).to_pylist() == [None, None]
 
 
+def test_texts_that_differ_in_their_numbers_alone_are_read_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(lazy, "OFTEN", 2)
+    shapes = ("제{0}조의{1}제{0}항 중 \"{2}원\"을 “{1}{2}원”으로 하고, 같은 조 제{1}항을 삭제한다. 제{2}조를 다음과 같이 한다.\n본문 {0}", "{0}제{1}２조 중 {0}를 {2}로 한다.{1}", "{0}", "없음")
+    texts = [s.format(k, k * 10**9, f"00{k}") for k in range(5) for s in shapes] + [None, "", "제1조를 삭제한다"]
+    got = lazy.by_wording(pa.array(texts), lambda t: read.append(t) or changes._edits(t), changes._EDIT).to_pylist()
+    assert got == [None if t is None else changes.edits_of(t) for t in texts] and len(read) == len(shapes) + 2
+    assert [tuple(e.values()) for e in got[1]] == [("제0２조", "replace", "0", "000")]
+    assert lazy.by_wording(pa.array([], pa.string()), changes._edits, changes._EDIT).to_pylist() == []
+
+
 def test_tables_of_cases_are_not_broadcast(spark):
     """Small files of many cases: Spark would take their size for that of their rows."""
     one = lambda rows, ddl: store.scratch(spark.createDataFrame(rows, ddl), "t")
