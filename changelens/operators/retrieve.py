@@ -79,22 +79,18 @@ def _placed(candidates: DataFrame) -> DataFrame:
 
     Later steps group by what this step has dealt out by query and place, so they need no shuffle of their own.
     """
-    came = F.struct("provider_idx", "cand_idx")
     named = F.coalesce("verified_state", F.lit("")) != ""
     shown = [F.col(c) if c in candidates.columns else F.lit(None).cast(t).alias(c) for c, t in EVIDENCE.items()]
     c = candidates.withColumn("base_key", place_key(F.col("path"), F.col("symbol"), F.col("line_start")))
     # a place with very many candidates is one row for each source and hash before anything else
     c = c.groupBy("query_id", "base_key", "source", "content_hash").agg(
-        F.max("normalized_score").alias("best"),
         # of the best score, what arrived first
         F.max(F.struct("normalized_score", (-F.col("provider_idx")).alias("p"), (-F.col("cand_idx")).alias("c"), F.struct(*shown).alias("shown"))).alias("top"),
-        F.min_by(F.struct("path", "symbol"), came).alias("place"),
-        F.min(came).alias("arrival"),
+        F.min(F.struct("provider_idx", "cand_idx", "path", "symbol")).alias("first"),
         F.bool_and(F.coalesce("stale", F.lit(False))).alias("stale"),
-        F.min_by("verified_state", F.when(named, came)).alias("state"),
-        F.min(F.when(named, came)).alias("state_at"),
+        F.min(F.when(named, F.struct("provider_idx", "cand_idx", "verified_state"))).alias("named"),
     )
-    first = F.min_by(F.struct("content_hash"), "arrival").over(Window.partitionBy("query_id", "base_key"))["content_hash"]
+    first = F.min(F.struct("first.provider_idx", "first.cand_idx", "content_hash")).over(Window.partitionBy("query_id", "base_key"))["content_hash"]
     c = c.withColumn("first_hash", first)
     other = F.col("first_hash").isNotNull() & (F.col("first_hash") != "") & F.col("content_hash").isNotNull() & (F.col("content_hash") != "") & (F.col("first_hash") != F.col("content_hash"))
     return c.withColumn("other", other).withColumn("dedup_key", F.when(other, F.concat("base_key", F.lit("::hash:"), "content_hash")).otherwise(F.col("base_key")))
@@ -121,20 +117,22 @@ def merge(candidates: DataFrame, evidence: bool = False) -> DataFrame:
     their own.  ``evidence``: also what each source has to show, its best candidate's, by score.
     """
     by_source = _placed(candidates).groupBy("query_id", "base_key", "dedup_key", "source").agg(
-        F.max("best").alias("best"), F.max("top")["shown"].alias("shown"),
-        F.min_by("place", "arrival").alias("place"), F.min("arrival").alias("arrival"), F.bool_and("stale").alias("stale"),
-        F.min_by("state", "state_at").alias("state"), F.min("state_at").alias("state_at"),
+        F.max("top").alias("top"), F.min("first").alias("first"), F.bool_and("stale").alias("stale"), F.min("named").alias("named")
     )
-    score = F.sum(F.round(lookup(F.col("source"), WEIGHTS) * F.col("best"), 12))
-    bonus = F.when(F.count("*") >= 3, 0.10).when(F.count("*") >= 2, 0.05).otherwise(0.0)
-    merged = by_source.groupBy("query_id", "base_key", "dedup_key").agg(
-        F.min_by("place", "arrival").alias("place"),
-        F.round(clamp(score + bonus - F.when(F.bool_and("stale"), 0.5).otherwise(0.0)), 6).alias("final_score"),
-        F.count("*").alias("n_sources"),
-        F.bool_and("stale").alias("stale"),
-        F.min_by("state", "state_at").alias("verified_state"),
-        F.array_sort(F.collect_list(F.struct((-F.col("best")).alias("neg"), "source", "shown"))).alias("ev"),
-    )
+    # sources come sorted by place: a window takes them as they come, where grouping them in lists would sort them twice more
+    sources = Window.partitionBy("query_id", "base_key", "dedup_key").orderBy("source")
+    of_all = sources.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best, count = F.col("top.normalized_score"), F.count("*").over(of_all)
+    score = F.sum(F.round(lookup(F.col("source"), WEIGHTS) * best, 12)).over(of_all)
+    bonus = F.when(count >= 3, 0.10).when(count >= 2, 0.05).otherwise(0.0)
+    merged = by_source.select(
+        "query_id", "dedup_key", F.min("first").over(of_all).alias("place"), F.row_number().over(sources).alias("nth"),
+        F.round(clamp(score + bonus - F.when(F.bool_and("stale").over(of_all), 0.5).otherwise(0.0)), 6).alias("final_score"),
+        count.alias("n_sources"),
+        F.bool_and("stale").over(of_all).alias("stale"),
+        F.min("named").over(of_all)["verified_state"].alias("verified_state"),
+        F.array_sort(F.collect_list(F.struct((-best).alias("neg"), "source", F.col("top.shown").alias("shown"))).over(of_all)).alias("ev"),
+    ).where("nth = 1")
     return merged.select(
         "query_id", "dedup_key", F.col("place.path").alias("path"), F.col("place.symbol").alias("symbol"), "final_score", "n_sources", "stale", "verified_state",
         F.array_join(F.transform("ev", lambda e: e["source"]), ",").alias("sources"), (-F.col("ev")[0]["neg"]).alias("strongest"),

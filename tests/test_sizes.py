@@ -1,6 +1,7 @@
 """What shows in larger tables alone: long keys, joins that must not be broadcast, work that is done once."""
 
 import os
+import re
 
 import duckdb
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 
 import __spark_entry__  # noqa: F401  fills the registry
 from changelens.functions import lazy
-from changelens.operators import changes, evaluate, replay_run, symbols
+from changelens.operators import changes, evaluate, replay_run, retrieve, symbols
 from changelens.plans import catalogue
 from changelens.sources import store
 from tests.oracle import compare, connect
@@ -40,6 +41,20 @@ def test_cases_are_dealt_out_once(spark, name, most):
     assert plan.count("Exchange hashpartitioning") <= most and "Expand" not in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("name, most", [("evidence_of_source", 4), ("hybrid_merge", 6)])
+def test_sources_of_a_place_are_taken_as_they_come(spark, name, most):
+    """Lists of more than 128 places in a task would be sorted once for its part and once for the whole."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and len(re.findall(r"\bSort \[", plan)) <= most
+
+
+def test_candidates_that_arrive_together_are_one_place(spark):
+    ddl = "query_id long, provider_idx int, cand_idx long, source string, path string, symbol string, line_start int, content_hash string, normalized_score double, stale boolean, verified_state string"
+    rows = [(1, 0, 0, "rag", "b", None, 1, "h", 0.5, False, "x"), (1, 0, 0, "rag", "b", None, 2, "g", 0.5, True, None), (1, 0, 0, "term_dictionary", "b", "", 3, None, 1.0, True, "w"), (1, 1, 0, "rag", "b", None, 4, "h", 0.75, False, "v")]
+    got = [{tuple(r) for r in retrieve.merge(spark.createDataFrame(some, ddl).repartition(4)).select("dedup_key", "symbol", "n_sources", "final_score", "stale", "verified_state", "sources", "strongest").collect()} for some in (rows, rows[::-1])]
+    assert got == [{("b::line:0", None, 2, 0.3625, False, "w", "term_dictionary,rag", 1.0)}] * 2
+
+
 def test_nulls_are_equal_to_none(spark):
     rows = lambda c, *r: spark.createDataFrame(list(r), f"case_id long, {c} string")
     got = evaluate.patch(rows("key", (1, None), (1, "a"), (None, "a")), rows("key", (1, None), (1, "a"), (None, "b")), rows("path", (2, None), (2, "x")), rows("path", (2, None), (2, "x")))
