@@ -51,7 +51,7 @@ def constant_source(cases: DataFrame, inventory: DataFrame) -> Callable[[DataFra
 
     def find(queries: DataFrame) -> DataFrame:
         q = queries.join(cases.select(F.col("case_id").alias("query_id"), "repo", "revision").hint("merge"), "query_id")
-        said = F.transform(F.concat(values.money("text"), values.rates("text")), lambda v: v["value"])
+        said = F.concat(values.said(F.col("text"), "money"), values.said(F.col("text"), "rate"))
         wanted = q.select("query_id", "repo", "revision", F.posexplode(said).alias("ord", "value_key")).groupBy("query_id", "repo", "revision", "value_key").agg(F.min("ord").alias("rank"))
         files = inventory.groupBy("repo", "revision", "value_key").agg(F.count_distinct("path").alias("files"))
         total = inventory.groupBy("repo", "revision").agg(F.count_distinct("path").alias("total"))

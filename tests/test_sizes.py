@@ -1,14 +1,19 @@
 """What shows in larger tables alone: long keys, joins that must not be broadcast, work that is done once."""
 
+import inspect
 import os
 import re
+import sys
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  fills the registry
-from changelens.functions import lazy
+from changelens.functions import lazy, letters
+from changelens.functions import values as V
 from changelens.operators import changes, evaluate, replay_run, retrieve, symbols
 from changelens.plans import catalogue
 from changelens.sources import store
@@ -98,3 +103,60 @@ def test_files_are_parsed_once(spark):
     edges = symbols.link(symbols.harvest(files)[0], files)
     assert "_java" not in edges._jdf.queryExecution().executedPlan().toString()
     assert ("java:a.B", "const:a.A.K1", "uses_constant") in {tuple(r) for r in edges.collect()}
+
+
+def test_texts_that_all_differ_are_read_side_by_side():
+    """Calls of functions grow with the kinds of values, not with the texts."""
+    read = inspect.getclosurevars(V._typed).nonlocals["f"]
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    def of(texts):
+        calls[0] = 0
+        sys.setprofile(count)
+        try:
+            return read(pa.array(texts)), calls[0]
+        finally:
+            sys.setprofile(None)
+
+    text = "{0}만원과 {0}원, 2.{0}%에서 {0}분의 3까지 9시간, 2024년 3월 1일과 2024-03-0{1}, 만 15세"
+    few, many = ([text.format(k, k % 9) for k in range(n)] for n in (10, 2000))
+    of(few)
+    assert of(many)[1] < 2 * of(few)[1]
+
+
+ODD_TEXTS = {
+    "1억5,000만원 2천원, 3천만 4만원, 1,,2원, ,3원, 2 천 7만 원": {"money": "50000000,40000,12,3,20070000"},
+    "12.5%, 1. 퍼센트, .5프로, 1.2.3%": {"rate": "0.125,0.05,0.023"},
+    "100분의 50분의 3분의 2, 0분의 1, 1,000분의 7.5": {"rate": "0.5,0.666667,0.0075"},
+    "3분의 1 뒤 5%": {"rate": "0.05,0.333333"},
+    "0.0001%, 99999999999999999999원, 9007199254740993원": {"rate": "1e-06", "money": "1e+20,9007199254740992"},
+    "0.0001%, 20%": {"rate": "1e-06,0.2"},
+    "3개월 뒤 15일 이내 1,052시간, 7일부터 1시간": {"duration": "52,15,3"},
+    "만 65세, 20세 \t이상, 1세 이상, 165세 미만, 7세": {"age": "65,20,65"},
+    "2026년 1월1일, 12026년 13월 111일, 2026-03-05, 2026-03-055, 12026-03-05, 2027년": {"date": "2026-01-01,2026-13,2026-03-05,2027"},
+    "２４시간\x00일 이상": {},
+    "20": {},
+    "%": {},
+    "": {},
+}
+
+
+def test_odd_texts_are_read_alike_in_runs_of_any_length(spark, monkeypatch):
+    for size in (1, 50, 1 << 19):
+        monkeypatch.setattr(letters, "SIDE_BY_SIDE", size)
+        texts = [*ODD_TEXTS, None, *ODD_TEXTS]
+        got = V.side_by_side(pa.array(texts), V._read).to_pylist()
+        assert got[: len(ODD_TEXTS)] == got[len(ODD_TEXTS) + 1 :] and got[len(ODD_TEXTS)] is None
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[F.array_join(V.said(F.col("t"), k), ",").alias(k) for k in V.KINDS], *[F.array_join(V._of(F.col("t"), k)["value"], ",").alias(f"{k}_too") for k in V.KINDS])
+    for r in df.collect():
+        assert r.t is None and not any(r) or [(r[k], r[f"{k}_too"]) for k in V.KINDS] == [(ODD_TEXTS[r.t].get(k, ""),) * 2 for k in V.KINDS], r
+
+
+def test_plain_numbers_are_number_keys(spark):
+    v = np.array([0, 1, 10, 2500, 2.5, 0.06, 0.1, 0.01, 0.001, 1 / 3, 0.9999995, 0.09999995, 123456.5, 999989.5, 1.2345645, 99999.95, 2.0**52, 4503599627370495.5])
+    key = {r.v: r.k for r in spark.createDataFrame([(float(x),) for x in v], "v double").select("v", V.number_key(F.col("v")).alias("k")).collect()}
+    assert V.plain_numbers(v).to_pylist() == [key[x] for x in v[:-1]] + [None]
+    assert V.plain_numbers(np.array([1e-4, 2.0**53, 1e6 + 0.5, np.inf, np.nan])).null_count == 5
